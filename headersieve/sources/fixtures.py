@@ -123,3 +123,27 @@ def grown_signatures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return complete(
         {n: spark.sql(_from_files(text, sf_dir, *names)) for n, text in GROWN_SIGNATURES.items()}
     )
+
+
+def request_bodies(headers: DataFrame) -> DataFrame:
+    """Requests from shredded lines: ``Name: value`` lines in header order.
+
+    Every fiftieth request has no client address.
+    """
+    lines = F.transform(F.col("entries"), lambda e: F.concat(e["k"], F.lit(": "), e["v"]))
+    return headers.select(
+        F.col("log_id").alias("request_id"),
+        F.when(F.col("log_id") % 50 == 4, "").otherwise(F.col("ip")).alias("client_ip"),
+        F.array_join(lines, "\n").alias("body"),
+    )
+
+
+def fixed_coefficients(spark: SparkSession, width: int, sign: int = 1) -> DataFrame:
+    """Weights by a rule, as ``(class, column, weight)``; column -1 is the intercept."""
+    classes = F.array(*map(F.lit, FIXED_CLASSES))
+    column, k = F.col("column"), F.col("k")
+    weight = F.when(column < 0, k - 1).otherwise((column * 7 + k * 13) % 11 - 5) / F.lit(10.0)
+    cells = spark.range(-1, width).select(
+        F.col("id").cast("int").alias("column"), F.posexplode(classes).alias("k", "class")
+    )
+    return cells.select("class", "column", (weight * sign).alias("weight"))

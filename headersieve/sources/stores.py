@@ -12,6 +12,12 @@ from headersieve.functions.scoring import LinearScorer
 from headersieve.operators.lookup import Lookup
 from headersieve.operators.model import FamilyModel
 
+LOGS = (
+    "log_id bigint, timestamp timestamp, ip string, user_agent string, ua_family_code string, "
+    "ua_version string, ua_class_code string, device_class_code string, os_family_code string, "
+    "os_code string, value_data map<string,string>, order_data map<string,int>, "
+    "created_at timestamp, log_date date"
+)
 VERSIONS = "version bigint, width int"
 
 
@@ -43,7 +49,8 @@ def write_logs(logs: DataFrame, path: str, batch: int, dry_run: bool = False) ->
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Stored logs; a filter on ``log_date`` leaves other days' files unread."""
+    return spark.read.schema(LOGS).parquet(path)
 
 
 def save_vocabulary(vocabulary: DataFrame, path: str) -> None:
