@@ -36,19 +36,24 @@ VALUE_SPELLINGS = both_spellings(VALUE_HEADERS)
 
 def clean_header_json(headers: Column) -> Column:
     r"""Turn every ``\/`` into ``/`` and drop one quote at each end."""
-    text = F.replace(headers, F.lit("\\/"), F.lit("/"))
-    return F.regexp_replace(F.regexp_replace(text, r"'\z", ""), r"\A'", "")
+    return F.regexp_replace(F.replace(headers, F.lit("\\/"), F.lit("/")), r"\A'|'\z", "")
 
 
-def json_entries(json: Column) -> Column:
-    """Header entries of a JSON object in document order; null if it is not one.
+def json_map(json: Column) -> Column:
+    """The JSON object as a map in document order, repeated keys included.
 
-    ``from_json`` keeps document order and repeated keys. A header without a
-    value (JSON null) keeps the text ``null``.
+    Null if the text is not a JSON object.
+    """
+    return F.from_json(json, "map<string,string>")
+
+
+def json_entries(headers: Column) -> Column:
+    """Header entries of a JSON object's map, in document order.
+
+    A header without a value (JSON null) keeps the text ``null``.
     """
-    pairs = F.map_entries(F.from_json(json, "map<string,string>"))
     return F.transform(
-        pairs,
+        F.map_entries(headers),
         lambda e, i: F.struct(
             e["key"].alias("k"),
             F.coalesce(e["value"], F.lit("null")).alias("v"),
@@ -57,6 +62,27 @@ def json_entries(json: Column) -> Column:
     )
 
 
+def _plain(headers: Column, json: Column) -> Column:
+    """Whether a JSON object's map needs no repair: no repeated header, no null."""
+    names = F.map_keys(headers)
+    return (F.size(F.array_distinct(names)) == F.size(names)) & ~json.contains("null")
+
+
+def json_values(headers: Column, json: Column) -> Column:
+    """Header values of a JSON object's map; it is the map itself in the usual case."""
+    repaired = value_map(last_entry_per_header(json_entries(headers)))
+    return F.when(_plain(headers, json), headers).otherwise(repaired)
+
+
+def json_positions(headers: Column, json: Column) -> Column:
+    """Header positions of a JSON object's map."""
+    size = F.size(headers)
+    places = F.slice(F.sequence(F.lit(0), size), F.lit(1), size)
+    repaired = order_map(last_entry_per_header(json_entries(headers)))
+    plain = F.map_from_arrays(F.map_keys(headers), places)
+    return F.when(_plain(headers, json), plain).otherwise(repaired)
+
+
 def body_entries(body: Column, trim: bool = True) -> Column:
     """Header entries of a ``Name: value`` body; the position is the line number.
 
@@ -107,7 +133,7 @@ def order_map(entries: Column) -> Column:
 
 def sorted_order(value_data: Column) -> Column:
     """Positions as if the headers had arrived in alphabetical order."""
-    names = F.array_sort(F.map_keys(value_data))
+    names = F.sort_array(F.map_keys(value_data))
     return F.map_from_arrays(names, F.transform(names, lambda _, i: i.cast("int")))
 
 

@@ -6,12 +6,14 @@ Slots are numbered by the alphabetical rank of the text ``"<earlier> < <later>"`
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections.abc import Callable
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.functions.fixed_values import ORDER_HEADERS, PAIRS_WITHOUT_SLOT
+from headersieve.functions.headers import ORDER_SPELLINGS
 
 ORDER_SLOTS: dict[str, int] = {
     pair: slot
@@ -23,43 +25,28 @@ ORDER_SLOTS: dict[str, int] = {
 }
 ORDER_WIDTH = len(ORDER_SLOTS)
 
-# Slot by header numbers: entry a * (n + 1) + b for headers a before b, numbered
-# from 1; number 0 stands for any other spelling.
-_N = len(ORDER_HEADERS) + 1
 
 
-def _slot_table(unknown: int) -> Column:
-    names = (None, *ORDER_HEADERS)
-    return F.array(
-        *(F.lit(ORDER_SLOTS.get(f"{a} < {b}", unknown)) for a in names for b in names)
-    )
-
-
-def by_position(trimmed_order: Column) -> Column:
-    """Trimmed headers as (pos, k) structs in order of position, then name."""
-    return F.array_sort(
-        F.transform(
-            F.map_entries(trimmed_order),
-            lambda e: F.struct(e["value"].alias("pos"), e["key"].alias("k")),
-        )
-    )
+def _pair_cases(trimmed_order: Column, mark: Callable[[str], int | str]) -> Column:
+    """One array entry per two header spellings: the mark of the pair in its order.
 
-
-def _pairs(items: Column, combine) -> Column:
-    """``combine(earlier, later)`` for every two items of one row's short array."""
-    size = F.size(items)
-    return F.flatten(
-        F.transform(
-            items,
-            lambda a, i: F.transform(F.slice(items, i + 2, size), lambda b: combine(a, b)),
+    Every spelling's position is looked up by name, so a row's pairs come from
+    plain comparisons: no loop over the row and no self-join. Headers at the same
+    position go by name. A pair that a row lacks is left out.
+    """
+    cases = []
+    for a, b in combinations(sorted(ORDER_SPELLINGS), 2):
+        at, bt = trimmed_order[a], trimmed_order[b]
+        cases.append(
+            F.when(at <= bt, F.lit(mark(f"{a} < {b}"))).when(bt < at, F.lit(mark(f"{b} < {a}")))
         )
-    )
+    # Leaving out null this way also leaves out repeats; both are wanted.
+    return F.array_except(F.array(*cases), F.array(F.lit(None)))
 
 
 def header_pairs(trimmed_order: Column) -> Column:
     """All pairs of a row's trimmed headers as ``"<earlier> < <later>"``."""
-    names = F.transform(by_position(trimmed_order), lambda e: e["k"])
-    return _pairs(names, lambda a, b: F.concat(a, F.lit(" < "), b))
+    return _pair_cases(trimmed_order, str)
 
 
 def order_slots(trimmed_order: Column, unknown: str = "slot0") -> Column:
@@ -67,15 +54,9 @@ def order_slots(trimmed_order: Column, unknown: str = "slot0") -> Column:
 
     A pair without a slot sets slot 0, or nothing with ``unknown="drop"``.
     """
-    known = F.array(*map(F.lit, ORDER_HEADERS))
-    numbers = F.transform(
-        by_position(trimmed_order), lambda e: F.array_position(known, e["k"]).cast("int")
-    )
-    table = _slot_table(0 if unknown == "slot0" else -1)
-    slots = _pairs(numbers, lambda a, b: F.element_at(table, a * _N + b + 1))
-    if unknown == "drop":
-        slots = F.filter(slots, lambda s: s >= 0)
-    return F.array_sort(F.array_distinct(slots))
+    other = 0 if unknown == "slot0" else None
+    slots = _pair_cases(trimmed_order, lambda pair: ORDER_SLOTS.get(pair, other))
+    return F.sort_array(slots.cast("array<int>"))
 
 
 def order_vocabulary(spark: SparkSession) -> DataFrame:

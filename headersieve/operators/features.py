@@ -44,8 +44,8 @@ def _slots_in_place(df: DataFrame, vocabulary: DataFrame, unknown: str) -> DataF
         df = lookup_join(df, Lookup(part, key, True), on)
         found = F.coalesce(slot, F.lit(0)) if unknown == "slot0" else F.col(slot)
         slots.append(F.when(text.isNotNull(), found))
-    distinct = F.array_sort(F.array_distinct(F.array_compact(F.array(*slots))))
-    return df.select(*kept, distinct.alias("value_slots"))
+    distinct = F.array_except(F.array(*slots), F.array(F.lit(None).cast("int")))
+    return df.select(*kept, F.sort_array(distinct).alias("value_slots"))
 
 
 def _slots_by_shuffle(df: DataFrame, lookup: Lookup, unknown: str) -> DataFrame:
@@ -54,7 +54,7 @@ def _slots_by_shuffle(df: DataFrame, lookup: Lookup, unknown: str) -> DataFrame:
     found = lookup_join(values, lookup, F.col("__name"))
     slot = F.coalesce("idx", F.lit(0)) if unknown == "slot0" else F.col("idx")
     slots = found.groupBy(F.col("log_id").alias("__log_id")).agg(
-        F.array_sort(F.collect_set(slot)).alias("value_slots")
+        F.sort_array(F.collect_set(slot)).alias("value_slots")
     )
     joined = df.join(slots, df["log_id"] == slots["__log_id"], "left").drop("__log_id")
     return joined.withColumn(

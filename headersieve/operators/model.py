@@ -39,7 +39,7 @@ class FamilyModel:
 
 def assemble_training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     """``(log_id, positions, family)`` from sparse cells and labels, paired by id."""
-    rows = features.groupBy("log_id").agg(F.array_sort(F.collect_set("column")).alias("positions"))
+    rows = features.groupBy("log_id").agg(F.sort_array(F.collect_set("column")).alias("positions"))
     return rows.join(labels.select("log_id", F.col("name").alias("family")), "log_id")
 
 

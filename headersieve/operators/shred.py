@@ -82,8 +82,26 @@ def _line_reason(start: int | None, finish: int | None) -> Column:
 
 
 def shred_headers_json(df: DataFrame, json: str = "header_json") -> DataFrame:
-    """Add ``entries``, the header table of a JSON object column."""
-    return once(df, "entries", H.last_entry_per_header(H.json_entries(F.col(json))))
+    """Add ``value_data`` and ``order_data``, the header maps of a JSON column.
+
+    Both are null if the text is not a JSON object.
+    """
+    text, headers = F.col(json), F.col("__headers")
+    mapped = once(df, "__headers", H.json_map(text))
+    return mapped.withColumns(
+        {
+            "value_data": H.json_values(headers, text),
+            "order_data": H.json_positions(headers, text),
+        }
+    ).drop("__headers")
+
+
+def header_entries(df: DataFrame, json: str = "header_json") -> DataFrame:
+    """Add ``entries``, the header table of a JSON column as an array in order."""
+    mapped = once(df, "__headers", H.json_map(F.col(json)))
+    listed = once(mapped, "__entries", H.json_entries(F.col("__headers")))
+    entries = H.last_entry_per_header(F.col("__entries"))
+    return listed.withColumn("entries", entries).drop("__headers", "__entries")
 
 
 def _shredded_lines(
@@ -102,12 +120,6 @@ def _shredded_lines(
         lines = lines.withColumn("reason", F.lit(None).cast("string"))
     readable = F.when(F.col("reason").isNull(), H.clean_header_json(F.col("headers")))
     shredded = shred_headers_json(lines.withColumn("header_json", readable))
-    shredded = shredded.withColumns(
-        {
-            "value_data": H.value_map(F.col("entries")),
-            "order_data": H.order_map(F.col("entries")),
-        }
-    )
     shredded = once(
         shredded,
         "agent",
@@ -117,7 +129,7 @@ def _shredded_lines(
         ),
     )
     header_reason = (
-        F.when(F.col("entries").isNull(), "malformed_json")
+        F.when(F.col("value_data").isNull(), "malformed_json")
         .when(~F.col("agent.present"), "no_user_agent_key")
         .when(F.col("agent.text") == "", "empty_user_agent")
     )
@@ -212,8 +224,9 @@ def raw_headers_with_crawlers(
 def shred_request_body(df: DataFrame, trim: bool = True) -> DataFrame:
     """Requests with ``entries``, header maps and ``user_agent``; empty bodies dropped."""
     filled = df.filter(F.col("body") != "")
-    entries = H.last_entry_per_header(H.body_entries(F.col("body"), trim))
-    shredded = once(filled, "entries", entries).withColumns(
+    listed = once(filled, "__entries", H.body_entries(F.col("body"), trim))
+    entries = H.last_entry_per_header(F.col("__entries"))
+    shredded = once(listed, "entries", entries).drop("__entries").withColumns(
         {
             "value_data": H.value_map(F.col("entries")),
             "order_data": H.order_map(F.col("entries")),

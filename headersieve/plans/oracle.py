@@ -219,10 +219,15 @@ _CTES: list[tuple[str, str]] = [
         """SELECT log_id, class, round(p / sum(p) OVER (PARTITION BY log_id), 5) AS prob
         FROM (SELECT log_id, class, 1 / (1 + exp(-margin)) AS p FROM margins)""",
     ),
+    (
+        "sharp_scores",
+        """SELECT log_id, class, round(p / sum(p) OVER (PARTITION BY log_id), 5) AS prob
+        FROM (SELECT log_id, class, 1 / (1 + exp(-10 * margin)) AS p FROM margins)""",
+    ),
     (
         "opposite_scores",
         """SELECT log_id, class, round(p / sum(p) OVER (PARTITION BY log_id), 5) AS prob
-        FROM (SELECT log_id, class, 1 / (1 + exp(margin)) AS p FROM margins)""",
+        FROM (SELECT log_id, class, 1 / (1 + exp(10 * margin)) AS p FROM margins)""",
     ),
     ("families", "SELECT DISTINCT ua_family_code FROM logs"),
     (
@@ -241,7 +246,7 @@ _CTES: list[tuple[str, str]] = [
         FROM (SELECT 'humans' AS sample, log_id, ua_family_code AS family FROM logs
               UNION ALL SELECT 'bots', log_id, false_family FROM logs
                 JOIN false_families ON original = ua_family_code) s
-          LEFT JOIN scores USING (log_id) WHERE class = family OR class IS NULL""",
+          LEFT JOIN sharp_scores USING (log_id) WHERE class = family OR class IS NULL""",
     ),
     (
         "requests",
@@ -262,7 +267,7 @@ _CTES: list[tuple[str, str]] = [
                WHEN coalesce(t.prob, 0) > {V.HUMAN_THRESHOLD} THEN '{V.VERDICT_HUMAN}'
                ELSE '{V.VERDICT_BOT}' END AS opposite_verdict
         FROM requests r JOIN described d ON d.log_id = r.request_id
-          LEFT JOIN scores s ON s.log_id = r.request_id AND s.class = ua_family_code
+          LEFT JOIN sharp_scores s ON s.log_id = r.request_id AND s.class = ua_family_code
           LEFT JOIN opposite_scores t ON t.log_id = r.request_id AND t.class = ua_family_code""",
     ),
     (
@@ -419,11 +424,9 @@ _SELECTS: dict[str, str] = {
         FROM described GROUP BY ALL""",
     "is_crawler": "SELECT log_id, is_crawler, by_words_only FROM flagged",
     "drop_crawlers": "SELECT log_id, ip, ua_string AS user_agent FROM flagged WHERE NOT is_crawler",
-    "human_verdict": f"""SELECT log_id, ua_family_code AS family,
+    "human_verdict": f"""SELECT d.log_id, ua_family_code AS family,
           coalesce(prob, 0) > {V.HUMAN_THRESHOLD} AS human
-        FROM described d LEFT JOIN scores s USING (log_id)
-        WHERE class = ua_family_code OR (class = 'chrome' AND ua_family_code NOT IN (SELECT class FROM classes))
-        """,
+        FROM described d LEFT JOIN sharp_scores s ON s.log_id = d.log_id AND s.class = ua_family_code""",
     "request_verdict": "SELECT request_id, client_ip, user_agent, ua_family_code, verdict FROM verdicts",
     "header_pairs": "SELECT pair, count(*) AS logs FROM pairs GROUP BY pair",
     "order_vocabulary": """SELECT pair, slot, count(log_id) AS logs

@@ -38,6 +38,8 @@ from headersieve.streaming.verdicts import REQUESTS, stream_verdicts
 EPOCH = 1704067200
 PERIOD = (EPOCH + 100, EPOCH + 7000)
 FIRST_N = 1000
+# Scale of the fixed weights at which verdicts differ.
+SHARP = 10
 
 
 @cache
@@ -55,21 +57,20 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line's header table, maps and user agent."""
+    """Every line's header maps and user agent."""
     cleaned = S.split_log_line(_raw(spark, sf_dir)).withColumn(
         "header_json", H.clean_header_json(F.col("headers"))
     )
-    entries = S.shred_headers_json(cleaned.drop("headers", "line"))
-    maps = entries.select(
+    shredded = S.shred_headers_json(cleaned.drop("headers", "line")).select(
         "log_id",
         F.col("epoch_text").cast("bigint").alias("epoch"),
         F.timestamp_seconds(F.col("epoch_text").cast("bigint")).alias("timestamp"),
         "ip",
-        "entries",
-        H.value_map(F.col("entries")).alias("value_data"),
-        H.order_map(F.col("entries")).alias("order_data"),
+        "header_json",
+        "value_data",
+        "order_data",
     )
-    return H.once(maps, "user_agent", H.pick_user_agent(F.col("value_data")))
+    return H.once(shredded, "user_agent", H.pick_user_agent(F.col("value_data")))
 
 
 def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,8 +209,8 @@ def write_training_tables(spark, sf_dir):
     return cells.join(browsers, "log_id")
 
 
-def _fixed_scorer(spark, width, sign=1):
-    return LinearScorer.from_table(fixtures.fixed_coefficients(spark, width, sign))
+def _fixed_scorer(spark, width, scale=1):
+    return LinearScorer.from_table(fixtures.fixed_coefficients(spark, width, scale))
 
 
 def _vocabulary(spark, sf_dir):
@@ -260,7 +261,7 @@ def clean_header_json(spark, sf_dir):
 
 
 def shred_headers_json(spark, sf_dir):
-    return _shredded(spark, sf_dir).select("log_id", F.inline("entries"))
+    return S.header_entries(_shredded(spark, sf_dir)).select("log_id", F.inline("entries"))
 
 
 def raw_headers_with_crawlers(spark, sf_dir):
@@ -269,7 +270,7 @@ def raw_headers_with_crawlers(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    return fixtures.request_bodies(_shredded(spark, sf_dir))
+    return fixtures.request_bodies(S.header_entries(_shredded(spark, sf_dir)))
 
 
 def shred_request_body(spark, sf_dir):
@@ -456,7 +457,8 @@ def drop_crawlers(spark, sf_dir):
 def human_verdicts(spark, sf_dir):
     vocabulary, width = _vocabulary(spark, sf_dir)
     described = U.parse_user_agents(_shredded(spark, sf_dir), _signatures(spark))
-    scored = V.score_families(X.full_features(described, vocabulary), _fixed_scorer(spark, width))
+    full = X.full_features(described, vocabulary)
+    scored = V.score_families(full, _fixed_scorer(spark, width, SHARP))
     human = human_verdict(F.col("probs"), F.col("ua.ua_family_code"))
     return scored.select("log_id", F.col("ua.ua_family_code").alias("family"), human.alias("human"))
 
@@ -464,7 +466,7 @@ def human_verdicts(spark, sf_dir):
 def request_verdict(spark, sf_dir):
     vocabulary, width = _vocabulary(spark, sf_dir)
     return V.judge_requests(
-        _requests(spark, sf_dir), _signatures(spark), vocabulary, _fixed_scorer(spark, width)
+        _requests(spark, sf_dir), _signatures(spark), vocabulary, _fixed_scorer(spark, width, SHARP)
     )
 
 
@@ -590,7 +592,7 @@ def _judged(spark, sf_dir):
     """The stored logs, and the same under a false family, both judged."""
     logs = _stored(spark, sf_dir)
     vocabulary, width = _vocabulary(spark, sf_dir)
-    scorer = _fixed_scorer(spark, width)
+    scorer = _fixed_scorer(spark, width, SHARP)
     return (
         V.judge_logs(A.make_bot_sample(logs), vocabulary, scorer),
         V.judge_logs(logs, vocabulary, scorer),
@@ -666,9 +668,9 @@ def stream_ingest_files(spark, sf_dir):
     )
 
 
-def _published_fixed(spark, sf_dir, store, sign):
+def _published_fixed(spark, sf_dir, store, scale):
     vocabulary, width = _vocabulary(spark, sf_dir)
-    model = M.FamilyModel(_fixed_scorer(spark, width, sign), None)
+    model = M.FamilyModel(_fixed_scorer(spark, width, scale), None)
     T.save_model(spark, model, vocabulary, store)
 
 
@@ -678,7 +680,7 @@ def _stream_of(spark, path):
 
 def stream_verdicts_of_requests(spark, sf_dir):
     store, source, out = (fresh_path(spark, n) for n in ("model", "requests", "verdicts"))
-    _published_fixed(spark, sf_dir, store, 1)
+    _published_fixed(spark, sf_dir, store, SHARP)
     _requests(spark, sf_dir).write.parquet(source)
     stream_verdicts(
         _stream_of(spark, source), _signatures(spark), store, out, f"{out}-checkpoint"
@@ -691,8 +693,8 @@ def stream_model_refresh(spark, sf_dir):
     store, source, out = (fresh_path(spark, n) for n in ("model", "requests", "verdicts"))
     requests = materialize(_requests(spark, sf_dir), "requests")
     first = F.col("client_ip").startswith("10.1")
-    for arriving, sign in ((first, 1), (~first, -1)):
-        _published_fixed(spark, sf_dir, store, sign)
+    for arriving, scale in ((first, SHARP), (~first, -SHARP)):
+        _published_fixed(spark, sf_dir, store, scale)
         requests.filter(arriving).write.mode("append").parquet(source)
         stream_verdicts(
             _stream_of(spark, source), _signatures(spark), store, out, f"{out}-checkpoint"

@@ -24,6 +24,8 @@ def build_session(app: str = "headersieve", master: str | None = None, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Longer generated methods are never compiled to machine code.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():

@@ -101,16 +101,32 @@ def _from_files(text: str, sf_dir: str, *tables: str) -> str:
     return text
 
 
-def header_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``log_id, epoch, ip, line``: one log line per event, each put together once."""
-    lines = spark.sql(_from_files(HEADER_LOG_LINES, sf_dir, "events"))
+def _lines(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Lines made from events, each put together once.
+
+    A small events file is read by fewer tasks than there are threads; its
+    narrow rows are spread before they are blown up into lines.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = events.select("event_id", "user_id", "event_type")
+    wanted = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < wanted:
+        events = events.repartition(wanted, "event_id")
+    view = "headersieve_events"
+    events.createOrReplaceTempView(view)
+    lines = spark.sql(text.replace("FROM events", f"FROM {view}"))
     return once(lines.withColumnRenamed("line", "text"), "line", F.col("text")).drop("text")
 
 
+def header_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_id, epoch, ip, line``: one log line per event."""
+    return _lines(spark, sf_dir, HEADER_LOG_LINES)
+
+
 def messy_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _from_files(HEADER_LOG_LINES, sf_dir, "events")
-    messy = spark.sql(MESSY_LOG_LINES.replace("header_log_lines", f"({lines})"))
-    return once(messy.withColumnRenamed("line", "text"), "line", F.col("text")).drop("text")
+    """``log_id, line``: the same lines, some of them spoiled."""
+    spoiled = MESSY_LOG_LINES.replace("header_log_lines", f"({HEADER_LOG_LINES})")
+    return _lines(spark, sf_dir, spoiled)
 
 
 def seed_signatures(spark: SparkSession) -> dict[str, DataFrame]:
@@ -138,12 +154,15 @@ def request_bodies(headers: DataFrame) -> DataFrame:
     )
 
 
-def fixed_coefficients(spark: SparkSession, width: int, sign: int = 1) -> DataFrame:
-    """Weights by a rule, as ``(class, column, weight)``; column -1 is the intercept."""
+def fixed_coefficients(spark: SparkSession, width: int, scale: int = 1) -> DataFrame:
+    """Weights by a rule, as ``(class, column, weight)``; column -1 is the intercept.
+
+    A scale of 10 drives the probabilities apart, a negative one turns them round.
+    """
     classes = F.array(*map(F.lit, FIXED_CLASSES))
     column, k = F.col("column"), F.col("k")
     weight = F.when(column < 0, k - 1).otherwise((column * 7 + k * 13) % 11 - 5) / F.lit(10.0)
     cells = spark.range(-1, width).select(
         F.col("id").cast("int").alias("column"), F.posexplode(classes).alias("k", "class")
     )
-    return cells.select("class", "column", (weight * sign).alias("weight"))
+    return cells.select("class", "column", (weight * scale).alias("weight"))
