@@ -20,9 +20,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column so that it is worked out once per row.
 
     A filter on a projected column is pushed below the projection, which works
-    the column out a second time; it is not pushed below a generator.
+    the column out a second time; it is not pushed below a generator. The value
+    itself stays in a projection, where it is compiled.
     """
-    return df.withColumn(name, F.explode(F.array(value)))
+    held = df.withColumn("__once", value)
+    return held.withColumn(name, F.explode(F.array("__once"))).drop("__once")
 
 
 def both_spellings(headers: tuple[str, ...]) -> list[str]:

@@ -27,36 +27,52 @@ ORDER_WIDTH = len(ORDER_SLOTS)
 
 
 
-def _pair_cases(trimmed_order: Column, mark: Callable[[str], int | str]) -> Column:
-    """One array entry per two header spellings: the mark of the pair in its order.
-
-    Every spelling's position is looked up by name, so a row's pairs come from
-    plain comparisons: no loop over the row and no self-join. Headers at the same
-    position go by name. A pair that a row lacks is left out.
+def _pair_cases(
+    position: dict[str, Column], mark: Callable[[str], int | str | None]
+) -> list[Column]:
+    """One column per two headers: the mark of the pair in the order it comes in.
+
+    Positions are compared by header name, so a row's pairs need no loop over the
+    row and no self-join. Headers at the same position go by name. Null if the row
+    lacks one of the two.
     """
     cases = []
-    for a, b in combinations(sorted(ORDER_SPELLINGS), 2):
-        at, bt = trimmed_order[a], trimmed_order[b]
+    for a, b in combinations(sorted(position), 2):
+        at, bt = position[a], position[b]
         cases.append(
             F.when(at <= bt, F.lit(mark(f"{a} < {b}"))).when(bt < at, F.lit(mark(f"{b} < {a}")))
         )
-    # Leaving out null this way also leaves out repeats; both are wanted.
-    return F.array_except(F.array(*cases), F.array(F.lit(None)))
+    return cases
+
+
+def _distinct_present(values: list[Column]) -> Column:
+    """The distinct values that are not null, as an array."""
+    return F.array_except(F.array(*values), F.array(F.lit(None)))
 
 
-def header_pairs(trimmed_order: Column) -> Column:
-    """All pairs of a row's trimmed headers as ``"<earlier> < <later>"``."""
-    return _pair_cases(trimmed_order, str)
+def header_pairs(order_data: Column) -> Column:
+    """All pairs of a row's order headers as ``"<earlier> < <later>"``.
+
+    Only the headers whose order counts are looked up, in either spelling.
+    """
+    position = {name: order_data[name] for name in ORDER_SPELLINGS}
+    return _distinct_present(_pair_cases(position, str))
 
 
-def order_slots(trimmed_order: Column, unknown: str = "slot0") -> Column:
+def order_slots(order_data: Column, unknown: str = "slot0") -> Column:
     """Sorted distinct slots of a row's header pairs.
 
-    A pair without a slot sets slot 0, or nothing with ``unknown="drop"``.
+    A pair without a slot sets slot 0, or nothing with ``unknown="drop"``. No pair
+    with a lowercase header has a slot, so those are not told apart.
     """
     other = 0 if unknown == "slot0" else None
-    slots = _pair_cases(trimmed_order, lambda pair: ORDER_SLOTS.get(pair, other))
-    return F.sort_array(slots.cast("array<int>"))
+    position = {name: order_data[name] for name in ORDER_HEADERS}
+    slots = _pair_cases(position, lambda pair: ORDER_SLOTS.get(pair, other))
+    if unknown == "slot0":
+        lower = F.coalesce(*(order_data[name.lower()] for name in ORDER_HEADERS))
+        present = sum(order_data[name].isNotNull().cast("int") for name in ORDER_SPELLINGS)
+        slots.append(F.when(lower.isNotNull() & (present >= 2), F.lit(0)))
+    return F.sort_array(_distinct_present(slots).cast("array<int>"))
 
 
 def order_vocabulary(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headersieve.functions.headers import VALUE_SPELLINGS, trim_order, trim_values
+from headersieve.functions.headers import VALUE_SPELLINGS, once, trim_values
 from headersieve.functions.pairs import ORDER_WIDTH, order_slots
 from headersieve.operators.labels import fit_label_codes, one_hot_labels
 from headersieve.operators.lookup import Lookup, dense_index, lookup_join
@@ -78,7 +78,7 @@ def value_features(
 
 def order_features(df: DataFrame, unknown: str = "slot0") -> DataFrame:
     """Add ``order_slots``, the slots of the row's header pairs."""
-    return df.withColumn("order_slots", order_slots(trim_order(F.col("order_data")), unknown))
+    return once(df, "order_slots", order_slots(F.col("order_data"), unknown))
 
 
 def full_features(
@@ -86,9 +86,10 @@ def full_features(
 ) -> DataFrame:
     """Add ``positions``: order slots, then value slots behind the last order slot."""
     kept = df.columns
-    sloted = order_features(value_features(df, vocabulary, unknown), unknown)
+    slotted = value_features(df, vocabulary, unknown)
     shifted = F.transform("value_slots", lambda slot: slot + ORDER_WIDTH)
-    return sloted.select(*kept, F.concat("order_slots", shifted).alias("positions"))
+    positions = F.concat(order_slots(F.col("order_data"), unknown), shifted)
+    return once(slotted, "positions", positions).select(*kept, "positions")
 
 
 def sparse_cells(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headersieve.functions import fixed_values as V
 from headersieve.functions.crawlers import is_crawler
-from headersieve.functions.headers import pick_user_agent, sorted_order
+from headersieve.functions.headers import once, pick_user_agent, sorted_order
 from headersieve.functions.scoring import LinearScorer, human_verdict
 from headersieve.operators.features import full_features
 from headersieve.operators.lookup import Lookup, lookup_join
@@ -68,7 +68,7 @@ def score_families(
     Scored in place if the weights fit one expression, by joins otherwise.
     """
     if scorer is not None:
-        return df.withColumn("probs", scorer.probabilities(F.col("positions")))
+        return once(df, "probs", scorer.probabilities(F.col("positions")))
     if coefficients is None:
         raise ValueError("either a scorer or a table of coefficients is needed")
     scores = (

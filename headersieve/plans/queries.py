@@ -474,9 +474,8 @@ def request_verdict(spark, sf_dir):
 
 
 def header_pair_counts(spark, sf_dir):
-    pairs = header_pairs(H.trim_order(F.col("order_data")))
-    exploded = _shredded(spark, sf_dir).select(F.explode(pairs).alias("pair"))
-    return exploded.groupBy("pair").agg(F.count(F.lit(1)).alias("logs"))
+    pairs = H.once(_shredded(spark, sf_dir), "pairs", header_pairs(F.col("order_data")))
+    return pairs.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("logs"))
 
 
 def order_vocabulary_use(spark, sf_dir):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,8 +156,8 @@ def readable_patterns(
         try:
             spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
             good.append((number, pattern))
-        except Py4JJavaError as error:
-            bad.append((number, pattern, str(error.java_exception.getDescription())))
+        except IllegalArgumentException as error:
+            bad.append((number, pattern, str(error)))
     return good, bad
 
 
