@@ -10,6 +10,7 @@ from headersieve.functions.pairs import ORDER_WIDTH, order_slots
 from headersieve.operators.labels import fit_label_codes, one_hot_labels
 from headersieve.operators.lookup import Lookup, dense_index, lookup_join
 from headersieve.operators.sampling import logs_in_period, newest_logs
+from headersieve.session import materialize
 
 
 def value_keys(value_data: Column) -> Column:
@@ -105,8 +106,13 @@ def newest_first_rows(df: DataFrame) -> DataFrame:
 
 
 def prepare_sample(logs: DataFrame, n: int, unknown: str = "slot0") -> tuple[DataFrame, DataFrame]:
-    """The newest ``n`` logs as ``(log_id, timestamp, family, positions)`` and the vocabulary."""
-    sample = newest_logs(logs, n)
+    """The newest ``n`` logs as ``(log_id, timestamp, family, positions)`` and the vocabulary.
+
+    The sample, no more than ``n`` rows, is written once: it is read for the
+    vocabulary and again for the features.
+    """
+    needed = ("log_id", "timestamp", "ua_family_code", "value_data", "order_data")
+    sample = materialize(newest_logs(logs, n).select(*needed), "newest")
     vocabulary = fit_value_vocabulary(sample)
     features = full_features(sample, vocabulary, unknown).select(
         "log_id", "timestamp", F.col("ua_family_code").alias("family"), "positions"

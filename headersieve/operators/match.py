@@ -234,7 +234,8 @@ def parse_user_agents(df: DataFrame, signatures: Signatures, strategy: str = "au
     the number of patterns.
     """
     if strategy == "auto":
-        strategy = "inline" if _inline(signatures) else "distinct"
+        # A stream cannot be scanned twice; its batches can, see the streaming plans.
+        strategy = "inline" if df.isStreaming or _inline(signatures) else "distinct"
     if strategy == "inline":
         described = describe_user_agents(df, signatures)
     elif strategy == "distinct":

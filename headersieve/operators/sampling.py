@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headersieve.operators.lookup import Lookup, lookup_join
+from headersieve.session import materialize
 
 
 def _in_period(start: int, finish: int) -> Column:
@@ -18,20 +19,40 @@ def logs_in_period(df: DataFrame, start: int, finish: int) -> DataFrame:
     return df.filter(_in_period(start, finish))
 
 
+def _newest_days(df: DataFrame, n: int) -> DataFrame:
+    """The newest whole days that hold at least ``n`` logs.
+
+    Counting rows per day reads no column data, only file footers, so a long
+    history costs next to nothing. There is one row per day to sort.
+    """
+    days = df.groupBy("log_date").agg(F.count(F.lit(1)).alias("logs"))
+    newer = Window.orderBy(F.col("log_date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = days.withColumn("newer", F.coalesce(F.sum("logs").over(newer), F.lit(0)))
+    oldest = counted.filter(F.col("newer") < n).agg(F.min("log_date").alias("day")).first()["day"]
+    return df if oldest is None else df.filter(F.col("log_date") >= F.lit(oldest))
+
+
 def _up_to_nth(df: DataFrame, n: int, newest: bool) -> DataFrame:
     """The first ``n`` rows by (timestamp, log_id) without moving whole rows.
 
-    Only the two sort keys go through the top-n; its last key is then a filter
-    on the full rows, which stay where they are.
+    Only the two sort keys go through the top-n. Its last key, one row, then
+    becomes a filter on the full rows, which stay where they are; the filter on
+    the time reaches the scan.
     """
     if n <= 0:
         return df.limit(0)
-    key = F.struct("timestamp", "log_id")
-    keys = df.select(key.alias("key"))
-    order = F.col("key").desc() if newest else F.col("key").asc()
-    edge = F.min("key") if newest else F.max("key")
-    cut = keys.orderBy(order).limit(n).agg(edge.alias("cut")).scalar()
-    return df.filter(key >= cut if newest else key <= cut)
+    if newest and "log_date" in df.columns:
+        df = _newest_days(df, n)
+    keys = df.select(F.unix_micros("timestamp").alias("at"), "log_id")
+    order = [F.col(c).desc() if newest else F.col(c).asc() for c in keys.columns]
+    edge = F.min if newest else F.max
+    cut = keys.orderBy(*order).limit(n).agg(edge(F.struct("at", "log_id")).alias("cut")).first()["cut"]
+    if cut is None:
+        return df.limit(0)
+    moment, time, number = F.timestamp_micros(F.lit(cut["at"])), F.col("timestamp"), F.col("log_id")
+    if newest:
+        return df.filter((time >= moment) & ((time > moment) | (number >= cut["log_id"])))
+    return df.filter((time <= moment) & ((time < moment) | (number <= cut["log_id"])))
 
 
 def newest_logs(df: DataFrame, n: int) -> DataFrame:
@@ -76,7 +97,7 @@ def false_families(df: DataFrame, seed: int | None = None) -> DataFrame:
 
 def make_bot_sample(df: DataFrame, seed: int | None = None) -> DataFrame:
     """Logs under a false family, remembering their id and family as ``original_*``."""
-    false = Lookup.measure(false_families(df, seed), "ua_family_code")
+    false = Lookup.measure(materialize(false_families(df, seed), "families"), "ua_family_code")
     kept = df.withColumn("original_id", F.col("log_id"))
     renamed = kept.withColumnRenamed("ua_family_code", "original_ua_family_code")
     relabelled = lookup_join(renamed, false, F.col("original_ua_family_code"))

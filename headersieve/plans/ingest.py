@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.operators.shred import parse_log_lines, project_logs
@@ -11,8 +11,8 @@ from headersieve.sources.signatures import Signatures
 from headersieve.sources.stores import read_logs, write_logs
 
 
-def choose_files(spark: SparkSession, source: str, ledger: DataFrame, mode: str) -> list[tuple[str, str]]:
-    """(path, name) of the files to load.
+def choose_files(spark: SparkSession, source: str, ledger: DataFrame, mode: str) -> list[Row]:
+    """The files to load, as rows ``(file_path, file_name, file_size)``.
 
     ``all`` skips loaded files. ``latest`` and ``one`` (``source`` is a file)
     take a single file and fail if it is loaded already. Only names come to the
@@ -20,16 +20,19 @@ def choose_files(spark: SparkSession, source: str, ledger: DataFrame, mode: str)
     """
     if mode == "all":
         pending = L.pending_files(L.list_log_files(spark, source), ledger)
-        return [(r["file_path"], r["file_name"]) for r in pending.orderBy("file_path").collect()]
+        return pending.orderBy("file_path").collect()
     if mode == "latest":
-        path, name = L.require_latest(spark, source)
+        L.require_latest(spark, source)
+        chosen = L.latest_log_file(spark, source)
     elif mode == "one":
-        path, name = source, source.rstrip("/").rsplit("/", 1)[-1]
+        chosen = L.list_log_files(spark, source, name_regex="")
     else:
         raise ValueError(f"unknown ingest mode {mode!r}")
-    if not ledger.filter(F.col("file_name") == name).isEmpty():
-        raise FileExistsError(f"file {name} is already loaded")
-    return [(path, name)]
+    files = chosen.collect()
+    if len(L.pending_files(chosen, ledger).collect()) < len(files):
+        names = ", ".join(row["file_name"] for row in files)
+        raise FileExistsError(f"file {names} is already loaded")
+    return files
 
 
 def ingest_pending(
@@ -56,13 +59,15 @@ def ingest_pending(
     last = ledger.agg(F.max("batch").alias("batch"), F.max("last_log_id").alias("id")).first()
     batch = (last["batch"] or 0) + 1
     first_id = 0 if last["id"] is None else last["id"] + 1
-    lines = L.read_header_logs(spark, [path for path, _ in files], name_regex=None, recursive=False)
+    paths = [row["file_path"] for row in files]
+    lines = L.read_header_logs(spark, paths, name_regex=None, recursive=False)
     numbered = lines.withColumn("log_id", F.col("log_id") + F.lit(first_id))
+    numbered = L.spread_lines(spark, numbered, [row["file_size"] for row in files])
     parsed = parse_log_lines(numbered, signatures, start=start, finish=finish, **parse_options)
     write_logs(project_logs(parsed).withColumn("created_at", F.current_timestamp()),
                f"{store}/logs", batch, dry_run)
     if not dry_run:
-        note_batch(spark, store, batch, first_id, [name for _, name in files])
+        note_batch(spark, store, batch, first_id, [row["file_name"] for row in files])
     return len(files)
 
 

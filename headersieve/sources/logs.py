@@ -14,10 +14,10 @@ LEDGER = "file_name string, batch bigint, last_log_id bigint, created_at timesta
 
 
 def list_log_files(spark: SparkSession, path: str, name_regex: str = "gz") -> DataFrame:
-    """Files below ``path`` whose name contains a match: ``(file_path, file_name)``."""
+    """Files below ``path`` whose name contains a match: ``(file_path, file_name, file_size)``."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("_metadata.file_path", "_metadata.file_name")
+        .select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size")
     )
     return files.filter(F.col("file_name").rlike(name_regex))
 
@@ -28,8 +28,8 @@ def read_header_logs(
     """Lines of log files as ``(log_id, file_name, line)``, gzip or plain.
 
     ``path`` is a directory, a file or a list of files; only files whose name
-    contains a match of ``name_regex`` are opened. One gzip file is read by one
-    task, however large; a log split into many files is what spreads.
+    contains a match of ``name_regex`` are opened. One gzip file is unpacked by
+    one task, however large; ``spread_lines`` shares out the work behind that.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
@@ -46,8 +46,23 @@ def read_header_logs(
     )
 
 
+def spread_lines(spark: SparkSession, lines: DataFrame, sizes: list[int]) -> DataFrame:
+    """Shuffle lines before they are parsed if their gzip files are few or uneven.
+
+    A gzip file cannot be split, so a file much larger than a fair share would
+    keep one task busy with all of its lines. Unpacking stays with that task;
+    parsing, the costly part, is spread. Even files are left where they are.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    fair = max(sum(sizes) / tasks, 32 * 1024 * 1024)
+    if max(sizes, default=0) <= 2 * fair:
+        return lines
+    shuffled = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lines.repartition(shuffled, "log_id")
+
+
 def latest_log_file(spark: SparkSession, path: str, name_regex: str = "gz") -> DataFrame:
-    """One row ``(file_path, file_name)``: the last file in lexical path order.
+    """One row ``(file_path, file_name, file_size)``: the last file in lexical path order.
 
     An empty directory gives a row of nulls; ``require_latest`` turns it into an error.
     """
