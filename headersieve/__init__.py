@@ -1,0 +1 @@
+"""Bot recognition from HTTP request headers, on Spark."""

@@ -1,0 +1 @@
+"""Column functions and the fixed values behind them."""

@@ -112,25 +112,20 @@ def body_entries(body: Column, trim: bool = True) -> Column:
 
 def last_entry_per_header(entries: Column) -> Column:
     """Keep the last entry of a repeated header, with its own position."""
-    names = F.transform(entries, lambda e: e["k"])
     size = F.size(entries)
     last = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, i + 2, size), lambda later: later["k"] == e["k"]),
     )
-    return F.when(F.size(F.array_distinct(names)) == size, entries).otherwise(last)
+    return F.when(F.size(F.array_distinct(entries["k"])) == size, entries).otherwise(last)
 
 
 def value_map(entries: Column) -> Column:
-    return F.map_from_arrays(
-        F.transform(entries, lambda e: e["k"]), F.transform(entries, lambda e: e["v"])
-    )
+    return F.map_from_arrays(entries["k"], entries["v"])
 
 
 def order_map(entries: Column) -> Column:
-    return F.map_from_arrays(
-        F.transform(entries, lambda e: e["k"]), F.transform(entries, lambda e: e["pos"])
-    )
+    return F.map_from_arrays(entries["k"], entries["pos"])
 
 
 def sorted_order(value_data: Column) -> Column:

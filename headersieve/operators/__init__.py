@@ -1,0 +1 @@
+"""Operators over header logs: DataFrame in, DataFrame out."""

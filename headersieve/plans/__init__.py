@@ -1,0 +1 @@
+"""Whole jobs: ingest, training, and one query per operator."""

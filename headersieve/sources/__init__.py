@@ -1,0 +1 @@
+"""Reading and keeping logs, signatures, training tables and models."""

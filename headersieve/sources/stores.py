@@ -36,7 +36,7 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 
 def write_logs(logs: DataFrame, path: str, batch: int, dry_run: bool = False) -> None:
-    """Write one batch of logs, partitioned by batch and day.
+    """Write one batch of logs, partitioned by batch and UTC day.
 
     Each batch owns its directory, so repeating a batch that broke off replaces
     what it left behind. A dry run works every row out and keeps nothing.
@@ -44,7 +44,8 @@ def write_logs(logs: DataFrame, path: str, batch: int, dry_run: bool = False) ->
     if dry_run:
         logs.write.format("noop").mode("overwrite").save()
         return
-    dated = logs.withColumn("log_date", F.to_date("timestamp"))
+    day = F.floor(F.unix_seconds("timestamp") / 86400).cast("int")
+    dated = logs.withColumn("log_date", F.date_from_unix_date(day))
     dated.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch={batch}")
 
 

@@ -43,6 +43,7 @@ def stream_ingest(
     lines = (
         spark.readStream.option("pathGlobFilter", name_pattern)
         .option("recursiveFileLookup", "true")
+        .option("lineSep", "\n")
         .option("maxFilesPerTrigger", files_per_batch)
         .text(path)
         .withColumnRenamed("value", "line")
