@@ -110,10 +110,14 @@ def judge_requests(
     shredded = shred_request_body(requests, trim).withColumn(
         "ip", F.coalesce("client_ip", F.lit(""))
     )
-    described = parse_user_agents(shredded, signatures)
-    features = full_features(described.withColumn("log_id", F.col("request_id")), vocabulary, unknown)
-    scored = score_families(features, scorer, coefficients)
-    return scored.select(
+    features = full_features(
+        shredded.withColumn("log_id", F.col("request_id")), vocabulary, unknown
+    )
+    # Scored first, so that the header maps are gone before agents are looked up.
+    scored = score_families(features, scorer, coefficients).select(
+        "request_id", "client_ip", "ip", "user_agent", "positions", "probs"
+    )
+    return parse_user_agents(scored, signatures).select(
         "request_id",
         "client_ip",
         "user_agent",
