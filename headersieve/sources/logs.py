@@ -34,9 +34,10 @@ def read_header_logs(
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("lineSep", "\n")
-    if name_regex is not None and re.fullmatch(r"[\w.-]+", name_regex.replace(r"\.", ".")):
+    if name_regex is not None and re.fullmatch(r"(?:[\w-]|\\\.)+", name_regex):
         # A plain text can be told to the file listing, so other files are not opened.
-        reader = reader.option("pathGlobFilter", f"*{name_regex.replace(chr(92), '')}*")
+        text = name_regex.replace("\\.", ".")
+        reader = reader.option("pathGlobFilter", f"*{text}*")
     lines = reader.text(paths)
     if name_regex is not None:
         lines = lines.filter(F.col("_metadata.file_name").rlike(name_regex))

@@ -43,6 +43,9 @@ def test_files_are_chosen_by_name(spark, source):
     assert sorted(names) == ["2017-02-01.log.gz", "2017-02-02.log.gz"]
     assert L.read_header_logs(spark, source).count() == 8
     assert L.read_header_logs(spark, source, "02-02.*gz").count() == 3
+    assert L.read_header_logs(spark, source, r"log\.gz").count() == 8
+    assert L.read_header_logs(spark, source, "2.log.gz").count() == 3
+    assert L.read_header_logs(spark, source, "2017.02").count() == 8
     assert L.require_latest(spark, source)[1] == "2017-02-02.log.gz"
 
 
