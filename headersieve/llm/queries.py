@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.llm.mixing import mix
+from headersieve.llm.pii import label_personal_data
 from headersieve.llm.quality import BASE, rate_quality
 from headersieve.llm.texts import read_table, words_of
 from headersieve.llm.token_count import count_tokens
@@ -24,6 +25,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"))
@@ -33,6 +38,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op7_personal_data": op7_personal_data,
     "op9_source_mixing": op9_source_mixing,
 }
 
