@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.llm.chat import digest_chats, format_chats, turns_of_records, turns_of_table
+from headersieve.llm.language import fit_trees, predict_language
 from headersieve.llm.mixing import mix
 from headersieve.llm.pii import label_personal_data
 from headersieve.llm.quality import BASE, rate_quality
-from headersieve.llm.texts import read_table, words_of
+from headersieve.llm.texts import read_table, remainder_is, words_of
 from headersieve.llm.token_count import count_tokens
 
 
@@ -41,6 +42,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder_is(F.col("doc_id"), 4, 2)
+    trees = fit_trees(docs.where(~held_out))
+    return predict_language(docs.select("doc_id", "text", held_out.alias("held_out")), trees).drop("text")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"))
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_personal_data": op7_personal_data,
+    "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
 }
 
