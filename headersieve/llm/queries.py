@@ -15,6 +15,15 @@ from headersieve.llm.pii import label_personal_data
 from headersieve.llm.quality import BASE, rate_quality
 from headersieve.llm.texts import read_table, remainder_is, words_of
 from headersieve.llm.token_count import count_tokens
+from headersieve.llm.toxicity import fit_grammar, labelled_sample, score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~remainder_is(F.col("doc_id"), 3, 1))
+    grammar = fit_grammar(labelled_sample(docs, labels))
+    held_out = remainder_is(F.col("doc_id"), 3, 1)
+    return score_toxicity(docs.withColumn("held_out", held_out), grammar).drop("text")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +65,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
