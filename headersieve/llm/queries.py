@@ -13,6 +13,7 @@ from headersieve.llm.language import fit_trees, predict_language
 from headersieve.llm.mixing import mix
 from headersieve.llm.pii import label_personal_data
 from headersieve.llm.quality import BASE, rate_quality
+from headersieve.llm.scoring import score_texts
 from headersieve.llm.texts import read_table, remainder_is, words_of
 from headersieve.llm.token_count import count_tokens
 from headersieve.llm.toxicity import fit_grammar, labelled_sample, score_toxicity
@@ -64,6 +65,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sized).drop("source")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, remainder_is(F.col("doc_id"), 7, 2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_personal_data": op7_personal_data,
     "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
