@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from headersieve.llm.chat import digest_chats, format_chats, turns_of_records, turns_of_table
 from headersieve.llm.language import fit_trees, predict_language
 from headersieve.llm.mixing import mix
+from headersieve.llm.near_dup import classify
 from headersieve.llm.pii import label_personal_data
 from headersieve.llm.quality import BASE, rate_quality
 from headersieve.llm.scoring import score_texts
@@ -27,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs.withColumn("held_out", held_out), grammar).drop("text")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return rate_quality(docs).select("doc_id", *BASE, "base_failed", "kept", F.round("quality", 6).alias("quality"))
@@ -72,6 +77,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
