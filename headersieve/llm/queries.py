@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.llm.chat import digest_chats, format_chats, turns_of_records, turns_of_table
+from headersieve.llm.decontaminate import find_contaminated
 from headersieve.llm.language import fit_trees, predict_language
 from headersieve.llm.mixing import mix
 from headersieve.llm.near_dup import classify
@@ -37,6 +38,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(docs).select("doc_id", *BASE, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contaminated(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_personal_data": op7_personal_data,
