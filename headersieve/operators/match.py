@@ -61,7 +61,9 @@ def match_rules(
         )
         good, _ = readable_patterns(spark, [(r["id"], r["pattern"]) for r in rows])
         hit = F.coalesce(F.col(name), first_match(text, good))
-        df = materialize(df.withColumn(name, hit), name)
+        df = df.withColumn(name, hit)
+        if not df.isStreaming:  # a stream can't be written on the way and tries the blocks in place
+            df = materialize(df, name)
     return df
 
 

@@ -38,9 +38,16 @@ class FamilyModel:
 
 
 def assemble_training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(log_id, positions, family)`` from sparse cells and labels, paired by id."""
+    """``(log_id, positions, family)`` from sparse cells and labels, paired by id.
+
+    A labelled log without a cell stays, as a row of zeros.
+    """
     rows = features.groupBy("log_id").agg(F.sort_array(F.collect_set("column")).alias("positions"))
-    return rows.join(labels.select("log_id", F.col("name").alias("family")), "log_id")
+    named = labels.select("log_id", F.col("name").alias("family"))
+    none = F.array().cast("array<int>")
+    return named.join(rows, "log_id", "left").select(
+        "log_id", F.coalesce("positions", none).alias("positions"), "family"
+    )
 
 
 def trained_width(training_set: DataFrame) -> int:
@@ -74,6 +81,8 @@ def train_family_model(
     many times, so hand in a written table.
     """
     width = trained_width(training_set)
+    if training_set.isEmpty():
+        return FamilyModel(LinearScorer([], [], []), None)
     indexer = StringIndexer(
         inputCol="family", outputCol="label", stringOrderType="alphabetAsc"
     ).fit(training_set)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +16,39 @@ def _in_period(start: int, finish: int) -> Column:
     return F.col("timestamp").between(*moments)
 
 
-def logs_in_period(df: DataFrame, start: int, finish: int) -> DataFrame:
-    """Logs from ``start`` to ``finish`` in epoch seconds, both included."""
-    return df.filter(_in_period(start, finish))
+def _on_days(start: int, finish: int) -> Column:
+    """The UTC days of a period, as ``write_logs`` partitions by them."""
+    first, last = (F.lit(date(1970, 1, 1) + timedelta(days=t // 86400)) for t in (start, finish))
+    return F.col("log_date").between(first, last)
+
+
+def logs_in_period(df: DataFrame, start: int, finish: int, ordered: bool = False) -> DataFrame:
+    """Logs from ``start`` to ``finish`` in epoch seconds, both included.
+
+    Stored logs are also filtered by day, so other days' files are not listed or
+    opened. ``ordered`` sorts by time, then id.
+    """
+    inside = df.filter(_in_period(start, finish))
+    if "log_date" in df.columns:
+        inside = inside.filter(_on_days(start, finish))
+    return inside.orderBy("timestamp", "log_id") if ordered else inside
 
 
-def _newest_days(df: DataFrame, n: int) -> DataFrame:
-    """The newest whole days that hold at least ``n`` logs.
+def _whole_days(df: DataFrame, n: int, newest: bool) -> DataFrame:
+    """The newest or first whole days that hold at least ``n`` logs.
 
     Counting rows per day reads no column data, only file footers, so a long
     history costs next to nothing. There is one row per day to sort.
     """
     days = df.groupBy("log_date").agg(F.count(F.lit(1)).alias("logs"))
-    newer = Window.orderBy(F.col("log_date").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counted = days.withColumn("newer", F.coalesce(F.sum("logs").over(newer), F.lit(0)))
-    oldest = counted.filter(F.col("newer") < n).agg(F.min("log_date").alias("day")).first()["day"]
-    return df if oldest is None else df.filter(F.col("log_date") >= F.lit(oldest))
+    day = F.col("log_date")
+    nearer = Window.orderBy(day.desc() if newest else day.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = days.withColumn("nearer", F.coalesce(F.sum("logs").over(nearer), F.lit(0)))
+    edge = F.min(day) if newest else F.max(day)
+    last = counted.filter(F.col("nearer") < n).agg(edge.alias("day")).first()["day"]
+    if last is None:
+        return df
+    return df.filter(day >= F.lit(last) if newest else day <= F.lit(last))
 
 
 def _up_to_nth(df: DataFrame, n: int, newest: bool) -> DataFrame:
@@ -41,8 +60,8 @@ def _up_to_nth(df: DataFrame, n: int, newest: bool) -> DataFrame:
     """
     if n <= 0:
         return df.limit(0)
-    if newest and "log_date" in df.columns:
-        df = _newest_days(df, n)
+    if "log_date" in df.columns:
+        df = _whole_days(df, n, newest)
     keys = df.select(F.unix_micros("timestamp").alias("at"), "log_id")
     order = [F.col(c).desc() if newest else F.col(c).asc() for c in keys.columns]
     edge = F.min if newest else F.max
@@ -88,7 +107,7 @@ def false_families(df: DataFrame, seed: int | None = None) -> DataFrame:
     families = df.select("ua_family_code").distinct()
     order = [F.col("ua_family_code")]
     if seed is not None:
-        order = [F.xxhash64("ua_family_code", F.lit(seed)), *order]
+        order = [F.md5(F.concat_ws(":", "ua_family_code", F.lit(seed))), *order]
     cycle = Window.orderBy(*order)
     following = F.lead("ua_family_code").over(cycle)
     first = F.first("ua_family_code").over(cycle)

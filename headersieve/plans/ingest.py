@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headersieve.operators.shred import parse_log_lines, project_logs
 from headersieve.sources import logs as L
 from headersieve.sources.signatures import Signatures
-from headersieve.sources.stores import read_logs, write_logs
+from headersieve.sources.stores import INGEST, batch_path, read_logs, write_logs
 
 
 def choose_files(spark: SparkSession, source: str, ledger: DataFrame, mode: str) -> list[Row]:
@@ -65,19 +65,23 @@ def ingest_pending(
     numbered = L.spread_lines(spark, numbered, [row["file_size"] for row in files])
     parsed = parse_log_lines(numbered, signatures, start=start, finish=finish, **parse_options)
     write_logs(project_logs(parsed).withColumn("created_at", F.current_timestamp()),
-               f"{store}/logs", batch, dry_run)
+               f"{store}/logs", batch, dry_run, owner=INGEST)
     if not dry_run:
-        note_batch(spark, store, batch, first_id, [row["file_name"] for row in files])
+        note_batch(spark, store, batch, first_id, files)
     return len(files)
 
 
-def note_batch(spark: SparkSession, store: str, batch: int, first_id: int, names: list[str]) -> None:
+def note_batch(spark: SparkSession, store: str, batch: int, first_id: int, files: list[Row]) -> None:
     """Append the files of a written batch to the ledger."""
-    written = read_logs(spark, f"{store}/logs/batch={batch}")
+    written = read_logs(spark, batch_path(f"{store}/logs", INGEST, batch))
     top = written.agg(F.max("log_id").alias("id")).first()["id"]
     # No row at all means that every line of the batch was rejected.
     last_id = first_id if top is None else top
-    rows = spark.createDataFrame([(name, batch, last_id) for name in names],
-                                 "file_name string, batch bigint, last_log_id bigint")
-    noted = rows.withColumn("created_at", F.current_timestamp())
+    rows = spark.createDataFrame(
+        [(row["file_name"], row["file_path"], batch, last_id) for row in files],
+        "file_name string, file_path string, batch bigint, last_log_id bigint",
+    )
+    noted = rows.withColumn("created_at", F.current_timestamp()).select(
+        "file_name", "batch", "last_log_id", "created_at", "file_path"
+    )
     noted.write.mode("append").parquet(f"{store}/ledger")

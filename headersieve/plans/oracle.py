@@ -468,6 +468,12 @@ _SELECTS: dict[str, str] = {
     "make_bot_sample": f"""SELECT log_id AS original_id, ua_family_code AS original_ua_family_code,
           false_family AS ua_family_code, ip, {_FULL_VERSION} AS ua_version
         FROM logs JOIN false_families ON original = ua_family_code""",
+    "make_bot_sample_seeded": """SELECT log_id AS original_id,
+          ua_family_code AS original_ua_family_code, following AS ua_family_code
+        FROM logs JOIN (SELECT ua_family_code AS original, coalesce(lead(ua_family_code) OVER cycle,
+            first_value(ua_family_code) OVER cycle) AS following
+          FROM families WINDOW cycle AS (ORDER BY md5(ua_family_code || ':7'), ua_family_code))
+          ON original = ua_family_code""",
     "verdict_counts": "SELECT sample, verdict, count(*) AS requests FROM judged GROUP BY ALL",
     "error_rates": f"""SELECT CAST({V.HUMAN_THRESHOLD} AS DOUBLE) AS threshold,
           count(CASE WHEN sample = 'humans' AND verdict = 'human' THEN 1 END) AS humans_as_human,
@@ -480,8 +486,8 @@ _SELECTS: dict[str, str] = {
           round(CAST(count(CASE WHEN sample = 'bots' AND verdict = 'human' THEN 1 END) AS DOUBLE)
             * 100 / count(*), 5) AS error_2 FROM judged""",
     "assemble_training_set": """SELECT log_id, ua_family_code AS family,
-          string_agg(CAST(position AS STRING), ',' ORDER BY position) AS columns
-        FROM sample JOIN sample_cells USING (log_id) GROUP BY ALL""",
+          coalesce(string_agg(CAST(position AS STRING), ',' ORDER BY position), '') AS columns
+        FROM sample LEFT JOIN sample_cells USING (log_id) GROUP BY ALL""",
     "score_families": "SELECT log_id, class, prob FROM scores",
     "score_by_join": "SELECT log_id, class, prob FROM scores",
     "stream_ingest": "SELECT epoch, ip, ua_string AS user_agent, ua_family_code, os_code FROM logs",

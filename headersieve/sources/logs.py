@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from headersieve.operators.shred import raw_headers_with_crawlers
 from headersieve.sources.stores import read_or_empty
 
-LEDGER = "file_name string, batch bigint, last_log_id bigint, created_at timestamp"
+LEDGER = "file_name string, batch bigint, last_log_id bigint, created_at timestamp, file_path string"
 
 
 def list_log_files(spark: SparkSession, path: str, name_regex: str = "gz") -> DataFrame:
@@ -85,7 +85,16 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pending_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Files whose name is not in the ledger yet."""
+    """Files that are not in the ledger yet.
+
+    A file is known by its path: files of the same name in different folders are
+    different files. Entries without a path, as older ledgers have them, stand
+    for every file of that name.
+    """
+    if "file_path" in files.columns and "file_path" in ledger.columns:
+        by_path = ledger.filter(F.col("file_path").isNotNull()).select("file_path")
+        files = files.join(by_path, "file_path", "left_anti").select(*files.columns)
+        ledger = ledger.filter(F.col("file_path").isNull())
     return files.join(ledger.select("file_name"), "file_name", "left_anti")
 
 

@@ -147,17 +147,26 @@ class Rules:
     rejected: list[tuple[int, str, str]]
 
 
+def unreadable(spark: SparkSession, pattern: str) -> str | None:
+    """Why the regex engine does not accept a pattern, None if it does."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as error:
+        return str(error)
+    return None
+
+
 def readable_patterns(
     spark: SparkSession, patterns: list[tuple[int, str]]
 ) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]]:
     """Split patterns into those the regex engine accepts and those it does not."""
     good, bad = [], []
     for number, pattern in patterns:
-        try:
-            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        error = unreadable(spark, pattern)
+        if error is None:
             good.append((number, pattern))
-        except IllegalArgumentException as error:
-            bad.append((number, pattern, str(error)))
+        else:
+            bad.append((number, pattern, error))
     return good, bad
 
 
@@ -173,7 +182,13 @@ def load_rules(dim: DataFrame, id_column: str, block: int = PATTERN_BLOCK) -> Ru
     described = Lookup.load(facts, id_column)
     head = ordered.orderBy("sequence", "id", "pattern").limit(block + 1).collect()
     if len(head) > block:
-        return Rules(ordered, described, None, [])
+        # Only the unreadable ones stay on the driver; the rest passes by.
+        bad = [
+            (row["id"], row["pattern"], error)
+            for row in ordered.toLocalIterator()
+            if (error := unreadable(spark, row["pattern"])) is not None
+        ]
+        return Rules(ordered, described, None, sorted(bad))
     good, bad = readable_patterns(spark, [(row["id"], row["pattern"]) for row in head])
     return Rules(ordered, described, good, bad)
 

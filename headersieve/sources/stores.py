@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -35,18 +36,35 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_logs(logs: DataFrame, path: str, batch: int, dry_run: bool = False) -> None:
-    """Write one batch of logs, partitioned by batch and UTC day.
+#: The owner of batches that ``ingest_pending`` writes. A stream is named by its checkpoint.
+INGEST = "ingest"
 
-    Each batch owns its directory, so repeating a batch that broke off replaces
-    what it left behind. A dry run works every row out and keeps nothing.
+
+def batch_path(path: str, owner: str, batch: int) -> str:
+    """The directory of one batch: batch numbers are counted by each owner for itself."""
+    return f"{path}/owner={owner}/batch={batch}"
+
+
+def stream_owner(checkpoint: str) -> str:
+    """A name for a stream that stays the same over restarts from its checkpoint."""
+    return "stream-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def write_logs(
+    logs: DataFrame, path: str, batch: int, dry_run: bool = False, owner: str = INGEST
+) -> None:
+    """Write one batch of logs, partitioned by owner, batch and UTC day.
+
+    Each batch of an owner has its directory, so repeating a batch that broke off
+    replaces what it left behind and nothing else. A dry run works every row out
+    and keeps nothing.
     """
     if dry_run:
         logs.write.format("noop").mode("overwrite").save()
         return
     day = F.floor(F.unix_seconds("timestamp") / 86400).cast("int")
     dated = logs.withColumn("log_date", F.date_from_unix_date(day))
-    dated.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch={batch}")
+    dated.write.mode("overwrite").partitionBy("log_date").parquet(batch_path(path, owner, batch))
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:

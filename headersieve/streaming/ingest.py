@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from headersieve.operators.shred import parse_log_lines, project_logs
 from headersieve.sources.signatures import Signatures
-from headersieve.sources.stores import write_logs
+from headersieve.sources.stores import stream_owner, write_logs
 
 # A log id is batch number, partition and place in the partition side by side.
 _BATCH_SHIFT, _PART_SHIFT, _PLACE_BITS = 45, 31, 33
@@ -38,7 +38,8 @@ def stream_ingest(
     """Load each new file once; the checkpoint remembers which were loaded.
 
     Takes what is there and stops, so it can be scheduled. Every micro-batch
-    owns a directory of the output and overwrites it if it is run again.
+    owns a directory of the output and overwrites it if it is run again. Streams
+    with other checkpoints, and ``ingest_pending``, write beside it.
     """
     lines = (
         spark.readStream.option("pathGlobFilter", name_pattern)
@@ -49,10 +50,13 @@ def stream_ingest(
         .withColumnRenamed("value", "line")
     )
 
+    owner = stream_owner(checkpoint)
+
     def load(batch_lines: DataFrame, batch: int) -> None:
         numbered = batch_lines.withColumn("log_id", batch_log_id(batch))
         parsed = parse_log_lines(numbered, signatures, start=start, finish=finish, **parse_options)
-        write_logs(project_logs(parsed), out, batch)
+        logs = project_logs(parsed).withColumn("created_at", F.current_timestamp())
+        write_logs(logs, out, batch, owner=owner)
 
     return (
         lines.writeStream.foreachBatch(load)

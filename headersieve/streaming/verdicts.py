@@ -10,7 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from headersieve.operators.verdict import judge_requests
 from headersieve.sources.signatures import Signatures
-from headersieve.sources.stores import PublishedModel, latest_version, load_model
+from headersieve.sources.stores import (
+    PublishedModel,
+    batch_path,
+    latest_version,
+    load_model,
+    stream_owner,
+)
 
 REQUESTS = "request_id bigint, client_ip string, body string"
 
@@ -52,16 +58,17 @@ def stream_verdicts(
     """Judge each request once, every micro-batch under the newest published model.
 
     Model and vocabulary are taken together from one version. Verdicts are
-    written with the version that gave them, one output directory per batch,
-    overwritten if the batch is run again.
+    written with the version that gave them, one output directory per batch of this
+    checkpoint, overwritten if the batch is run again.
     """
     current = latest_model(requests.sparkSession, store)
+    owner = stream_owner(checkpoint)
 
     def judge(batch_requests: DataFrame, batch: int) -> None:
         model = current()
         judged = verdict_stream(batch_requests, signatures, model, **options)
         versioned = judged.withColumn("model_version", F.lit(model.version).cast("bigint"))
-        versioned.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        versioned.write.mode("overwrite").parquet(batch_path(out, owner, batch))
 
     return (
         requests.writeStream.foreachBatch(judge)

@@ -98,6 +98,44 @@ def test_ingest_modes(spark, source, signatures, tmp_path):
     assert T.read_logs(spark, f"{store}/logs").count() == 8
 
 
+def test_equal_names_in_other_folders_are_other_files(spark, source, signatures, tmp_path):
+    store = str(tmp_path / "store")
+    assert ingest_pending(spark, source, store, signatures) == 2
+    write_gz(f"{source}/c/2017-02-01.log.gz", [log_line(n) for n in range(20, 23)])
+    assert ingest_pending(spark, source, store, signatures) == 1
+    assert ingest_pending(spark, source, store, signatures) == 0
+    assert T.read_logs(spark, f"{store}/logs").count() == 11
+
+
+def test_streams_and_batches_share_a_store(spark, source, signatures, tmp_path):
+    """Each owner counts its batches for itself, so none replaces another's."""
+    logs = str(tmp_path / "store" / "logs")
+    for k in range(2):
+        folder, checkpoint = f"{source}-{k}", str(tmp_path / f"checkpoint-{k}")
+        write_gz(f"{folder}/x.gz", [log_line(30 + 2 * k), log_line(31 + 2 * k)])
+        stream_ingest(spark, folder, logs, checkpoint, signatures).awaitTermination()
+    ingest_pending(spark, source, str(tmp_path / "store"), signatures)
+    stored = T.read_logs(spark, logs)
+    assert stored.count() == 12
+    assert stored.where("created_at IS NULL").isEmpty()
+
+
+def test_periods_open_only_their_days(spark, sf_dir):
+    logs = Q._stored(spark, sf_dir)
+    period = A.logs_in_period(logs, *Q.PERIOD, ordered=True)
+    plan = period._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "log_date" in plan.split("PartitionFilters")[1][:120]
+    times = [r["timestamp"] for r in period.select("timestamp").collect()]
+    assert times == sorted(times) and len(times) > 0
+
+
+def test_retraining_on_nothing(spark, sf_dir, tmp_path):
+    store = str(tmp_path / "models")
+    assert retrain(spark, Q._stored(spark, sf_dir).limit(0), store) == 1
+    model = T.load_model(spark, store)
+    assert model.version == 1 and model.coefficients.isEmpty()
+
+
 def test_batch_of_rejected_lines_only(spark, signatures, tmp_path):
     source, store = str(tmp_path / "logs"), str(tmp_path / "store")
     write_gz(f"{source}/x.gz", ["junk", log_line(1, "Java\\/1.8")])
