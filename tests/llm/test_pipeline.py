@@ -17,7 +17,7 @@ def planted(spark, folder):
     item = prose(4)
     rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(clean)]
     rows += [(1000 + i, clean[i], "en", "s0") for i in range(10)]  # exact copies
-    rows += [(1100 + i, clean[i].replace(clean[i].split()[-3], "qqq"), "en", "s1") for i in range(15, 20)]  # near copies
+    rows += [(1100 + i, f"{clean[i]} qqq", "en", "s1") for i in range(15, 20)]  # near copies
     rows += [(1200 + i, f"{prose(3)} {item} {prose(2)}", "en", "s2") for i in range(6)]
     rows += [(1300, "### " * 40, "en", "s2"), (1301, "a b", "en", "s2"), (1302, None, None, None)]
     rows += [(1400 + i, f"{prose(6)} Mail x{i}@mail.example.com or 10.1.2.{i}. {prose(1)}", "en", None) for i in range(5)]
