@@ -50,7 +50,7 @@ def _slots_in_place(df: DataFrame, vocabulary: DataFrame, unknown: str) -> DataF
 
 
 def _slots_by_shuffle(df: DataFrame, lookup: Lookup, unknown: str) -> DataFrame:
-    """One row per header value, one salted join, and back to one row per log."""
+    """One row per header value, one join, and back to one row per log."""
     values = df.select("log_id", F.explode(value_keys(F.col("value_data"))).alias("__name"))
     found = lookup_join(values, lookup, F.col("__name"))
     slot = F.coalesce("idx", F.lit(0)) if unknown == "slot0" else F.col("idx")

@@ -15,7 +15,6 @@ from headersieve.session import materialize
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
-SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -49,23 +48,21 @@ def fits_broadcast(
     return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
 
 
-def lookup_join(df: DataFrame, lookup: Lookup, on: Column, salts: int = SALTS) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: Lookup, on: Column) -> DataFrame:
     """Left join ``df`` to ``lookup`` where ``on`` equals the lookup's key.
 
     The key column of the lookup is dropped. A small lookup is broadcast. A
-    larger one is shuffled, with every key spread over ``salts`` partitions so
-    that a key held by a large share of ``df`` does not land in one task.
+    larger one is shuffled once, without copies of its rows: a key held by a
+    large share of ``df`` makes a skewed partition, which adaptive execution
+    splits among tasks (``build_session`` turns that on). A stream has no
+    adaptive execution, so there the keys known to be hot are few anyway: a
+    micro-batch is bounded.
     """
     key = "__lookup_key"
     right = lookup.table.withColumnRenamed(lookup.key, key)
     if lookup.small:
-        return df.join(F.broadcast(right), on == F.col(key), "left").drop(key)
-    salted = right.withColumn(
-        "__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    left = df.withColumn("__salt_l", row_salt(df, salts))
-    condition = (on == F.col(key)) & (F.col("__salt_l") == F.col("__salt_r"))
-    return left.join(salted, condition, "left").drop(key, "__salt_l", "__salt_r")
+        right = F.broadcast(right)
+    return df.join(right, on == F.col(key), "left").drop(key)
 
 
 def attach(df: DataFrame, lookup: Lookup, on: Column, name: str) -> DataFrame:
@@ -75,16 +72,6 @@ def attach(df: DataFrame, lookup: Lookup, on: Column, name: str) -> DataFrame:
     return lookup_join(df, Lookup(packed, lookup.key, lookup.small), on)
 
 
-def row_salt(df: DataFrame, salts: int) -> Column:
-    """A salt computed from the row itself, so a retried task draws it again.
-
-    Whole rows are hashed, maps aside, so rows that share only the join key
-    still spread; every frame here carries a ``log_id`` or ``request_id``.
-    """
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-
-
 def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number the rows 0..n-1 in the given total order without a one-task sort.
 

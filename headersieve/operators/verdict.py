@@ -44,15 +44,27 @@ def score_by_join(df: DataFrame, coefficients: DataFrame, id_column: str = "log_
         id_column, F.explode(F.concat(F.array(F.lit(-1)), "positions")).alias("__cell")
     )
     weighted = lookup_join(cells, Lookup.measure(by_column, "column"), F.col("__cell"))
+
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+
+    # Doubles are added in the order of columns and then of classes, as in one expression,
+    # so that both ways of scoring give the same last digit.
     margins = (
-        weighted.select(id_column, F.inline("weights"))
+        weighted.select(id_column, "__cell", F.inline("weights"))
         .groupBy(id_column, "class")
-        .agg(F.sum(F.col("weight").cast("double")).alias("margin"))
+        .agg(F.sort_array(F.collect_list(F.struct("__cell", F.col("weight").cast("double").alias("weight")))).alias("terms"))
+        .select(id_column, "class", total(F.col("terms.weight")).alias("margin"))
     )
     sigmoid = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
-    scores = margins.select(id_column, "class", sigmoid.alias("score"))
-    totals = scores.groupBy(id_column).agg(F.sum("score").alias("total"))
-    return scores.join(totals, id_column).select(
+    scores = (
+        margins.select(id_column, F.struct("class", sigmoid.alias("score")).alias("scored"))
+        .groupBy(id_column)
+        .agg(F.sort_array(F.collect_list("scored")).alias("scores"))
+        .withColumn("total", total(F.col("scores.score")))
+        .select(id_column, "total", F.inline("scores"))
+    )
+    return scores.select(
         id_column,
         "class",
         F.round(F.col("score") / F.col("total"), V.PROBABILITY_DIGITS).alias("prob"),

@@ -90,6 +90,14 @@ def test_unreadable_patterns_are_reported_not_fatal(spark):
     assert described(spark, loaded, CHROME)["ua"]["ua_family_code"] == "chrome"
 
 
+def test_unreadable_patterns_are_reported_at_any_size(spark):
+    tables = seed_signatures(spark)
+    bad = spark.createDataFrame([(1, 5, "/chrome(/si")], "client_id int, sequence int, regstring string")
+    tables["client_regex"] = tables["client_regex"].unionByName(bad)
+    reported = [load_signatures(tables, block=b).rejected_patterns(spark).collect() for b in (2, 2000)]
+    assert reported[0] == reported[1] and len(reported[0]) == 1
+
+
 def test_pattern_without_group_has_no_version(spark):
     tables = seed_signatures(spark)
     tables["client_regex"] = spark.sql("SELECT 1 AS client_id, 1 AS sequence, '/CHROME/si' AS regstring")
@@ -184,15 +192,15 @@ def test_missing_signature_table_is_an_error(spark):
         complete(tables)
 
 
-def test_large_lookup_is_salted_and_keeps_every_row(spark):
+def test_large_lookup_is_shuffled_and_keeps_every_row(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}") for i in range(3000)]
     left = spark.createDataFrame(rows, "log_id bigint, k string")
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 40)], "name string, v int")
     assert not Lookup.measure(right, "name", max_rows=10).small
     broadcast = lookup_join(left, Lookup.measure(right, "name"), F.col("k"))
-    salted = lookup_join(left, Lookup(right, "name", False), F.col("k"), salts=8)
-    assert salted.count() == 3000
-    assert salted.exceptAll(broadcast).isEmpty()
+    shuffled = lookup_join(left, Lookup(right, "name", False), F.col("k"))
+    assert shuffled.count() == 3000
+    assert shuffled.exceptAll(broadcast).isEmpty()
 
 
 def test_dense_index_is_dense_and_ordered(spark):

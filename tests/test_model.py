@@ -64,7 +64,7 @@ def test_scores_by_join_agree(spark):
     for log_id, probs in in_place.items():
         assert (probs is None) == (joined[log_id] is None)
         if probs:
-            assert joined[log_id] == pytest.approx(probs, abs=1.1e-5)
+            assert joined[log_id] == probs
 
 
 def test_too_many_weights_are_not_collected(spark):
@@ -134,6 +134,13 @@ def test_training_set_is_paired_by_id(spark):
     assert M.trained_width(M.assemble_training_set(cells, labels)) == 6
 
 
+def test_labelled_logs_without_cells_stay(spark):
+    cells = spark.createDataFrame([(2, 5)], "log_id bigint, column int")
+    labels = spark.createDataFrame([(1, "a"), (2, "b")], "log_id bigint, name string")
+    rows = {r["log_id"]: r["positions"] for r in M.assemble_training_set(cells, labels).collect()}
+    assert rows == {1: [], 2: [5]}
+
+
 def verdicts(spark, word, n):
     return spark.createDataFrame([(word,)] * n, "verdict string") if n else spark.createDataFrame([], "verdict string")
 
