@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+#: Names of roles in records; tables with a row per turn keep theirs.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 LEARNT_ROLE = "assistant"
 
@@ -53,7 +54,7 @@ class Mapping:
 
     def turns(self, record: Column) -> Column:
         if self.each is not None:
-            return F.transform(record[self.each], lambda m, k: _turn(k, m[self.role], m[self.text]))
+            return F.transform(record[self.each], lambda m, k: _turn(k, _named(m[self.role]), m[self.text]))
         given = [_turn(F.lit(k), F.lit(role), record[field]) for k, (field, role) in enumerate(self.fields)]
         # An optional field that is missing or empty is no turn.
         return F.filter(F.array(*given), lambda t: (t["role"] != "context") | (F.length(t["text"]) > 0))
@@ -63,11 +64,16 @@ class Mapping:
         return fingerprint(paths_of_type(DataType.fromDDL(self.schema)))
 
 
-def _turn(number: Column, role: Column, text: Column) -> Column:
+def _named(role: Column) -> Column:
+    """A role of a record under the name that it has here."""
     known = F.create_map(*[F.lit(x) for item in ROLES.items() for x in item])
+    return F.coalesce(F.try_element_at(known, F.coalesce(role, F.lit(""))), role)
+
+
+def _turn(number: Column, role: Column, text: Column) -> Column:
     return F.struct(
         number.cast("bigint").alias("turn"),
-        F.coalesce(F.try_element_at(known, F.coalesce(role, F.lit(""))), role, F.lit("")).alias("role"),
+        F.coalesce(role, F.lit("")).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"),
     )
 

@@ -94,4 +94,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries fit models or read library vocabularies, which SQL does not; tests hold them
+#: against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": r"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]'
+          FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+        measured AS (
+          SELECT *, length(role) + length(text) + 12
+            + length(regexp_replace(role || text, '[^\\\[\]<>]', '', 'g')) AS chars FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+            AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+            FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM measured GROUP BY conv_id""",
+}
