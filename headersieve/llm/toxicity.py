@@ -173,7 +173,12 @@ def fit_grammar(sample: DataFrame) -> Grammar:
     stems = (
         words.select(F.explode(lengths).alias("n"), "word", "bad", "good")
         .groupBy(F.expr("left(word, n)").alias("word"))
-        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("kinds"))
+        # A stem has to stand without its most frequent word, which is learnt as a word.
+        .agg(
+            (F.sum("bad") - F.max("bad")).alias("bad"),
+            F.sum("good").alias("good"),
+            F.count("*").alias("kinds"),
+        )
         .where(F.col("kinds") >= STEM_WORDS)
     )
     every = words.withColumn("kinds", F.lit(0).cast("bigint")).unionByName(stems.select("word", "bad", "good", "kinds"))
@@ -194,7 +199,13 @@ def fit_grammar(sample: DataFrame) -> Grammar:
             terms[word] = round(min(MOST_OF_TERM, weight), 4)
     found: dict[str, float] = {}
     # At most as many as the sample has neighbourhoods by a few: each term needs several of its own.
-    for row in learnt.select("word", "kinds", F.log(odds).alias("weight")).collect():
+    rows = learnt.select("word", "kinds", "bad", F.log(odds).alias("weight")).collect()
+    weighed = {row["word"]: row["bad"] for row in rows if row["kinds"]}
+    for row in rows:
+        # A stem gives way to a longer one that says as much and is true of fewer words.
+        longer = (weighed.get(s, 0.0) for s in weighed if len(s) > len(row["word"]) and s.startswith(row["word"]))
+        if row["kinds"] and max(longer, default=0.0) >= 0.95 * row["bad"]:
+            continue
         into = found if row["kinds"] else terms
         into[row["word"]] = round(max(into.get(row["word"], 0.0), min(MOST_OF_TERM, row["weight"])), 4)
     grammar = Grammar(terms, found)

@@ -35,6 +35,8 @@ def test_learnt_terms(spark):
     grammar = fit_grammar(labelled_sample(docs.select("doc_id", "text"), docs))
     assert grammar.score("over there gnarf is") > 0.7 and grammar.score("he saw a blorgx today") > 0.7
     assert grammar.score("a quiet lamp copied") < 0.1
+    # One toxic word does not make a stem of what it begins with.
+    assert grammar.score("he saw gnarly gnarx") < 0.1
 
 
 def test_odd_rows(spark):
