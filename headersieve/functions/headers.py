@@ -46,7 +46,8 @@ def json_map(json: Column) -> Column:
 
     Null if the text is not a JSON object.
     """
-    return F.from_json(json, "map<string,string>")
+    # The parser stops at the closing brace; text behind it makes the whole malformed.
+    return F.when(F.rtrim(json).endswith("}"), F.from_json(json, "map<string,string>"))
 
 
 def json_entries(headers: Column) -> Column:

@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master.partition("[")[0] != "local":  # local-cluster has executors of its own
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="headersieve-"))
     return context.getCheckpointDir().rstrip("/")

@@ -64,6 +64,9 @@ def write_logs(
         return
     day = F.floor(F.unix_seconds("timestamp") / 86400).cast("int")
     dated = logs.withColumn("log_date", F.date_from_unix_date(day))
+    # A day's rows are brought together first, in parts of a good size, or every task would
+    # write a file for every day.
+    dated = dated.hint("rebalance", F.col("log_date"))
     dated.write.mode("overwrite").partitionBy("log_date").parquet(batch_path(path, owner, batch))
 
 

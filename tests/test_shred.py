@@ -99,6 +99,7 @@ REASONS = {
     "1503090000,1.2.3.4,": "empty_headers",
     '1503090000,1.2.3.4,{"User-Agent":"x"}': "unquoted_headers",
     "1503090000,1.2.3.4,'{\"Host\"'": "malformed_json",
+    "1503090000,1.2.3.4,'{\"Host\":\"h\"} trailing'": "malformed_json",
     line({"Host": "h"}): "no_user_agent_key",
     line({"User-Agent": ""}): "empty_user_agent",
     line({"User-Agent": "Java/1.8"}): "crawler",
