@@ -55,6 +55,8 @@ def main() -> None:
     QUERIES["is_crawler"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
+        # The first run compiles; the second is what a long-running job sees.
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
