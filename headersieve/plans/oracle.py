@@ -15,7 +15,11 @@ from headersieve.sources.fixtures import (
 )
 
 EPOCH = 1704067200
-PERIOD = (EPOCH + 100, EPOCH + 7000)
+# From a hundredth to seven tenths of the time that the events cover.
+PERIOD = tuple(
+    f"(SELECT {EPOCH} + min(event_id) + (max(event_id) - min(event_id)) * {share} // 100 FROM events)"
+    for share in (1, 70)
+)
 FIRST_N = 1000
 
 

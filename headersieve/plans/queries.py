@@ -34,14 +34,21 @@ from headersieve.sources import stores as T
 from headersieve.streaming.ingest import stream_ingest
 from headersieve.streaming.verdicts import REQUESTS, stream_verdicts
 
-# The fixture's clock starts here; periods and ranges are given relative to it.
+# The fixture's clock starts here, one event a second.
 EPOCH = 1704067200
-PERIOD = (EPOCH + 100, EPOCH + 7000)
 FIRST_N = 1000
 # Scale of the fixed weights at which verdicts differ.
 SHARP = 10
 
 
+def period(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """From a hundredth to seven tenths of the time that the events cover."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    row = events.agg(F.min("event_id").alias("first"), F.max("event_id").alias("last")).first()
+    length = row["last"] - row["first"]
+    return tuple(EPOCH + row["first"] + length * share // 100 for share in (1, 70))
+
+
 @cache
 def _signatures(spark: SparkSession) -> G.Signatures:
     return G.load_signatures(fixtures.seed_signatures(spark))
@@ -245,14 +252,14 @@ def split_log_line(spark, sf_dir):
 
 def reject_reason(spark, sf_dir):
     lines = fixtures.messy_log_lines(spark, sf_dir)
-    rejected = S.reject_reason(lines, _signatures(spark), start=PERIOD[0])
+    rejected = S.reject_reason(lines, _signatures(spark), start=period(spark, sf_dir)[0])
     return rejected.select("log_id", "reason")
 
 
 def filter_time_range(spark, sf_dir):
     lines = S.split_log_line(_raw(spark, sf_dir))
     timed = lines.select("log_id", S.epoch_of(F.col("epoch_text")).alias("epoch"))
-    return S.filter_time_range(timed, *PERIOD)
+    return S.filter_time_range(timed, *period(spark, sf_dir))
 
 
 def clean_header_json(spark, sf_dir):
@@ -265,7 +272,7 @@ def shred_headers_json(spark, sf_dir):
 
 
 def raw_headers_with_crawlers(spark, sf_dir):
-    raw = S.raw_headers_with_crawlers(_raw(spark, sf_dir), *PERIOD)
+    raw = S.raw_headers_with_crawlers(_raw(spark, sf_dir), *period(spark, sf_dir))
     return raw.select("log_id", "epoch", "ip", "header_json")
 
 
@@ -537,7 +544,7 @@ def one_hot_labels(spark, sf_dir):
 
 
 def prepare_period(spark, sf_dir):
-    features, _, _ = X.prepare_period(_stored(spark, sf_dir), *PERIOD)
+    features, _, _ = X.prepare_period(_stored(spark, sf_dir), *period(spark, sf_dir))
     return features.select("log_id", "label", F.explode("positions").alias("position"))
 
 
@@ -557,7 +564,7 @@ def sample_summary(spark, sf_dir):
 
 
 def logs_in_period(spark, sf_dir):
-    logs = A.logs_in_period(_stored(spark, sf_dir), *PERIOD)
+    logs = A.logs_in_period(_stored(spark, sf_dir), *period(spark, sf_dir))
     return logs.select("log_id", _seconds("timestamp", "epoch"), "ua_family_code")
 
 
@@ -567,7 +574,7 @@ def newest_logs(spark, sf_dir):
 
 
 def first_n_in_period(spark, sf_dir):
-    logs = A.first_n_in_period(_stored(spark, sf_dir), *PERIOD, FIRST_N)
+    logs = A.first_n_in_period(_stored(spark, sf_dir), *period(spark, sf_dir), FIRST_N)
     return logs.select("log_id", _seconds("timestamp", "epoch"), "ua_family_code")
 
 

@@ -206,7 +206,7 @@ def test_prepare_period(spark, sf_dir):
     from headersieve.plans import queries as Q
 
     logs = Q._stored(spark, sf_dir)
-    features, vocabulary, codes = X.prepare_period(logs, *Q.PERIOD)
-    assert features.count() == A.logs_in_period(logs, *Q.PERIOD).count() > 0
+    features, vocabulary, codes = X.prepare_period(logs, *Q.period(spark, sf_dir))
+    assert features.count() == A.logs_in_period(logs, *Q.period(spark, sf_dir)).count() > 0
     assert features.agg(F.max("label")).first()[0] == codes.count() - 1
     assert vocabulary.count() > 0

@@ -122,7 +122,7 @@ def test_streams_and_batches_share_a_store(spark, source, signatures, tmp_path):
 
 def test_periods_open_only_their_days(spark, sf_dir):
     logs = Q._stored(spark, sf_dir)
-    period = A.logs_in_period(logs, *Q.PERIOD, ordered=True)
+    period = A.logs_in_period(logs, *Q.period(spark, sf_dir), ordered=True)
     plan = period._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "log_date" in plan.split("PartitionFilters")[1][:120]
     times = [r["timestamp"] for r in period.select("timestamp").collect()]
