@@ -40,10 +40,10 @@ from headersieve.session import materialize
 FREQUENT = 5000
 INTERPOLATED = 0.5
 PRIOR_MASS = 500.0
-LEAST_SHARDS = 64
-SHARD_BYTES = 32 << 20
+LEAST_SHARDS = 96
+SHARD_BYTES = 8 << 20
 PACKET_TOKENS = 1_000_000
-PACKET_TEXTS = 60_000
+PACKET_TEXTS = 30_000
 BLOCK_BYTES = 4 << 20
 STEP = 1 / 2048
 
@@ -183,7 +183,9 @@ def _unpacked(packet: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-_PAIR_KINDS = (np.uint64, np.uint32, *[np.uint8] * 5, np.uint32, np.uint16, np.uint8)
+_PAIR_KINDS = (np.uint64, np.uint32, *[np.uint8] * 5, np.uint32, np.uint16)
+#: Marks the texts of a packet that are held out, whose numbers stay below it.
+_HELD_OUT = np.uint16(1 << 15)
 _PART_KINDS = (np.uint16, np.float64, np.float32, np.uint32)
 
 
@@ -216,7 +218,7 @@ def pack_tokens(shards: int, totals: Totals):
             word, tail, shard, owner = word[order], tail[order], shard[order], owner[order]
             table = pa.Table.from_batches(rows)
             held_out = np.asarray(table.column("held_out").to_numpy(zero_copy_only=False), bool)
-            train = np.packbits(~held_out)
+            marked = np.arange(texts, dtype=np.uint16) | (held_out.astype(np.uint16) << np.uint16(15))
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 w, t, o = (a[cuts[s] : cuts[s + 1]] for a in (word, tail, owner))
@@ -227,7 +229,7 @@ def pack_tokens(shards: int, totals: Totals):
                 words = np.flatnonzero(new_word)
                 per_word = np.diff(np.append(np.searchsorted(pairs, words), len(pairs)))
                 planes = [(t[pairs] >> np.uint64(8 * k)).astype(np.uint8) for k in range(5)]
-                parts = [w[words], per_word.astype(np.uint32), *planes, per_pair.astype(np.uint32), o.astype(np.uint16), train]
+                parts = [w[words], per_word.astype(np.uint32), *planes, per_pair.astype(np.uint32), marked[o]]
                 yield _row(int(s), this, None, _packet(parts))
             sizes = np.bincount(owner, minlength=texts).astype(np.int64)
             keys = table.append_column("n_tokens", pa.array(sizes))
@@ -296,8 +298,8 @@ def _scored_packets(packets: list[tuple[int, bytes]], totals: Totals, mass: floa
         tail |= np.concatenate([r[2 + k] for r in read]).astype(np.uint64) << np.uint64(8 * k)
     trained = []
     for r in read:
-        per_pair, owner, train = r[7].astype(np.int64), r[8], np.unpackbits(r[9]).astype(bool)
-        trained.append(np.add.reduceat(train[owner].astype(np.int64), np.cumsum(per_pair) - per_pair))
+        per_pair = r[7].astype(np.int64)
+        trained.append(np.add.reduceat((r[8] < _HELD_OUT).astype(np.int64), np.cumsum(per_pair) - per_pair))
     trained = np.concatenate(trained)
 
     words = np.unique(runs)
@@ -348,7 +350,7 @@ def _scored_packets(packets: list[tuple[int, bytes]], totals: Totals, mass: floa
     for (of, _), r in zip(packets, read, strict=True):
         high = low + len(r[7])
         number = np.repeat(np.arange(low, high), r[7].astype(np.int64))
-        owner = r[8].astype(np.int64)
+        owner = (r[8] & ~_HELD_OUT).astype(np.int64)
         texts = np.unique(owner)
         sums = [np.bincount(owner, weights=x[number])[texts] for x in (plain, value, is_known.astype(float))]
         parts = [texts.astype(np.uint16), sums[0], sums[1].astype(np.float32), np.rint(sums[2]).astype(np.uint32)]
