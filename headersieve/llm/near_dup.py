@@ -12,8 +12,12 @@ weighted Jaccard similarity says. Random numbers come from tables of 65,536 gamm
 shingle and sample. Texts that agree on all samples of a band meet in a bucket.
 
 Equal texts (by 128-bit digest) are grouped first, and only one of each group goes on. A bucket never
-forms pairs among its members: each is compared with the bucket's centre, and those that are not
-found similar meet again around another centre, ``ROUNDS`` times. Pairs are verified on whole texts: a
+forms all pairs of its members at once: each is compared with the bucket's centre, and those that are
+not found similar meet again around another centre, ``ROUNDS`` times. Texts of buckets that may then
+still hold an uncompared pair of two components are joined exactly, by prefixes: with the shingles of
+a text in any fixed order, rare ones first here, two similar texts share one in the first part of each
+(``cut_prefixes``). Texts that share one are compared centre by centre, with more centres each turn,
+until no two of them are both uncompared and in different components. Pairs are verified on whole texts: a
 link is a weighted or a plain Jaccard similarity of ``SIMILAR`` or more. Classes are the connected
 components of the links, found by spreading the smallest id; every step is written to the shared
 folder.
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headersieve.llm.bytes import blocks, flat_texts, hashed_words, mixed, windows
@@ -42,6 +46,8 @@ BANDS, ROWS = 12, 3
 ROUNDS = 3
 BUCKETS = 1 << 18
 DAMPED = 0.25
+COUNTERS = 1 << 20
+SLACK = 1e-4
 BLOCK_BYTES = 1 << 20
 FLUSH_BUCKETS = 1 << 21
 
@@ -180,6 +186,89 @@ def similarity(weights):
     return similar
 
 
+def count_shingles(weights):
+    """The map from texts to ``counter, n``: in how many texts each counter of shingles occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, offsets = flat_texts(batch.column("text"))
+            for begin, end in blocks(offsets, BLOCK_BYTES):
+                piece = offsets[begin : end + 1] - offsets[begin]
+                _, hashes, _ = shingles(data[offsets[begin] : offsets[end]], piece, weights.value)
+                total += np.bincount(_counters(hashes), minlength=COUNTERS)
+        hit = np.flatnonzero(total)
+        if len(hit):
+            yield pa.RecordBatch.from_pydict({"counter": hit, "n": total[hit]})
+
+    return count
+
+
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def cut_prefixes(weights, counts):
+    """The map from texts to the first of their shingles, by ``counts`` and hash: ``rep, shingle, mark, weight, n``.
+
+    Of two similar texts the smaller has at least 2 SIMILAR / (1 + SIMILAR) of its weight in common with the
+    other, the larger at least SIMILAR. What is left behind a prefix weighs less than that, so one common
+    shingle lies in both prefixes. ``mark`` tells the prefixes a shingle is in: 1 and 2 are those of the
+    smaller and of the larger text by weight, 4 and 8 by number. ``SLACK`` is for rounding.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat_texts(batch.column("text"))
+            for begin, end in blocks(offsets, BLOCK_BYTES):
+                piece = offsets[begin : end + 1] - offsets[begin]
+                texts, hashes, weight = shingles(data[offsets[begin] : offsets[end]], piece, weights.value)
+                if not len(texts):
+                    continue
+                order = np.lexsort((hashes, counts.value[_counters(hashes)], texts))
+                texts, hashes, weight = texts[order], hashes[order], weight[order].astype(np.float64)
+                first = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
+                length = np.diff(np.append(first, len(texts)))
+                mark, sizes = np.zeros(len(texts), np.int16), []
+                for k, size in enumerate((weight, np.ones(len(texts)))):
+                    sums = np.concatenate(([0.0], np.cumsum(size)))
+                    total = np.repeat(sums[first + length] - sums[first], length)
+                    behind = np.repeat(sums[first + length], length) - sums[:-1]
+                    for bit, share in ((1, 2 * SIMILAR / (1 + SIMILAR)), (2, SIMILAR)):
+                        mark += np.int16(bit << 2 * k) * (behind >= share * (1 - SLACK) * total)
+                    sizes.append(total)
+                held = np.flatnonzero(mark)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(pa.array(begin + texts[held])),
+                        pa.array(hashes[held].view(np.int64)),
+                        pa.array(mark[held]),
+                        pa.array(sizes[0][held]),
+                        pa.array(sizes[1][held].astype(np.int64)),
+                    ],
+                    names=["rep", "shingle", "mark", "weight", "n"],
+                )
+
+    return cut
+
+
+def _may_be_similar(left: str, right: str) -> Column:
+    """Whether sizes and prefixes allow two texts that share a shingle to be similar."""
+
+    def fits(x: str, y: str, size: str, bit: int) -> Column:
+        small, large = F.col(f"{x}{size}"), F.col(f"{y}{size}")
+        prefixes = (F.col(f"{x}mark").bitwiseAND(bit) > 0) & (F.col(f"{y}mark").bitwiseAND(2 * bit) > 0)
+        return prefixes & (small * (1 - SLACK) <= large) & (small >= large * (SIMILAR * (1 - SLACK)))
+
+    sides = [(x, y, size, bit) for x, y in ((left, right), (right, left)) for size, bit in (("weight", 1), ("n", 4))]
+    return fits(*sides[0]) | fits(*sides[1]) | fits(*sides[2]) | fits(*sides[3])
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with the ``label`` of their ``rep``, which is itself if no link has it."""
+    return nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, label`` of the nodes of ``edges`` (``a, b``): the smallest id that each can reach."""
     both = materialize(
@@ -222,28 +311,15 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     crowded = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = materialize(met.join(crowded, "bucket"), "met")
 
-    tried = links = None
-    labels = None
+    tried = links = labels = firsts = None
+    open_ = met
     for turn in range(ROUNDS):
-        open_ = met
-        if labels is not None:
-            # Only members that no link has brought to the component of an earlier centre are open.
-            open_ = met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-                "label", F.coalesce("label", "rep")
-            )
-            done = materialize(
-                centres.join(labels.withColumnRenamed("id", "centre"), "centre", "left").select(
-                    "bucket", F.coalesce("label", "centre").alias("of_centre")
-                ),
-                "done",
-            )
-            open_ = open_.join(done, "bucket").where("label <> of_centre").drop("of_centre", "label")
-            open_ = materialize(open_, "open")
         order = F.col("rep") if turn == 0 else F.xxhash64("rep", "bucket", F.lit(turn))
         centres = materialize(
             open_.groupBy("bucket").agg(F.min_by("rep", order).alias("centre"), F.count("*").alias("n")).where("n > 1"),
             "centres",
         ).drop("n")
+        firsts = centres if firsts is None else firsts
         pairs = (
             open_.join(centres, "bucket")
             .where("rep <> centre")
@@ -259,6 +335,17 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = linked if links is None else links.unionByName(linked)
         labels = components(links)
+        # Members that no link has brought to the component of a centre stay open.
+        done = _labelled(centres.withColumnRenamed("centre", "rep"), labels).select("bucket", "label")
+        open_ = _labelled(open_, labels).join(done, ["bucket", "label"], "left_anti").select("rep", "bucket")
+        open_ = materialize(open_, "open")
+    if labels is not None:
+        # The first centre of a bucket has met all members. Two others may not have met.
+        others = met.join(firsts.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti")
+        others = materialize(_labelled(others, labels), "others")
+        apart = others.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        left = materialize(others.join(apart, "bucket").select(F.col("rep").alias("id")).distinct(), "left")
+        labels = _joined(rows, left, labels, links, tried, weights)
     reps = groups.select("digest", "rep")
     if labels is not None:
         reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -283,11 +370,65 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+def _joined(rows: DataFrame, left: DataFrame, labels: DataFrame, links: DataFrame, tried: DataFrame, weights) -> DataFrame:
+    """``labels`` with every link among the texts ``left``."""
+    if left.isEmpty():
+        return labels
+    spark = rows.sparkSession
+    rows = _texts(rows, left)
+    counted = rows.select("text").mapInArrow(count_shingles(weights), "counter bigint, n bigint")
+    table = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table["counter"].to_numpy()] = table["n"].to_numpy()
+    kind = dict(rows.dtypes)["id"]
+    prefixes = rows.mapInArrow(
+        cut_prefixes(weights, spark.sparkContext.broadcast(counts)),
+        f"rep {kind}, shingle bigint, mark smallint, weight double, n bigint",
+    )
+    place = F.row_number().over(Window.partitionBy("shingle").orderBy(F.xxhash64("rep", "shingle"), "rep"))
+    met = materialize(prefixes.withColumn("place", place), "prefixes")
+    begin, end = 0, 1
+    while True:
+        # Those up to ``begin`` have met all others of their shingle.
+        met = _labelled(met.where(F.col("place") > begin), labels)
+        apart = met.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        met = materialize(met.join(apart.select("shingle"), "shingle"), "met")
+        if met.isEmpty():
+            return labels
+        centres = met.where(F.col("place") <= end)
+        centres = centres.select("shingle", *[F.col(c).alias(f"centre_{c}") for c in met.columns if c != "shingle"])
+        pairs = (
+            met.join(centres, "shingle")
+            .where((F.col("place") > F.col("centre_place")) & (F.col("label") != F.col("centre_label")))
+            .where(_may_be_similar("", "centre_"))
+            .select(F.greatest("rep", "centre_rep").alias("a"), F.least("rep", "centre_rep").alias("b"))
+            .distinct()
+            .join(tried, ["a", "b"], "left_anti")
+        )
+        pairs = materialize(pairs, "pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            linked = materialize(_verified(rows, pairs, weights), "links")
+            if not linked.isEmpty():
+                links = links.unionByName(linked)
+                labels = components(links)
+        met = met.drop("label")
+        begin, end = end, 4 * end + 1
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, weights) -> DataFrame:
     """The pairs that are similar, by their whole texts."""
-    spark = rows.sparkSession
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = materialize(ids, "ids")
+    texts = _texts(rows, materialize(ids, "ids"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
+    near = F.arrow_udf(similarity(weights), "double")
+    return pairs.join(left, "a").join(right, "b").where(near("left", "right") >= SIMILAR).select("a", "b")
+
+
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, text`` of the rows with ``ids``, written anew."""
+    spark = rows.sparkSession
     path = fresh_path(spark, "texts")
     # Only the id decides; of rows that repeat one, the longest text stands for it.
     wanted = rows.where(F.col("text").rlike(NOT_SPACE)).join(ids, "id")
@@ -296,10 +437,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, weights) -> DataFrame:
     repeated = texts.groupBy("id").count().where("count > 1")
     if not repeated.isEmpty():
         texts = texts.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    near = F.arrow_udf(similarity(weights), "double")
-    return pairs.join(left, "a").join(right, "b").where(near("left", "right") >= SIMILAR).select("a", "b")
+    return texts
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

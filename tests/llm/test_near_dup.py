@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from headersieve.llm import near_dup
 from headersieve.llm.bytes import flat_texts
 from headersieve.llm.near_dup import BANDS, BUCKETS, ROWS, classify, components, keep_first, samples, shingles
 
@@ -92,3 +93,35 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a int, b int")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_one_bucket_is_compared_whole(spark, monkeypatch):
+    def all_meet(weights):
+        def sign(batches):
+            for batch in batches:
+                bands = pa.array([[1]] * len(batch), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("digest"), bands], names=["id", "digest", "bands"]
+                )
+
+        return sign
+
+    monkeypatch.setattr(near_dup, "sign_texts", all_meet)
+    monkeypatch.setattr(near_dup, "fit_weights", lambda rows, text: FLAT)
+    draw, texts = random.Random(7), []
+    line = [f"w{k}" for k in range(300)]
+    for k in range(40):  # a large group around line[100:200]
+        texts.append([*line[100 : 110 + k], f"y{k}", *line[111 + k : 200]])
+    # Chains away from it on both sides: each text is similar to its neighbours only.
+    texts += [line[100 + d : 200 + d] for d in range(-100, 101, 10)]
+    for g in range(25):  # small groups
+        own = [f"g{g}_{k}" for k in range(60)]
+        texts += [own, [*own[:-1], "end"], [*own[1:], "more"]]
+    for g in range(20):  # texts of one template, about 0.7 to each other, some with a partner
+        own = [*[f"t{k}" for k in range(80)], *[f"o{g}_{k}" for k in range(14)]]
+        texts += [own] if g % 3 else [own, [*own, "tail"]]
+    draw.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in classify(docs).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 1 + 25 + 20
