@@ -80,6 +80,7 @@ CONTEXT = 24
 
 LABELERS = ("checked", "shape", "cue", "assigned", "quoted", "digits", "length")
 _BLOCK = 256
+_CHUNK = 1024
 _SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -124,20 +125,35 @@ def _split(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, _PATTERNS[pattern], -1), F.regexp_extract_all(text, F.lit(_PATTERNS[pattern]), F.lit(0))
 
 
-def _sums(numbers: Column) -> Column:
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _sums(numbers: Column, add=_add) -> Column:
     """0 and the running sums. Appending copies, so this is for short arrays."""
-    return F.aggregate(numbers, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, add(F.element_at(acc, -1), x)))
 
 
-def _ends(lengths: Column) -> Column:
-    """The running sums of an array of any length, by blocks."""
+def _ends(lengths: Column, add=_add) -> Column:
+    """The running sums (or what ``add`` makes) of an array of any length, by blocks."""
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
         lambda k: F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK)),
     )
-    sums = F.transform(blocks, _sums)
-    offsets = _sums(F.transform(sums, lambda s: F.element_at(s, -1)))
-    return F.flatten(F.transform(sums, lambda s, k: F.transform(F.slice(s, 2, _BLOCK), lambda x: x + F.get(offsets, k))))
+    sums = F.transform(blocks, lambda block: _sums(block, add))
+
+    def joined(sums: Column, offsets: Column) -> Column:
+        return F.transform(sums, lambda s, k: F.transform(F.slice(s, 2, _BLOCK), lambda x: add(F.get(offsets, k), x)))
+
+    def offset(sums: Column) -> Column:
+        return _sums(F.transform(sums, lambda s: F.element_at(s, -1)), add)
+
+    return F.flatten(_once(sums, lambda held: _once(offset(held), lambda offsets: joined(held, offsets))))
 
 
 def _add_matches(docs: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -301,12 +317,17 @@ def fit_spans(found: DataFrame) -> SpanModel:
     return SpanModel(model, round(math.log(every_yes / every_no), 6), weights)
 
 
+def _decided(model: SpanModel) -> Column:
+    """The spans of a row of ``find_spans``: the base and what the model takes of the proposals."""
+    chosen = F.filter("_proposed", lambda p: model.log_odds(p) >= 0)
+    # The same stretch may be proposed by two patterns.
+    return F.concat("_base", F.array_distinct(_bare(chosen)))
+
+
 def label_spans(found: DataFrame, model: SpanModel) -> DataFrame:
     """``found`` with ``n_<kind>`` of the base, ``base_sha256`` and ``spans``."""
     order = {kind: k for k, kind in enumerate(KINDS)}
-    chosen = F.filter("_proposed", lambda p: model.log_odds(p) >= 0)
-    # The same stretch may be proposed by two patterns.
-    every = F.concat("_base", F.array_distinct(_bare(chosen)))
+    every = _decided(model)
 
     def joined(spans: Column) -> Column:
         place = F.create_map(*[F.lit(x) for item in order.items() for x in item])
@@ -329,36 +350,58 @@ def label_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     return label_spans(found, fit_spans(found))
 
 
-def _mask(whole: Column, pattern: str, model: SpanModel) -> Column:
-    """The text with the spans of one pattern replaced by the name of their kind."""
-    gaps, hits = _split(whole, pattern)
-    tag = F.lit(f"[{WIDE.get(pattern, pattern).upper()}]")
-
-    def piece(gap: Column, hit: Column) -> Column:
-        if pattern in BASE_KINDS:
-            sure = _valid(pattern, hit)
-        else:
-            span = {"kind": F.lit(WIDE[pattern]), "pattern": F.lit(pattern), "hit": hit, "after": F.lit(" ")}
-            span["before"] = F.substring(gap, -CONTEXT, CONTEXT)
-            sure = model.log_odds(F.struct(*[value.alias(name) for name, value in span.items()])) >= 0
-        return F.concat(gap, F.when(hit.isNull(), F.lit("")).when(sure, tag).otherwise(hit))
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text in chunks of ``_CHUNK``."""
+    first, last = F.floor(start / _CHUNK).cast("int"), F.floor((end - 1) / _CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(start < end, F.substring(part, start - first * _CHUNK + 1, end - start)).otherwise("")
 
-    return F.when(whole.rlike(_SIGN[pattern]), F.array_join(F.zip_with(gaps, hits, piece), "")).otherwise(whole)
 
+def _masked(whole: Column, spans: Column) -> Column:
+    """The text with its spans replaced by their kinds; spans that overlap become the kind of the first."""
+    order = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
+    keyed = F.sort_array(
+        F.transform(
+            spans, lambda p: F.struct(p["start"], (-p["end"]).alias("far"), F.element_at(order, p["kind"]).alias("k"), p["end"], p["kind"])
+        )
+    )
 
-def _mask_each(texts: Column, pattern: str, model: SpanModel) -> Column:
-    return F.transform(texts, lambda whole: _mask(whole, pattern, model))
+    def replaced(found: Column, reach: Column, chunks: Column) -> Column:
+        # A stretch begins where no earlier span reaches; what lies before it ends at that reach.
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(found) - 1), lambda k: F.get(found, k)["start"] >= F.coalesce(F.get(reach, k - 1), F.lit(0))
+        )
+        pieces = F.transform(
+            heads,
+            lambda k: F.concat(
+                _cut(chunks, F.coalesce(F.get(reach, k - 1), F.lit(0)), F.get(found, k)["start"]),
+                F.lit("["),
+                F.upper(F.get(found, k)["kind"]),
+                F.lit("]"),
+            ),
+        )
+        return F.concat(F.array_join(pieces, ""), _cut(chunks, F.element_at(reach, -1), F.length(whole)))
+
+    chunks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return _once(
+        keyed,
+        lambda found: F.when(F.size(found) == 0, whole).otherwise(
+            _once(
+                _once(F.transform(found, lambda p: p["end"]), lambda ends: _ends(ends, F.greatest)),
+                lambda reach: _once(chunks, lambda parts: replaced(found, reach, parts)),
+            )
+        ),
+    )
 
 
 def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of every text replaced by its kind in brackets; columns unchanged.
-
-    Patterns are masked one after the other. A wide span is judged without what follows it.
-    """
-    # Written before any filter: a filter pushed below the steps would repeat them many times over.
-    model = fit_spans(materialize(find_spans(docs.select(text), text).select("_proposed"), "pii"))
-    # Inside a lambda the text so far is a variable, worked out once though a step names it often.
-    masked = F.array(F.col(text))
-    for pattern in (*BASE_KINDS, *WIDE):
-        masked = _mask_each(masked, pattern, model)
-    return docs.withColumn(text, masked[0])
+    """``docs`` with the spans of ``label_personal_data`` replaced by their kinds in brackets; columns unchanged."""
+    # Columns of the names used on the way stay safe inside the row. Written before any filter: a filter
+    # pushed below the steps would repeat them many times over.
+    packed = docs.select(F.struct(F.col("*")).alias("_row"), F.col(text).alias("_text"))
+    found = materialize(find_spans(packed, "_text").drop("_text"), "pii")
+    spans = found.select("_row", F.col("_row").getField(text).alias("_text"), _decided(fit_spans(found)).alias("_spans"))
+    masked = spans.withColumn("_text", F.when(F.col("_text").isNotNull(), _masked(F.col("_text"), F.col("_spans"))))
+    return masked.select(
+        *[F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    )

@@ -79,3 +79,25 @@ def test_masked_texts_hold_none(spark):
     assert rows[7] == "[PHONE] [CARD] tail"
     assert mask_personal_data(docs.limit(0)).count() == 0
     assert label_personal_data(docs.limit(0)).count() == 0
+
+
+def test_masked_are_the_labelled_spans(spark):
+    key = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"
+    texts = [t for t in TEXTS if t] + ["a@1.2.3.4 and b@5.6.7.8", "é😀" * 1500 + f' key="{key}" x@y.zz' + "ü " * 1200]
+    for k in range(120):
+        value = hashlib.sha1(str(k).encode()).hexdigest()
+        texts.append(f'{{"token": "{value}", "n": {k}}} ' if k % 2 else f"build {value} of word_word_word_word_{k} done")
+        texts += [f"write to a{k} [at] mail [dot] org, now", f"'AKIAMD12HKU3VBLCC{k:03d}'", f"see id {value}: ok", f'x"{value[:24]}"']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = {r.doc_id: r.spans for r in label_personal_data(docs).collect()}
+    got = {r.doc_id: r.text for r in mask_personal_data(docs).collect()}
+    for i, text in enumerate(texts):
+        found = [s.split(":") for s in spans[i].split(",") if s]
+        found.sort(key=lambda s: (int(s[1]), -int(s[2]), ["email", "ip", "card", "phone", "key", "secret"].index(s[0])))
+        want, reach = "", 0
+        for kind, start, end in found:
+            if int(start) >= reach:
+                want += text[reach : int(start)] + f"[{kind.upper()}]"
+            reach = max(reach, int(end))
+        assert got[i] == want + text[reach:], (i, text[:80], spans[i])
+    assert any("secret" in s for s in spans.values())
