@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared without ASCII case and punctuation. A seed is ``SEED`` words in a row of a benchmark
 item. One pass over the texts tests all their n-grams against a bit table of the seeds (of fixed size,
 so any benchmark may be tested this way) and gives out, for each cluster of hits, the hits and the
-hashed words around them. The seeds are then joined exactly. Only rare seeds make candidates: those
-that occur in at most ``RARE`` of all texts or in ``RARE_TEXTS``, and of each item the rarer half whatever they are, so that
-an item copied into many texts, or made of common words, is still found. A text and an item with
+hashed words around them. Clusters with equal words and hits are one from there on, however many texts
+hold them. All seeds are then joined exactly, common ones too. A text and an item with
 ``LEAST_SEEDS`` different seeds on nearby diagonals are aligned by Smith-Waterman on words; the score
 is the best alignment over that of the item with itself, 0 to 1, and from ``CONTAMINATED`` on the text
 is held to contain the item, whole, edited or in large part.
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headersieve.llm.bytes import LOWER, blocks, flat_texts, hashed_words, windows
@@ -31,7 +30,6 @@ from headersieve.session import materialize
 SEED = 3
 LEAST_WORDS = 8
 LEAST_SEEDS = 2
-RARE, RARE_TEXTS = 0.001, 50
 CONTAMINATED = 0.5
 MATCH, MISS, GAP = 2, -1, -1
 BIN = 64
@@ -121,16 +119,19 @@ def best_alignment(item: np.ndarray, near: np.ndarray) -> int:
 
 
 def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, digest, item_id, score`` of candidates."""
+    """``cluster, item_id, score`` of candidates; 0 for those that cannot reach ``CONTAMINATED``."""
     for batch in batches:
         scores = []
         for words, near, diagonal in zip(batch.column("words"), batch.column("near"), batch.column("diagonal"), strict=True):
             item, around = words.values.to_numpy(), near.values.to_numpy()
             low = max(0, diagonal.as_py() - 2 * BIN)
             part = around[low : diagonal.as_py() + len(item) + 3 * BIN]
-            scores.append(best_alignment(item, part) / (MATCH * len(item)))
-        kept = [batch.column(c) for c in ("id", "digest", "item_id")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=["id", "digest", "item_id", "score"])
+            # An alignment scores at most MATCH for each word of the item that is there at all.
+            most = MATCH * int(np.isin(item, part).sum())
+            enough = most >= CONTAMINATED * MATCH * len(item)
+            scores.append(best_alignment(item, part) / (MATCH * len(item)) if enough else 0.0)
+        kept = [batch.column(c) for c in ("cluster", "item_id")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=["cluster", "item_id", "score"])
 
 
 def align_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,25 +157,19 @@ def align_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     clusters = rows.mapInArrow(
         find_clusters(table, longest + BIN),
         f"id {kinds[1]}, digest string, near array<bigint>, places array<bigint>, seeds array<bigint>",
-    ).withColumn("cluster", F.monotonically_increasing_id())
-    clusters = materialize(clusters, "clusters")
+    ).withColumn("cluster", F.sha2(F.to_json(F.struct("near", "places", "seeds")).cast("binary"), 256))
+    every = materialize(clusters, "clusters")
+    clusters = every.groupBy("cluster").agg(*[F.first(c).alias(c) for c in ("near", "places", "seeds")])
+    clusters = materialize(clusters, "passages")
     hits = clusters.select("cluster", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select(
         "cluster", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at")
     )
-    # In how many clusters a seed occurs stands for in how many texts.
-    often = hits.select("seed", "cluster").distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    every = rows.count()
-    ranked = seeds.join(often, "seed").withColumn(
-        "rank", F.percent_rank().over(Window.partitionBy("item").orderBy("df"))
-    )
-    rare = ranked.where((F.col("df") <= max(RARE_TEXTS, RARE * every)) | (F.col("rank") <= 0.5)).select("item", "place", "seed")
-    rare = materialize(rare, "rare")
 
     diagonal = F.col("at") - F.col("place")
     # Two grids of bins, half a bin apart, so that hits of one passage share a bin of one of them.
     grid = F.array(F.lit(0), F.lit(BIN // 2))
     binned = (
-        hits.join(rare, "seed")
+        hits.join(seeds, "seed")
         .select("cluster", "item", "seed", diagonal.alias("diagonal"), F.explode(grid).alias("grid"))
         .groupBy("cluster", "item", "grid", F.floor((F.col("diagonal") + F.col("grid")) / BIN).alias("bin"), "seed")
         .agg(F.min("diagonal").alias("diagonal"))
@@ -186,12 +181,15 @@ def align_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     )
     candidates = materialize(binned, "candidates")
     scored = (
-        candidates.join(clusters.select("cluster", "id", "digest", "near"), "cluster")
+        candidates.join(clusters.select("cluster", "near"), "cluster")
         .join(items.select("item", "item_id", "words"), "item")
-        .select("id", "digest", "item_id", "words", "near", "diagonal")
-        .mapInArrow(aligned, f"id {kinds[1]}, digest string, item_id {kinds[0]}, score double")
+        .select("cluster", "item_id", "words", "near", "diagonal")
+        .mapInArrow(aligned, f"cluster string, item_id {kinds[0]}, score double")
+        .where(F.col("score") >= CONTAMINATED)
     )
-    return scored.where(F.col("score") >= CONTAMINATED).groupBy("id", "digest", "item_id").agg(F.max("score").alias("score"))
+    scored = materialize(scored, "scored")
+    found = every.select("cluster", "id", "digest").join(scored, "cluster")
+    return found.groupBy("id", "digest", "item_id").agg(F.max("score").alias("score"))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -70,3 +70,15 @@ def test_common_item_and_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([60, 61, 62, None], key=str)
     assert find_contaminated(docs.limit(0), bench).count() == find_contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_hot_edited_copy_beside_one_verbatim_copy(spark):
+    words = [f"w{k}" for k in range(22)]
+    edited = [f"edit{k}" if k in (2, 6, 10, 14, 18) else w for k, w in enumerate(words)]
+    rows = [(0, "so " + " ".join(words))] + [(i, f"x{i} " + " ".join(edited)) for i in range(1, 120)]
+    rows += [(i, " ".join(words[:12]) + f" y{i}") for i in range(120, 240)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id int, text string")
+    got = {r.doc_id: r.score for r in find_contaminated(docs, bench).collect()}
+    own = tokens(" ".join(words))
+    assert got == {i: pytest.approx(plain(own, tokens(t)) / 44, abs=1e-5) for i, t in rows}
