@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from headersieve.llm.near_dup import classify
 from headersieve.llm.pii import label_personal_data
 from headersieve.llm.quality import BASE, rate_quality
 from headersieve.llm.scoring import score_texts
+from headersieve.llm.simhash import link_texts
 from headersieve.llm.texts import read_table, remainder_is, words_of
 from headersieve.llm.token_count import count_tokens
 from headersieve.llm.toxicity import fit_grammar, labelled_sample, score_toxicity
@@ -44,6 +44,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs it
+
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
@@ -81,6 +83,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, remainder_is(F.col("doc_id"), 7, 2))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_simhash": op13_simhash,
 }
 
 #: The other queries fit models or read library vocabularies, which SQL does not; tests hold them

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headersieve.session import materialize
+
 #: White space is blank, tab, line feed, vertical tab, form feed, carriage return; anything else is word.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -13,6 +15,9 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 * 1024 * 1024
 
+#: A key with more than this part of all rows is hot.
+HOT_SHARE = 2000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,3 +39,15 @@ def bound_batches(spark: SparkSession) -> None:
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def join_unevenly(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of their row of ``table``, which holds each of the ``keys`` once; inner join.
+
+    Keys that hold more than one in ``HOT_SHARE`` of ``rows`` are at most so many: their rows of the table
+    are broadcast, so that no task gets all rows of such a key. The others meet by a shuffle.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(materialize(counted.where(F.col("_n") * HOT_SHARE > rows.count()).select(*keys), "hot"))
+    here = rows.join(F.broadcast(table.join(hot, keys)), keys)
+    return here.unionByName(rows.join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys))
