@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from headersieve.llm.chat import digest_chats, format_chats, turns_of_records, turns_of_table
 from headersieve.llm.decontaminate import find_contaminated
 from headersieve.llm.language import fit_trees, predict_language
+from headersieve.llm.lexical_search import rank_documents
 from headersieve.llm.mixing import mix
 from headersieve.llm.near_dup import classify
 from headersieve.llm.pii import label_personal_data
@@ -83,6 +84,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, remainder_is(F.col("doc_id"), 7, 2))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_lexical_search": op11_lexical_search,
     "op13_simhash": op13_simhash,
 }
 
@@ -120,4 +126,30 @@ ORACLE_SQL: dict[str, str] = {
             FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
           CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM measured GROUP BY conv_id""",
+    "op11_lexical_search": r"""
+        WITH occurrences AS (
+          SELECT row, doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+        wanted AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        sizes AS (SELECT row, count(*) AS n FROM occurrences GROUP BY row),
+        total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        postings AS (SELECT row, doc_id, term, count(*) AS tf FROM occurrences
+          WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+        weights AS (SELECT term, CAST(floor(1000 * ln(
+            CAST(2 * any_value(documents) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM postings, total GROUP BY term),
+        scored AS (
+          SELECT item_id, row, doc_id,
+            CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // total.terms))))
+              AS BIGINT) AS score
+          FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (row), total
+          GROUP BY item_id, row, doc_id)
+        SELECT item_id, CAST(row_number() OVER (
+            PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }
