@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.llm.chat import digest_chats, format_chats, turns_of_records, turns_of_table
+from headersieve.llm.collocations import mine_collocations
 from headersieve.llm.decontaminate import find_contaminated
 from headersieve.llm.language import fit_trees, predict_language
 from headersieve.llm.lexical_search import rank_documents
@@ -88,6 +89,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(read_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
     "op13_simhash": op13_simhash,
 }
 
@@ -152,4 +158,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, CAST(row_number() OVER (
             PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
         FROM scored WHERE score > 0 QUALIFY rank <= 10""",
+    "op12_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+        phrases AS (
+          SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) AS words
+          FROM cut, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(words) >= k),
+        counted AS (SELECT lang, k, words, count(*) AS f FROM phrases GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT lang, k, words, f AS a FROM counted WHERE k > 1 AND f >= 30),
+        inner_ AS (
+          SELECT c.lang, c.k AS whole, c.a AS longer, unnest(list_transform(
+            range(1, c.k - t.k + 2), lambda i: c.words[i:i + t.k - 1])) AS words
+          FROM candidates AS c, (VALUES (2), (3)) AS t(k) WHERE t.k < c.k),
+        covered AS (SELECT lang, words, max(longer) AS longer FROM inner_ GROUP BY ALL),
+        kept AS (
+          SELECT c.* FROM candidates AS c LEFT JOIN covered USING (lang, words)
+          WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+        cuts AS (
+          SELECT lang, words, a, cut, words[1:cut] AS first, words[cut + 1:] AS rest
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+        scored AS (
+          SELECT cuts.lang, cuts.words, a, cut, x.f AS l, y.f AS r,
+            CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+          FROM cuts JOIN counted AS x ON x.lang = cuts.lang AND x.words = first
+          JOIN counted AS y ON y.lang = cuts.lang AND y.words = rest),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1)
+        SELECT lang, CAST(row_number() OVER (
+            PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS INTEGER) AS rank,
+          array_to_string(words, ' ') AS phrase, a, l, r, n, score
+        FROM lowest JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
