@@ -9,8 +9,9 @@ The different fingerprints form a binary trie. The join starts with the pair (ro
 both sides at once: the four pairs of children of a pair of nodes have the errors of the pair, or one more
 if their bits differ, and a pair is given up as soon as it has more than ``BUDGET`` errors.
 
-* The upper part is walked by Spark. A node is *open* if more than ``LEAF`` fingerprints (or a 50,000th of
-  all, if that is more) lie below it, so a level has at most 50,000 open nodes, and these are all the driver
+* The upper part is walked by Spark. A node is *open* if more than ``LEAF`` fingerprints, half a megabyte, (or a
+  50,000th of all, if that is more) lie below it. At depth d a fingerprint has 1 + d + d (d - 1) / 2 partners, so
+  large leaves keep the copies few; a level has at most 50,000 open nodes, and these are all the driver
   and the tasks ever hold. A pair goes down while one of its nodes is open, however deep that is, so one
   hot prefix is spread over many tasks. Each fingerprint finds by itself the pairs that it belongs to.
 * The rest of each pair, two sorted runs of bounded length, is walked in numpy, all pairs of a task at the
@@ -42,7 +43,7 @@ from headersieve.session import materialize
 WIDTH = 3
 SEED = 42
 BUDGET = 2
-LEAF = 4096
+LEAF = 1 << 16
 MOST_OPEN = 50_000
 STEP = 4
 DEGREE = 32

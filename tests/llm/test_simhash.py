@@ -75,7 +75,7 @@ def test_trie_walk_finds_every_link(monkeypatch):
     assert len(a) == len({p for w in want for p in w}) - len({r for p, r in plain_components(prints).items() if any(p in w for w in want)})
 
 
-@pytest.mark.parametrize("leaf", [1, 5, 4096])
+@pytest.mark.parametrize("leaf", [1, 5, 1 << 16])
 def test_components_at_every_leaf_size(spark, monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF", leaf)
     monkeypatch.setattr(simhash, "CHUNK", 64)
