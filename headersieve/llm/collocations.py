@@ -52,7 +52,8 @@ SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
 SHARD_WORDS = 1 << 21
-SLICE_ROWS = 1 << 16
+#: Places of an index that are extended at a time.
+PART_ROWS = 1 << 17
 LEAST_BITS, MOST_BITS = 16, 27
 BITS_EACH = 16
 #: A language's candidates are ranked in so many parts before the best of all parts are.
@@ -178,15 +179,26 @@ def _may_be_frequent(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 # The FM-index.
 
 
+def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of whole numbers in their order, equal ones as they come, and whether each differs from the last."""
+    bits = max(1, len(keys).bit_length())
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return order, np.concatenate(([True], np.diff(keys[order]) > 0))[: len(keys)]
+    both = (keys.astype(np.int64) << bits) | np.arange(len(keys))  # sorting numbers is faster than sorting places
+    both.sort()
+    order = both & ((1 << bits) - 1)
+    both >>= bits
+    return order, np.concatenate(([True], both[1:] != both[:-1]))
+
+
 def transform(symbols: np.ndarray) -> np.ndarray:
     """The symbols before the rotations of a sequence, in the order of the rotations' first ``LONGEST`` symbols."""
     width, rank = 1, symbols.astype(np.int64)
     while width < LONGEST:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
-        order = np.argsort(key)
-        new = np.concatenate(([False], np.diff(key[order]) > 0))
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(new)
+        order, new = _order(rank * (int(rank.max()) + 1) + np.roll(rank, -width))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new) - 1
         width *= 2
     return symbols[order - 1]
 
@@ -224,14 +236,23 @@ class Phrases:
     mirror: np.ndarray
     n: np.ndarray
 
-    def where(self, kept: np.ndarray) -> Phrases:
+    def where(self, kept: np.ndarray | slice) -> Phrases:
         return Phrases([w[kept] for w in self.words], self.begin[kept], self.mirror[kept], self.n[kept])
 
+    def parts(self, most: int) -> Iterator[Phrases]:
+        """Parts that occur about ``most`` times in all; a phrase that occurs more often stands alone."""
+        ends = np.cumsum(self.n)
+        begin = 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - self.n[begin] + most, side="right")))
+            yield self.where(slice(begin, end))
+            begin = end
+
 
 def _steps(before: np.ndarray) -> np.ndarray:
     """Where the rotation that begins one symbol earlier stands, for each place of the order."""
-    steps = np.empty(len(before), np.int64)
-    steps[np.argsort(before, kind="stable")] = np.arange(len(before))
+    steps = np.empty(len(before), np.int32)
+    steps[_order(before)[0]] = np.arange(len(before), dtype=np.int32)
     return steps
 
 
@@ -241,14 +262,13 @@ def _extensions(before: np.ndarray, steps: np.ndarray, begin: np.ndarray, n: np.
     first = np.cumsum(n) - n
     place = np.arange(len(owner)) - first[owner] + begin[owner]
     word = before[place].astype(np.int64)
-    key = owner * (int(before.max()) + 1) + word
-    order = np.argsort(key, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) > 0))) if len(order) else order
+    order, new = _order(owner * (int(before.max()) + 1) + word)
+    starts = np.flatnonzero(new) if len(order) else order
     at = order[starts]
     count = np.diff(np.append(starts, len(order)))
     real = word[at] > 0  # 0 is the end of a piece
     at, starts, count = at[real], starts[real], count[real]
-    return owner[at], word[at], count, steps[place[at]], starts - first[owner[at]]
+    return owner[at], word[at], count, steps[place[at]].astype(np.int64), starts - first[owner[at]]
 
 
 class FmIndex:
@@ -256,6 +276,7 @@ class FmIndex:
 
     def __init__(self, before: np.ndarray, after: np.ndarray) -> None:
         self.before, self.after = before, after
+        self.earlier, self.later = _steps(before), _steps(after)
 
     def single(self) -> Phrases:
         counts = np.bincount(self.before)
@@ -263,41 +284,45 @@ class FmIndex:
         return Phrases([np.arange(1, len(counts))], begin[1:], begin[1:], counts[1:])
 
     def left(self, phrases: Phrases) -> Phrases:
-        owner, word, n, begin, smaller = _extensions(self.before, _steps(self.before), phrases.begin, phrases.n)
+        owner, word, n, begin, smaller = _extensions(self.before, self.earlier, phrases.begin, phrases.n)
         return Phrases([word, *(w[owner] for w in phrases.words)], begin, phrases.mirror[owner] + smaller, n)
 
     def right(self, phrases: Phrases) -> Phrases:
-        owner, word, n, mirror, smaller = _extensions(self.after, _steps(self.after), phrases.mirror, phrases.n)
+        owner, word, n, mirror, smaller = _extensions(self.after, self.later, phrases.mirror, phrases.n)
         return Phrases([*(w[owner] for w in phrases.words), word], phrases.begin[owner] + smaller, mirror, n)
 
 
 def count_phrases(tables, length: int):
     """The map from indexes to ``lang, phrase, n``: phrases of ``length`` words whose shorter ones are frequent."""
 
+    def grown(index: FmIndex, hashes: np.ndarray, phrases: Phrases, width: int) -> Iterator[Phrases]:
+        """All phrases of ``length`` words from those of ``width - 1``, part by part."""
+
+        def frequent(words: list[np.ndarray]) -> np.ndarray:
+            return _may_be_frequent(tables.value[len(words) - 1], _phrase_hashes([hashes[w] for w in words]))
+
+        for part in phrases.parts(PART_ROWS):
+            longer = index.right(part) if width % 2 == 0 else index.left(part)
+            if width > 2:  # the other phrase of one word less
+                longer = longer.where(frequent(longer.words[1:] if width % 2 == 0 else longer.words[:-1]))
+            if width == length:
+                yield longer
+            else:
+                yield from grown(index, hashes, longer.where(frequent(longer.words)), width + 1)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 langs, words = batch.column("langs")[k].values, batch.column("words")[k].values
                 hashes = np.concatenate(([np.uint64(0)], _word_hashes(langs.to_pylist(), words.to_pylist())))
                 index = FmIndex(_symbols(batch.column("before")[k]), _symbols(batch.column("after")[k]))
-                phrases = index.single()
-                for width in range(2, length + 1):
-                    phrases = index.right(phrases) if width % 2 == 0 else index.left(phrases)
-                    if width > 2:
-                        other = phrases.words[1:] if width % 2 == 0 else phrases.words[:-1]
-                        phrases = phrases.where(_may_be_frequent(tables.value[width - 2], _phrase_hashes([hashes[w] for w in other])))
-                    if width < length:
-                        phrases = phrases.where(
-                            _may_be_frequent(tables.value[width - 1], _phrase_hashes([hashes[w] for w in phrases.words]))
-                        )
-                for begin in range(0, len(phrases.n), SLICE_ROWS):
-                    part = slice(begin, begin + SLICE_ROWS)
-                    texts = [words.take(pa.array(w[part] - 1)) for w in phrases.words]
+                for phrases in grown(index, hashes, index.single(), 2):
+                    texts = [words.take(pa.array(w - 1)) for w in phrases.words]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            langs.take(pa.array(phrases.words[0][part] - 1)),
+                            langs.take(pa.array(phrases.words[0] - 1)),
                             pc.binary_join_element_wise(*texts, " "),
-                            pa.array(phrases.n[part]),
+                            pa.array(phrases.n),
                         ],
                         names=["lang", "phrase", "n"],
                     )

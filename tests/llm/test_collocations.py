@@ -67,7 +67,7 @@ def test_ranks_over_many_shards(spark, monkeypatch, words, top, bits):
     monkeypatch.setattr(collocations, "TOP", top)
     monkeypatch.setattr(collocations, "MOST_BITS", bits)  # a crowded table lets more through, never less
     monkeypatch.setattr(collocations, "LEAST_BITS", 6)
-    monkeypatch.setattr(collocations, "SLICE_ROWS", 50)
+    monkeypatch.setattr(collocations, "PART_ROWS", 50)
     monkeypatch.setattr(collocations, "PARTS", 3)
     draw, rows = random.Random(words), []
     vocabulary = [f"{c}{k}" for c in "abÄ" for k in range(9)]
