@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from headersieve.functions.fixed_values import HUMAN_THRESHOLD, PROBABILITY_DIGITS
 
-# Weights held in one expression; beyond it weights stay a table and are joined.
-MAX_WEIGHTS = 2_000_000
+def sigmoid(margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
 @dataclass(frozen=True)
@@ -27,15 +27,10 @@ class LinearScorer:
         return len(self.weights)
 
     @staticmethod
-    def from_table(coefficients: DataFrame, max_weights: int = MAX_WEIGHTS) -> LinearScorer | None:
-        """Read rows ``(class, column, weight)``; column -1 holds the intercept.
-
-        Gives None if there are more weights than one expression should hold.
-        """
-        rows = coefficients.limit(max_weights + 1).collect()
-        if len(rows) > max_weights:
-            return None
-        classes = sorted({row["class"] for row in rows})
+    def from_table(coefficients: DataFrame, classes: list[str] | None = None) -> LinearScorer:
+        """Read rows ``(class, column, weight)`` of a model that fits the driver; column -1 holds the intercept."""
+        rows = coefficients.collect()
+        classes = sorted({row["class"] for row in rows}) if classes is None else classes
         width = max((row["column"] for row in rows), default=-1) + 1
         number = {name: i for i, name in enumerate(classes)}
         intercepts = [0.0] * len(classes)
@@ -45,37 +40,46 @@ class LinearScorer:
             target[number[row["class"]]] = float(row["weight"])
         return LinearScorer(classes, intercepts, weights)
 
-    def probabilities(self, positions: Column) -> Column:
-        """``map<class, probability>`` of a row's set columns, null if none is set.
+    def margins(self, positions: Column) -> Column:
+        """The intercept plus the weights of a row's set columns, by class.
 
-        Columns at or beyond the trained width are ignored. The class sigmoids
-        are divided by their sum and rounded.
+        Columns at or beyond the trained width are ignored.
         """
         doubles = "array<double>"
         weights = F.from_json(F.lit(json.dumps(self.weights)), f"array<{doubles}>")
         intercepts = F.from_json(F.lit(json.dumps(self.intercepts)), doubles)
-        classes = F.from_json(F.lit(json.dumps(self.classes)), "array<string>")
         known = F.filter(positions, lambda p: p < self.width)
-        margins = F.aggregate(
+        return F.aggregate(
             known,
             intercepts,
             lambda sums, p: F.zip_with(sums, F.element_at(weights, p + 1), lambda a, w: a + w),
         )
-        sigmoids = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-m)))
-        # The aggregate hands the sum on, so that the sigmoids are made only once.
-        normalised = F.element_at(
-            F.transform(
-                F.array(sigmoids),
-                lambda s: F.transform(
-                    s,
-                    lambda x: F.round(
-                        x / F.aggregate(s, F.lit(0.0), lambda a, b: a + b), PROBABILITY_DIGITS
-                    ),
+
+    def probabilities(self, positions: Column) -> Column:
+        """``map<class, probability>`` of a row's set columns, null if none is set."""
+        return probabilities(self.classes, self.margins(positions), positions)
+
+
+def probabilities(class_names: list[str], margins: Column, positions: Column) -> Column:
+    """``map<class, probability>`` from a row's margins, null if it sets no column.
+
+    The class sigmoids are divided by their sum and rounded.
+    """
+    classes = F.from_json(F.lit(json.dumps(class_names)), "array<string>")
+    # The aggregate hands the sum on, so that the sigmoids are made only once.
+    normalised = F.element_at(
+        F.transform(
+            F.array(F.transform(margins, sigmoid)),
+            lambda s: F.transform(
+                s,
+                lambda x: F.round(
+                    x / F.aggregate(s, F.lit(0.0), lambda a, b: a + b), PROBABILITY_DIGITS
                 ),
             ),
-            1,
-        )
-        return F.when(F.size(positions) > 0, F.map_from_arrays(classes, normalised))
+        ),
+        1,
+    )
+    return F.when(F.size(positions) > 0, F.map_from_arrays(classes, normalised))
 
 
 def human_verdict(probabilities: Column, claimed_family: Column, threshold: float = HUMAN_THRESHOLD):

@@ -2,23 +2,33 @@
 
 The costly part is trying ordered patterns on agent texts. With few patterns
 they are tried in place on each row, without a shuffle. With many, each distinct
-agent is described once and the descriptions are joined back.
+agent meets only the patterns an index finds for it, and what was found is
+joined back as five numbers; the descriptions are attached from small lookups.
 """
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headersieve.functions import fixed_values as V
 from headersieve.functions.addresses import ip_version
-from headersieve.operators.lookup import Lookup, attach, dense_index, lookup_join
+from headersieve.operators.lookup import Lookup, attach, lookup_join
+from headersieve.operators.pattern_index import match_texts
 from headersieve.session import materialize
-from headersieve.sources.signatures import PATTERN_BLOCK, Rules, Signatures, readable_patterns
+from headersieve.sources.signatures import Rules, Signatures
+
+if TYPE_CHECKING:
+    from headersieve.sources.agents import AgentDictionary
 
 # Up to this many patterns in all are tried on each row in place.
 INLINE_PATTERNS = 64
 
+#: What is known of an agent: numbers of its entries in the signature tables, and its version.
+AGENT_IDS = "crawler_id bigint, client_id bigint, version string, os_id bigint, device_id bigint"
+
 
 def first_match(text: Column, patterns: list[tuple[int, str]]) -> Column:
     """The first pattern found in ``text`` as struct (id, version), null if none is.
@@ -40,31 +50,21 @@ def first_match(text: Column, patterns: list[tuple[int, str]]) -> Column:
     return F.coalesce(*tries, none)
 
 
-def match_rules(
-    df: DataFrame, rules: Rules, text: Column, name: str, block: int = PATTERN_BLOCK
-) -> DataFrame:
+def match_rules(df: DataFrame, rules: Rules, text: Column, name: str) -> DataFrame:
     """Add ``name``, the first match of ``text`` among the rules.
 
-    More patterns than fit one expression are worked off block by block in
-    order, each block seeing only the texts no earlier one matched; the driver
-    never holds more than a block of patterns.
+    A few patterns are tried in place. More are matched by their index against
+    the distinct texts, and only what was found is joined back: ``df`` itself is
+    neither written nor moved unless the distinct texts are too many to broadcast.
     """
     if rules.patterns is not None:
         return df.withColumn(name, first_match(text, rules.patterns))
-    spark = df.sparkSession
-    numbered = dense_index(rules.ordered, [F.col(c) for c in ("sequence", "id", "pattern")], "rule")
-    total = numbered.count()
-    df = df.withColumn(name, F.lit(None).cast("struct<id:bigint,version:string>"))
-    for start in range(0, total, block):
-        rows = (
-            numbered.filter(F.col("rule").between(start, start + block - 1)).orderBy("rule").collect()
-        )
-        good, _ = readable_patterns(spark, [(r["id"], r["pattern"]) for r in rows])
-        hit = F.coalesce(F.col(name), first_match(text, good))
-        df = df.withColumn(name, hit)
-        if not df.isStreaming:  # a stream can't be written on the way and tries the blocks in place
-            df = materialize(df, name)
-    return df
+    if df.isStreaming:
+        raise ValueError("many patterns need a batch: use them in foreachBatch, as the streaming plans do")
+    texts = df.select(text.alias("text")).filter(F.col("text").isNotNull()).distinct()
+    hits = materialize(match_texts(materialize(texts, "texts"), rules.index).filter("hit is not null"), name)
+    lookup = Lookup.measure(hits.select(F.col("text").alias("__text"), F.col("hit").alias(name)), "__text")
+    return lookup_join(df, lookup, text)
 
 
 def match_crawler_ua(df: DataFrame, signatures: Signatures) -> DataFrame:
@@ -190,14 +190,48 @@ def _agent_record() -> Column:
     return F.struct(*(column.alias(field) for field, column in fields.items()))
 
 
+def _described(matched: DataFrame, kept: list[str]) -> DataFrame:
+    return matched.select(*kept, _agent_record().alias("ua"))
+
+
 def describe_user_agents(df: DataFrame, signatures: Signatures) -> DataFrame:
     """Add ``ua``, the agent record of ``user_agent``, row by row."""
-    kept = df.columns
     matched = match_crawler_ua(df, signatures)
     matched = match_client_regex(matched, signatures)
     matched = match_os_regex(matched, signatures)
     matched = match_device_regex(matched, signatures)
-    return matched.select(*kept, _agent_record().alias("ua"))
+    return _described(matched, df.columns)
+
+
+def identify_agents(agents: DataFrame, signatures: Signatures) -> DataFrame:
+    """``user_agent`` and ``AGENT_IDS`` of distinct agents."""
+    found = match_crawler_ua(agents.select("user_agent"), signatures)
+    for rules, name in (
+        (signatures.clients, "client"), (signatures.systems, "os"), (signatures.devices, "device")
+    ):
+        found = match_rules(found, rules, _matchable(found), f"{name}_hit")
+    return found.select(
+        "user_agent",
+        F.col("crawler.botid").cast("bigint").alias("crawler_id"),
+        F.col("client_hit.id").alias("client_id"),
+        F.col("client_hit.version").alias("version"),
+        F.col("os_hit.id").alias("os_id"),
+        F.col("device_hit.id").alias("device_id"),
+    )
+
+
+def describe_identified(df: DataFrame, identified: Lookup, signatures: Signatures) -> DataFrame:
+    """Add ``ua`` from a lookup of agents to ``AGENT_IDS``; only numbers travel with the rows."""
+    ids = F.struct(*(f.split()[0] for f in AGENT_IDS.split(", "))).alias("__ids")
+    numbered = Lookup(identified.table.select(F.col(identified.key).alias("__agent"), ids), "__agent", identified.small)
+    found = lookup_join(df, numbered, F.col("user_agent"))
+    found = attach(found, signatures.crawlers_by_id(), F.col("__ids.crawler_id"), "crawler")
+    for rules, name in (
+        (signatures.clients, "client"), (signatures.systems, "os"), (signatures.devices, "device")
+    ):
+        found = attach(found, rules.described, F.col(f"__ids.{name}_id"), name)
+    version = F.struct(F.col("__ids.version").alias("version")).alias("client_hit")
+    return _described(found.select("*", version), df.columns)
 
 
 def classify_ip(df: DataFrame, signatures: Signatures) -> DataFrame:
@@ -228,25 +262,30 @@ def _inline(signatures: Signatures) -> bool:
     return sum(len(r.patterns) for r in rules) <= INLINE_PATTERNS
 
 
-def parse_user_agents(df: DataFrame, signatures: Signatures, strategy: str = "auto") -> DataFrame:
+def parse_user_agents(
+    df: DataFrame, signatures: Signatures, strategy: str = "auto", agents: AgentDictionary | None = None
+) -> DataFrame:
     """Add ``ua`` and ``address`` to rows with ``user_agent`` and ``ip``.
 
     ``strategy`` is ``inline`` (try the patterns on each row), ``distinct``
-    (describe each distinct agent once and join back) or ``auto``, which goes by
-    the number of patterns.
+    (identify each distinct agent once and join the numbers back) or ``auto``, which
+    goes by the number of patterns. With a dictionary only agents that it does not know
+    yet are identified. ``df`` is then read twice, so it is written once before.
     """
     if strategy == "auto":
         # A stream cannot be scanned twice; its batches can, see the streaming plans.
-        strategy = "inline" if df.isStreaming or _inline(signatures) else "distinct"
+        strategy = "inline" if df.isStreaming or (agents is None and _inline(signatures)) else "distinct"
     if strategy == "inline":
         described = describe_user_agents(df, signatures)
     elif strategy == "distinct":
-        agents = df.select("user_agent").distinct()
-        known = materialize(describe_user_agents(agents, signatures), "agents")
-        described = lookup_join(
-            df, Lookup.measure(known.withColumnRenamed("user_agent", "__agent"), "__agent"),
-            F.col("user_agent"),
-        )
+        df = materialize(df, "rows")
+        if agents is None:
+            distinct = materialize(df.select("user_agent").distinct(), "agents")
+            known = materialize(identify_agents(distinct, signatures), "identified")
+        else:
+            agents.add(df)
+            known = agents.known()
+        described = describe_identified(df, Lookup.measure(known, "user_agent"), signatures)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return classify_ip(described, signatures)

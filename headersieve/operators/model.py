@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.functions.fixed_values import INVERSE_REGULARISATION
-from headersieve.functions.scoring import LinearScorer
+from headersieve.functions.scoring import LinearScorer, sigmoid
 
 COEFFICIENTS = "class string, column int, weight double"
 
@@ -113,3 +113,39 @@ def train_family_model(
     columns = zip(*(m.coefficients.toArray().tolist() for m in models))
     scorer = LinearScorer(classes, [m.intercept for m in models], [list(c) for c in columns])
     return FamilyModel(scorer, fitted)
+
+
+def optimality_residual(
+    training_set: DataFrame, model: FamilyModel, inverse_strength: float = INVERSE_REGULARISATION
+) -> DataFrame:
+    """``(class, residual)``: how far a trained model is from the best one for its training set.
+
+    The penalised loss of a class against the rest is convex, so its weights are the best ones exactly where
+    its gradient is zero. The residual is the largest part of that gradient: for a column the mean of (probability
+    - label) over the rows that set it, plus the penalty's share; the intercept has no penalty. It is one pass over
+    the set cells with as many sums per column as there are classes. A single family is not trained and has the
+    residual 0.
+    """
+    spark, scorer = training_set.sparkSession, model.scorer
+    weights = model.export_coefficients(spark)
+    if len(scorer.classes) < 2:
+        return weights.groupBy("class").agg(F.lit(0.0).alias("residual"))
+    rows = training_set.count()
+    labels = [(F.col("family") == name).cast("double") for name in scorer.classes]
+    scored = training_set.select("positions", scorer.margins(F.col("positions")).alias("margins"), *(
+        label.alias(f"label{k}") for k, label in enumerate(labels)
+    ))
+    errors = [sigmoid(F.col("margins")[k]) - F.col(f"label{k}") for k in range(len(labels))]
+    cells = scored.select(
+        F.explode(F.concat(F.array(F.lit(-1)), "positions")).alias("column"),
+        *(error.alias(f"error{k}") for k, error in enumerate(errors)),
+    )
+    sums = cells.groupBy("column").agg(*(F.sum(f"error{k}").alias(f"error{k}") for k in range(len(labels))))
+    by_class = F.array(*(
+        F.struct(F.lit(name).alias("class"), F.col(f"error{k}").alias("error")) for k, name in enumerate(scorer.classes)
+    ))
+    loss = sums.select("column", F.inline(by_class))
+    penalty = F.when(F.col("column") < 0, 0.0).otherwise(F.col("weight") / (inverse_strength * rows))
+    # A column that no row sets has no error, only its penalty.
+    gradient = F.coalesce(F.col("error"), F.lit(0.0)) / rows + penalty
+    return weights.join(loss, ["class", "column"], "left").groupBy("class").agg(F.max(F.abs(gradient)).alias("residual"))

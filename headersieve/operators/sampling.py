@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from headersieve.operators.lookup import Lookup, lookup_join
 from headersieve.session import materialize
 
+# Parts that a range of times or ids is counted in, and keys that are looked at one by one.
+BUCKETS = 1024
+FEW_KEYS = 4096
+
 
 def _in_period(start: int, finish: int) -> Column:
     moments = (F.timestamp_seconds(F.lit(t)) for t in (start, finish))
@@ -51,27 +55,76 @@ def _whole_days(df: DataFrame, n: int, newest: bool) -> DataFrame:
     return df.filter(day >= F.lit(last) if newest else day <= F.lit(last))
 
 
+def _bucket_range(bucket: int, width: int) -> tuple[int, int]:
+    """The values whose division by ``width``, cut towards zero, gives ``bucket``."""
+    if bucket == 0:
+        return 1 - width, width - 1
+    return (bucket * width, bucket * width + width - 1) if bucket > 0 else (bucket * width - width + 1, bucket * width)
+
+
+def _narrow(
+    df: DataFrame, column: str, n: int, newest: bool, low: int, high: int, inside: int
+) -> tuple[DataFrame, int, int, int]:
+    """Narrow ``low`` to ``high``, which hold ``inside`` rows, around the ``n``-th value in order.
+
+    Every turn counts the rows of up to ``BUCKETS`` equal parts, at most so many numbers for the driver, and goes on
+    with the part that the ``n``-th is in. Gives its rows, the place of the ``n``-th among them, and the range.
+    """
+    df = df.filter(F.col(column).between(low, high))
+    while low < high and inside > FEW_KEYS:
+        width = (high - low) // BUCKETS + 1
+        counts = df.groupBy(F.expr(f"{column} div {width}L").alias("bucket")).count().collect()
+        for row in sorted(counts, reverse=newest):
+            if n <= row["count"]:
+                break
+            n -= row["count"]
+        first, last = _bucket_range(row["bucket"], width)
+        low, high, inside = max(low, first), min(high, last), row["count"]
+        df = df.filter(F.col(column).between(low, high))
+    return df, n, low, high
+
+
+def nth_key(df: DataFrame, n: int, newest: bool) -> tuple[int, int] | None:
+    """The ``n``-th key ``(microseconds, log_id)`` in order of time and id; None if there are no more than ``n`` rows.
+
+    The key is closed in on by histograms, first of the time and then, if a single moment holds too many rows, of
+    the id; nothing is sorted and no task gets more than its own rows. The last ``FEW_KEYS`` keys at most are looked
+    at one by one.
+    """
+    keys = df.select(F.unix_micros("timestamp").alias("at"), "log_id")
+    ends = keys.agg(
+        F.min("at").alias("low"), F.max("at").alias("high"), F.count("at").alias("rows"),
+        F.min("log_id").alias("low_id"), F.max("log_id").alias("high_id"),
+    ).first()
+    if ends["rows"] <= n:
+        return None
+    part, n, low, high = _narrow(keys, "at", n, newest, ends["low"], ends["high"], ends["rows"])
+    if low == high:
+        part, n, _, _ = _narrow(part, "log_id", n, newest, ends["low_id"], ends["high_id"], part.count())
+        if part.agg(F.min("log_id") == F.max("log_id")).first()[0]:
+            return low, part.first()["log_id"]
+    return tuple(sorted(part.collect(), reverse=newest)[n - 1])
+
+
 def _up_to_nth(df: DataFrame, n: int, newest: bool) -> DataFrame:
-    """The first ``n`` rows by (timestamp, log_id) without moving whole rows.
+    """The first ``n`` rows by (timestamp, log_id) without moving or sorting rows.
 
-    Only the two sort keys go through the top-n. Its last key, one row, then
-    becomes a filter on the full rows, which stay where they are; the filter on
-    the time reaches the scan.
+    The key of the last of them becomes a filter on the full rows, which stay where
+    they are; the filter on the time reaches the scan.
     """
     if n <= 0:
         return df.limit(0)
+    df = df.filter(F.col("timestamp").isNotNull())
     if "log_date" in df.columns:
         df = _whole_days(df, n, newest)
-    keys = df.select(F.unix_micros("timestamp").alias("at"), "log_id")
-    order = [F.col(c).desc() if newest else F.col(c).asc() for c in keys.columns]
-    edge = F.min if newest else F.max
-    cut = keys.orderBy(*order).limit(n).agg(edge(F.struct("at", "log_id")).alias("cut")).first()["cut"]
+    cut = nth_key(df, n, newest)
     if cut is None:
-        return df.limit(0)
-    moment, time, number = F.timestamp_micros(F.lit(cut["at"])), F.col("timestamp"), F.col("log_id")
+        return df
+    at, last_id = cut
+    moment, time, number = F.timestamp_micros(F.lit(at)), F.col("timestamp"), F.col("log_id")
     if newest:
-        return df.filter((time >= moment) & ((time > moment) | (number >= cut["log_id"])))
-    return df.filter((time <= moment) & ((time < moment) | (number <= cut["log_id"])))
+        return df.filter((time >= moment) & ((time > moment) | (number >= last_id)))
+    return df.filter((time <= moment) & ((time < moment) | (number <= last_id)))
 
 
 def newest_logs(df: DataFrame, n: int) -> DataFrame:

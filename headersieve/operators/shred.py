@@ -6,6 +6,8 @@ Lines need the columns ``log_id`` and ``line``; bodies ``request_id``,
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from headersieve.functions.headers import once
 from headersieve.operators.match import parse_user_agents
 from headersieve.sources.signatures import Signatures
 
+if TYPE_CHECKING:
+    from headersieve.sources.agents import AgentDictionary
+
 UA_COLUMNS = (
     "ua_family_code",
     "ua_version",
@@ -147,11 +152,12 @@ def _add_late_reasons(
     filter_crawlers: bool,
     need_ua: bool,
     words_only: bool,
+    agents: AgentDictionary | None,
 ) -> DataFrame:
     if not (need_ua or (filter_crawlers and not words_only)):
         parsed, crawler = shredded, is_crawler(F.col("user_agent"), words_only=True)
     else:
-        parsed = parse_user_agents(shredded, signatures)
+        parsed = parse_user_agents(shredded, signatures, agents=agents)
         crawler = is_crawler(
             F.col("user_agent"),
             F.col("ua.ua_class_code"),
@@ -174,10 +180,11 @@ def reject_reason(
     finish: int | None = None,
     legacy_ua_pick: bool = False,
     words_only: bool = False,
+    agents: AgentDictionary | None = None,
 ) -> DataFrame:
     """Every line with the first ``reason`` to reject it, null if it is accepted."""
     shredded = _shredded_lines(df, start, finish, "legacy" if legacy_ua_pick else "online", True)
-    return _add_late_reasons(shredded, signatures, filter_crawlers, need_ua, words_only)
+    return _add_late_reasons(shredded, signatures, filter_crawlers, need_ua, words_only, agents)
 
 
 def parse_log_lines(
@@ -189,14 +196,18 @@ def parse_log_lines(
     finish: int | None = None,
     legacy_ua_pick: bool = False,
     words_only: bool = False,
+    agents: AgentDictionary | None = None,
 ) -> DataFrame:
-    """Accepted lines as ``log_id, epoch, ip, user_agent, [agent columns], maps``."""
+    """Accepted lines as ``log_id, epoch, ip, user_agent, [agent columns], maps``.
+
+    With a dictionary in ``agents`` only agents that it does not know yet are tried on the patterns.
+    """
     shredded = _shredded_lines(df, start, finish, "legacy" if legacy_ua_pick else "online", False)
     shredded = shredded.select(
         "log_id", "epoch", "ip", "user_agent", "value_data", "order_data", "reason"
     )
     accepted = _add_late_reasons(
-        shredded, signatures, filter_crawlers, need_ua, words_only
+        shredded, signatures, filter_crawlers, need_ua, words_only, agents
     ).filter(F.col("reason").isNull())
     agent = []
     if need_ua:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,13 @@ from headersieve.functions.scoring import LinearScorer, human_verdict
 from headersieve.operators.features import full_features
 from headersieve.operators.lookup import Lookup, lookup_join
 from headersieve.operators.match import parse_user_agents
+from headersieve.operators.scorer import TableScorer
 from headersieve.operators.shred import shred_request_body
 from headersieve.sources.signatures import Signatures
 
+if TYPE_CHECKING:
+    from headersieve.sources.agents import AgentDictionary
+
 
 def crawler_flag(words_only: bool = False) -> Column:
     """The crawler test over rows described by ``parse_user_agents``."""
@@ -32,10 +38,9 @@ def drop_crawlers(df: DataFrame, words_only: bool = False) -> DataFrame:
 
 
 def score_by_join(df: DataFrame, coefficients: DataFrame, id_column: str = "log_id") -> DataFrame:
-    """``(id, class, prob)`` from rows with ``positions`` and a table of weights.
+    """``(id, class, prob)`` from rows with any number of ``positions`` and a table of weights.
 
-    For weights too many for one expression. Column -1 of the table holds the
-    intercepts, so each row gets it as one more set column.
+    Column -1 of the table holds the intercepts, so each row gets it as one more set column.
     """
     by_column = coefficients.groupBy("column").agg(
         F.collect_list(F.struct("class", "weight")).alias("weights")
@@ -71,24 +76,14 @@ def score_by_join(df: DataFrame, coefficients: DataFrame, id_column: str = "log_
     )
 
 
-def score_families(
-    df: DataFrame, scorer: LinearScorer | None, coefficients: DataFrame | None = None,
-    id_column: str = "log_id",
-) -> DataFrame:
+def score_families(df: DataFrame, scorer: LinearScorer | TableScorer) -> DataFrame:
     """Add ``probs``, the probability of each family; null if no column is set.
 
-    Scored in place if the weights fit one expression, by joins otherwise.
+    Rows are scored in place: by weights in the expression, or by lookups in a table of weights.
     """
-    if scorer is not None:
-        return once(df, "probs", scorer.probabilities(F.col("positions")))
-    if coefficients is None:
-        raise ValueError("either a scorer or a table of coefficients is needed")
-    scores = (
-        score_by_join(df, coefficients, id_column)
-        .groupBy(F.col(id_column).alias("__id"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("class", "prob"))).alias("probs"))
-    )
-    return df.join(scores, F.col(id_column) == F.col("__id"), "left").drop("__id")
+    if isinstance(scorer, TableScorer):
+        return scorer.score(df)
+    return once(df, "probs", scorer.probabilities(F.col("positions")))
 
 
 def request_verdict(
@@ -111,12 +106,12 @@ def judge_requests(
     requests: DataFrame,
     signatures: Signatures,
     vocabulary: DataFrame | Lookup,
-    scorer: LinearScorer | None,
-    coefficients: DataFrame | None = None,
+    scorer: LinearScorer | TableScorer,
     threshold: float = V.HUMAN_THRESHOLD,
     trim: bool = True,
     unknown: str = "slot0",
     words_only: bool = False,
+    agents: AgentDictionary | None = None,
 ) -> DataFrame:
     """``request_id, client_ip, user_agent, ua_family_code, verdict`` per request."""
     shredded = shred_request_body(requests, trim).withColumn(
@@ -126,10 +121,10 @@ def judge_requests(
         shredded.withColumn("log_id", F.col("request_id")), vocabulary, unknown
     )
     # Scored first, so that the header maps are gone before agents are looked up.
-    scored = score_families(features, scorer, coefficients).select(
+    scored = score_families(features, scorer).select(
         "request_id", "client_ip", "ip", "user_agent", "positions", "probs"
     )
-    return parse_user_agents(scored, signatures).select(
+    return parse_user_agents(scored, signatures, agents=agents).select(
         "request_id",
         "client_ip",
         "user_agent",
@@ -141,8 +136,7 @@ def judge_requests(
 def judge_logs(
     logs: DataFrame,
     vocabulary: DataFrame | Lookup,
-    scorer: LinearScorer | None,
-    coefficients: DataFrame | None = None,
+    scorer: LinearScorer | TableScorer,
     threshold: float = V.HUMAN_THRESHOLD,
     order: str = "stored",
     unknown: str = "slot0",
@@ -156,7 +150,7 @@ def judge_logs(
     kept = logs.columns
     if order == "sorted":
         logs = logs.withColumn("order_data", sorted_order(F.col("value_data")))
-    scored = score_families(full_features(logs, vocabulary, unknown), scorer, coefficients)
+    scored = score_families(full_features(logs, vocabulary, unknown), scorer)
     unknown_agent = pick_user_agent(F.col("value_data"), "evaluation") == ""
     human = human_verdict(F.col("probs"), F.col("ua_family_code"), threshold)
     verdict = (

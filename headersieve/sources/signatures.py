@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headersieve.operators.lookup import Lookup
+from headersieve.operators.pattern_index import PatternIndex
 
 # Tables of a signature source and the columns read from each.
 TABLES: dict[str, tuple[str, ...]] = {
@@ -41,8 +41,11 @@ TABLES: dict[str, tuple[str, ...]] = {
 }
 _KEYS = {"id", "class_id", "client_id", "os_id", "deviceclass_id", "crawler_id", "sequence"}
 
-# Patterns collected at once to build match expressions from.
-PATTERN_BLOCK = 2000
+# Patterns up to this many are kept as a list, to be tried in place.
+PATTERN_BLOCK = 64
+
+# What is said about a pattern that is left out.
+UNREADABLE = "not a regular expression that the engine can read"
 
 
 def complete(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -137,60 +140,38 @@ class Rules:
     """Ordered patterns and what each says about an agent.
 
     ``patterns`` holds (id, pattern) in the order to try them if there are few
-    enough to build one match expression from, else None and ``ordered`` has to
-    be read block by block. ``rejected`` holds patterns the engine cannot read.
+    enough to try them in place, else it is None and ``index`` finds the patterns
+    that a text can match. ``rejected`` holds (id, pattern) the engine cannot read.
     """
 
     ordered: DataFrame
     described: Lookup
     patterns: list[tuple[int, str]] | None
-    rejected: list[tuple[int, str, str]]
-
-
-def unreadable(spark: SparkSession, pattern: str) -> str | None:
-    """Why the regex engine does not accept a pattern, None if it does."""
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except IllegalArgumentException as error:
-        return str(error)
-    return None
+    index: PatternIndex | None
+    rejected: DataFrame
 
 
-def readable_patterns(
-    spark: SparkSession, patterns: list[tuple[int, str]]
-) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]]:
-    """Split patterns into those the regex engine accepts and those it does not."""
-    good, bad = [], []
-    for number, pattern in patterns:
-        error = unreadable(spark, pattern)
-        if error is None:
-            good.append((number, pattern))
-        else:
-            bad.append((number, pattern, error))
-    return good, bad
+def is_readable(pattern: Column) -> Column:
+    """Whether the regex engine accepts a pattern; it is asked by the tasks, not by the driver."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return compiled.isNotNull()
 
 
 def load_rules(dim: DataFrame, id_column: str, block: int = PATTERN_BLOCK) -> Rules:
-    """Measure the dimension and fetch its patterns if they fit one block."""
-    spark = dim.sparkSession
-    ordered = dim.select("sequence", F.col(id_column).cast("bigint").alias("id"), "pattern")
+    """Sort out unreadable patterns; list the others if they are few, else index them."""
     facts = (
         dim.drop("sequence", "pattern", "regstring")
         .withColumn(id_column, F.col(id_column).cast("bigint"))
         .dropDuplicates([id_column])
     )
     described = Lookup.load(facts, id_column)
+    every = dim.select("sequence", F.col(id_column).cast("bigint").alias("id"), "pattern")
+    rejected = every.filter(~is_readable(F.col("pattern"))).select("id", "pattern")
+    ordered = every.filter(is_readable(F.col("pattern")))
     head = ordered.orderBy("sequence", "id", "pattern").limit(block + 1).collect()
     if len(head) > block:
-        # Only the unreadable ones stay on the driver; the rest passes by.
-        bad = [
-            (row["id"], row["pattern"], error)
-            for row in ordered.toLocalIterator()
-            if (error := unreadable(spark, row["pattern"])) is not None
-        ]
-        return Rules(ordered, described, None, sorted(bad))
-    good, bad = readable_patterns(spark, [(row["id"], row["pattern"]) for row in head])
-    return Rules(ordered, described, good, bad)
+        return Rules(ordered, described, None, PatternIndex.build(ordered), rejected)
+    return Rules(ordered, described, [(row["id"], row["pattern"]) for row in head], None, rejected)
 
 
 @dataclass(frozen=True)
@@ -203,16 +184,19 @@ class Signatures:
     crawlers: Lookup
     addresses: Lookup
 
-    def rejected_patterns(self, spark: SparkSession) -> DataFrame:
+    def crawlers_by_id(self) -> Lookup:
+        """The crawlers keyed by their number, which stays among the fields."""
+        table = self.crawlers.table
+        return Lookup(table.withColumn("crawler_id", F.col("botid").cast("bigint")), "crawler_id", self.crawlers.small)
+
+    def rejected_patterns(self, spark: SparkSession | None = None) -> DataFrame:
         """Patterns that were left out because the regex engine cannot read them."""
-        rows = [
-            (kind, *entry)
-            for kind, rules in (
-                ("client", self.clients), ("os", self.systems), ("device", self.devices)
-            )
-            for entry in rules.rejected
+        kinds = {"client": self.clients, "os": self.systems, "device": self.devices}
+        parts = [
+            rules.rejected.select(F.lit(kind).alias("kind"), "id", "pattern", F.lit(UNREADABLE).alias("error"))
+            for kind, rules in kinds.items()
         ]
-        return spark.createDataFrame(rows, "kind string, id bigint, pattern string, error string")
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def load_signatures(tables: dict[str, DataFrame], block: int = PATTERN_BLOCK) -> Signatures:

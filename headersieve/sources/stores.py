@@ -9,9 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headersieve.functions.scoring import LinearScorer
 from headersieve.operators.lookup import Lookup
 from headersieve.operators.model import FamilyModel
+from headersieve.operators.scorer import TableScorer
 
 LOGS = (
     "log_id bigint, timestamp timestamp, ip string, user_agent string, ua_family_code string, "
@@ -121,7 +121,7 @@ class PublishedModel:
     width: int
     vocabulary: Lookup
     coefficients: DataFrame
-    scorer: LinearScorer | None
+    scorer: TableScorer
 
 
 def latest_version(spark: SparkSession, store: str) -> int:
@@ -155,7 +155,7 @@ def load_model(spark: SparkSession, store: str, version: int | None = None) -> P
         raise FileNotFoundError(f"no model has been published in {store}")
     home = f"{store}/version={chosen}"
     coefficients = spark.read.parquet(f"{home}/coefficients")
-    scorer = LinearScorer.from_table(coefficients)
+    scorer = TableScorer.from_table(coefficients)
     width = (
         read_or_empty(spark, f"{store}/published", VERSIONS)
         .filter(F.col("version") == chosen)

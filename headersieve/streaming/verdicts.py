@@ -26,11 +26,11 @@ def verdict_stream(
 ) -> DataFrame:
     """A streaming frame of verdicts under one model, for any sink.
 
-    Signatures, vocabulary and weights are static sides; nothing is kept as state.
+    Signatures, vocabulary and weights are static sides; nothing is kept as state, and rows are scored
+    in place however many weights there are. More patterns than are tried in place need batches, as
+    ``stream_verdicts`` has them.
     """
-    return judge_requests(
-        requests, signatures, model.vocabulary, model.scorer, model.coefficients, **options
-    )
+    return judge_requests(requests, signatures, model.vocabulary, model.scorer, **options)
 
 
 def latest_model(spark: SparkSession, store: str) -> Callable[[], PublishedModel]:

@@ -166,6 +166,32 @@ def test_newest_and_first_n_settle_ties_by_id(spark, n):
     assert {r["log_id"] for r in A.first_n_in_period(df, 5, 30, n).collect()} == {i for _, i in first}
 
 
+@pytest.mark.parametrize("buckets, few", [(2, 1), (5, 3), (1024, 4096)])
+@pytest.mark.parametrize("newest", [True, False])
+def test_nth_key_by_histograms(spark, monkeypatch, buckets, few, newest):
+    """One moment that holds a third of all rows, times before 1970, ids of either sign, repeated keys."""
+    monkeypatch.setattr(A, "BUCKETS", buckets)
+    monkeypatch.setattr(A, "FEW_KEYS", few)
+    rng = random.Random(buckets)
+    times = [rng.choice([-7_000_000, 0, rng.randrange(-50, 50), rng.randrange(-(10**12), 10**15)]) for _ in range(150)]
+    rows = [(t, rng.choice([rng.randrange(-9, 9), rng.randrange(-(2**62), 2**62)])) for t in [*times, *[5] * 70]]
+    df = spark.createDataFrame([*rows, (None, 1)], "at bigint, log_id bigint").select(
+        F.timestamp_micros("at").alias("timestamp"), "log_id"
+    )
+    order = sorted(rows, reverse=newest)
+    for n in (1, 2, 75, 110, len(rows) - 1, len(rows)):
+        want = order[n - 1] if n < len(rows) else None
+        assert A.nth_key(df.filter("timestamp IS NOT NULL"), n, newest) == want
+    got = A.newest_logs(df, 100) if newest else A._up_to_nth(df, 100, newest=False)
+    assert got.count() == sum((r >= order[99]) if newest else (r <= order[99]) for r in rows)
+
+
+def test_selection_neither_sorts_nor_limits(spark):
+    _, df = timed(spark)
+    plan = A.newest_logs(df, 17)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Limit" not in plan and "Exchange" not in plan
+
+
 def test_period_includes_both_ends(spark):
     rows, df = timed(spark)
     assert A.logs_in_period(df, 7, 9).count() == sum(7 <= e <= 9 for _, e, _ in rows)

@@ -67,14 +67,14 @@ def test_strategies_agree(spark, signatures, sf_dir):
 
 
 def test_patterns_in_blocks_agree(spark, sf_dir):
-    """More patterns than fit a block are worked off block by block."""
+    """More patterns than are tried in place are found by their index."""
     tables = seed_signatures(spark)
     agents = Q._agents(spark, sf_dir)
     whole = U.parse_user_agents(agents, load_signatures(tables))
     blocked = load_signatures(tables, block=2)
     assert blocked.clients.patterns is None
     matched = U.match_rules(
-        agents.select("user_agent").distinct(), blocked.clients, F.col("user_agent"), "hit", block=2
+        agents.select("user_agent").distinct(), blocked.clients, F.col("user_agent"), "hit"
     )
     expected = whole.filter("ua.ua_class_code not in ('', 'crawler', 'unrecognized')")
     found = {r["user_agent"]: r["hit"]["version"] for r in matched.collect() if r["hit"]}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from headersieve.functions.scoring import LinearScorer, human_verdict
 from headersieve.operators import model as M
 from headersieve.operators import verdict as V
+from headersieve.operators.scorer import TableScorer
 from headersieve.sources.fixtures import fixed_coefficients
 
 SET = "log_id bigint, family string, positions array<int>"
@@ -55,22 +56,92 @@ def test_scores_against_brute_force(spark):
 
 
 def test_scores_by_join_agree(spark):
+    """Any number of set columns, by groups: the same last digit as in one expression."""
     scorer, rows = random_scorer(), random_positions()
     df = positions_frame(spark, rows)
     coefficients = M.FamilyModel(scorer, None).export_coefficients(spark)
-    joined = {r["log_id"]: r["probs"] for r in V.score_families(df, None, coefficients).collect()}
+    joined = {}
+    for r in V.score_by_join(df, coefficients).collect():
+        joined.setdefault(r["log_id"], {})[r["class"]] = r["prob"]
     in_place = {r["log_id"]: r["probs"] for r in V.score_families(df, scorer).collect()}
-    assert joined.keys() == in_place.keys()
-    for log_id, probs in in_place.items():
-        assert (probs is None) == (joined[log_id] is None)
-        if probs:
-            assert joined[log_id] == probs
+    assert joined == {log_id: probs for log_id, probs in in_place.items() if probs}
 
 
-def test_too_many_weights_are_not_collected(spark):
-    coefficients = fixed_coefficients(spark, 60)
-    assert LinearScorer.from_table(coefficients, max_weights=100) is None
-    assert LinearScorer.from_table(coefficients).width == 60
+def feature_positions(n, width, seed=5):
+    """Rows as features make them: some order slots, then up to six value slots, some beyond the width."""
+    rng = random.Random(seed)
+    rows = [sorted(rng.sample(range(49), rng.randrange(0, 9))) for _ in range(n)]
+    return [r + sorted(rng.sample(range(49, width + 9), rng.randrange(0, 7))) for r in rows]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 1}])
+def test_table_of_weights_scores_like_the_expression(spark, bounds):
+    """Broadcast or shuffled, the digits are those of one expression."""
+    scorer, rows = random_scorer(width=80), feature_positions(300, 80)
+    coefficients = M.FamilyModel(scorer, None).export_coefficients(spark)
+    table = TableScorer.from_table(coefficients.repartition(3), **bounds)
+    assert table.tail.small == (not bounds) and (table.width, table.classes) == (80, scorer.classes)
+    df = positions_frame(spark, rows)
+    want = {r["log_id"]: r["probs"] for r in V.score_families(df, scorer).collect()}
+    got = {r["log_id"]: r["probs"] for r in V.score_families(df, table).collect()}
+    assert got == want and any(want.values()) and None in want.values()
+
+
+def test_a_vocabulary_of_a_million(spark):
+    """Weights stay a table; only those of the order slots come to the driver."""
+    width = 1_000_049
+    table = TableScorer.from_table(fixed_coefficients(spark, width))
+    assert not table.tail.small and table.head.width == 49
+    rows = feature_positions(40, width)
+    expected = LinearScorer(
+        ["chrome", "firefox", "opera"], [-0.1, 0.0, 0.1], []
+    )
+    for row in V.score_families(positions_frame(spark, rows), table).collect():
+        sums = list(expected.intercepts)
+        for p in row["positions"]:
+            if p < width:
+                sums = [s + ((p * 7 + k * 13) % 11 - 5) / 10.0 for k, s in enumerate(sums)]
+        sigmoids = [1 / (1 + math.exp(-s)) for s in sums]
+        want = {c: round(s / sum(sigmoids), 5) for c, s in zip(expected.classes, sigmoids)}
+        assert row["probs"] == (pytest.approx(want, abs=1.1e-5) if row["positions"] else None)
+
+
+def test_weights_of_order_slots_alone(spark):
+    coefficients = fixed_coefficients(spark, 30)
+    df = positions_frame(spark, [[1, 2, 29, 30], [], [48], [60, 61, 62, 63, 64, 65, 66]])
+    got = V.score_families(df, TableScorer.from_table(coefficients)).orderBy("log_id").collect()
+    want = V.score_families(df, LinearScorer.from_table(coefficients)).orderBy("log_id").collect()
+    assert got == want
+    none = TableScorer.from_table(coefficients.limit(0))
+    assert (none.width, none.classes) == (0, []) and V.score_families(df, none).count() == 4
+
+
+def test_more_value_slots_than_headers_is_an_error(spark):
+    table = TableScorer.from_table(fixed_coefficients(spark, 70))
+    with pytest.raises(Exception, match="more than 6 value slots"):
+        V.score_families(positions_frame(spark, [list(range(49, 56))]), table).collect()
+
+
+@pytest.mark.parametrize("families", [1, 2, 4])
+def test_residual_is_the_gradient(spark, families):
+    rows = training_rows(families)
+    training_set = spark.createDataFrame(rows, SET).cache()
+    model = M.train_family_model(training_set, max_iter=100)
+    best = {r["class"]: r["residual"] for r in M.optimality_residual(training_set, model).collect()}
+    assert set(best) == set(model.scorer.classes) and all(r < 1e-3 for r in best.values())
+    if families == 1:
+        return
+    # Away from the optimum, against the sums written out.
+    off = LinearScorer(model.scorer.classes, [i + 0.3 for i in model.scorer.intercepts], [[w + 0.01 * k for k, w in enumerate(ws)] for ws in model.scorer.weights])
+    got = {r["class"]: r["residual"] for r in M.optimality_residual(training_set, M.FamilyModel(off, None)).collect()}
+    for k, name in enumerate(off.classes):
+        gradient = [w[k] / (100.0 * len(rows)) for w in off.weights] + [0.0]
+        for _, family, positions in rows:
+            margin = off.intercepts[k] + sum(off.weights[p][k] for p in positions)
+            error = (1 / (1 + math.exp(-margin)) - (family == name)) / len(rows)
+            for p in [*positions, -1]:
+                gradient[p] += error
+        assert got[name] == pytest.approx(max(map(abs, gradient)), rel=1e-9) and got[name] > 0.01
 
 
 def test_threshold_is_strict_and_unknown_family_is_no_human(spark):

@@ -2,11 +2,13 @@
 
 import gzip
 import os
+from dataclasses import replace
 
 import pytest
 
 from headersieve.operators import sampling as A
 from headersieve.operators.model import FamilyModel
+from headersieve.operators.scorer import TableScorer
 from headersieve.plans import queries as Q
 from headersieve.plans.ingest import ingest_pending
 from headersieve.plans.train import retrain
@@ -173,21 +175,26 @@ def test_versions_keep_model_and_vocabulary_together(spark, tmp_path):
         assert T.save_model(spark, fixed_model(49 + version, version), vocabulary, store) == version
         model = T.load_model(spark, store)
         assert (model.version, model.width, model.vocabulary.table.count()) == (version, 49 + version, version)
-        assert model.scorer.intercepts == [version, -version]
+        assert model.scorer.head.intercepts == [version, -version]
     # A version that was not published is not found.
     T.overwrite(fixed_model(60, 9).export_coefficients(spark), f"{store}/version=3/coefficients")
     assert T.load_model(spark, store).version == 2
     assert T.load_model(spark, store, version=1).width == 50
 
 
-def test_stream_frame_of_verdicts(spark, signatures, tmp_path):
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 0}])
+def test_stream_frame_of_verdicts(spark, signatures, tmp_path, bounds):
+    """Any sink, and weights of any number: a stream is scored in place, without groups."""
     store, source = str(tmp_path / "models"), str(tmp_path / "requests")
     vocabulary = spark.createDataFrame([("Accept=a", 0)], "feature_name string, idx int")
     T.save_model(spark, fixed_model(50, 1.0), vocabulary, store)
-    body = f"Host: h\nUser-Agent: {CHROME}".replace("\\", "")
+    body = f"Host: h\nAccept: a\nUser-Agent: {CHROME}".replace("\\", "")
     rows = [(i, "1.1.1.1", body if i % 2 else "") for i in range(10)]
     spark.createDataFrame(rows, Q.REQUESTS).write.parquet(source)
-    stream = verdict_stream(Q._stream_of(spark, source), signatures, T.load_model(spark, store))
+    model = T.load_model(spark, store)
+    model = replace(model, scorer=TableScorer.from_table(model.coefficients, **bounds))
+    assert model.scorer.tail.small == (not bounds)
+    stream = verdict_stream(Q._stream_of(spark, source), signatures, model)
     assert stream.isStreaming
     query = stream.writeStream.format("memory").queryName("verdicts").trigger(availableNow=True).start()
     query.awaitTermination()
