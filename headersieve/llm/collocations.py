@@ -18,11 +18,12 @@ Counting:
 3. A phrase is a pair of intervals of equal width, one in each order. *Extension to the right* by every word
    at once reads the transform of the reverse: the words found in an interval are the extensions, their numbers
    the counts, their ranks the new interval there, and the numbers of smaller words the new interval in the other
-   order. *Extension to the left* is the mirror image. Phrases grow to the right and to the left in turn, a length
-   at a time, and each length is summed over the shards.
-4. A longer phrase is only extended to if both phrases one word shorter occur often enough over all shards. The tasks know
-   these by a table of hashed bits, of a size fixed by their number and at most 2^``MOST_BITS``; what it lets through by
-   mistake falls to the exact sums.
+   order. *Extension to the left* is the mirror image. Phrases grow to the right and to the left in turn.
+4. A phrase is only extended if it may be frequent over all shards, and only to phrases whose other part of one word
+   less may be, too. For that, the phrases of each length below ``LONGEST`` are first counted under hashes of 64 bits, and those
+   that reach ``LEAST`` set bits in a table, of a size fixed by their number and at most 2^``MOST_BITS``.
+   A last round counts the phrases of all lengths that this lets through under their own texts, so
+   neither a hash nor a bit that two phrases share changes any number.
 
 Empty and null texts hold nothing; repeated rows count as often as they are there. A piece is never cut, so memory
 grows with the longest text. Empty tables give an empty result; columns of other names are not used.
@@ -51,7 +52,7 @@ COVERED = 80
 SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Places of an index that are extended at a time.
 PART_ROWS = 1 << 17
 LEAST_BITS, MOST_BITS = 16, 27
@@ -116,12 +117,18 @@ def _symbols(value) -> np.ndarray:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, n``: the words of each shard."""
+    """``lang, mark, n``: the words of each shard under their hashes, without language, and all words by language."""
     for batch in batches:
         for k in range(batch.num_rows):
             langs, words = batch.column("langs")[k].values, batch.column("words")[k].values
             n = np.bincount(_symbols(batch.column("symbols")[k]), minlength=len(words) + 1)[1:]
-            yield pa.RecordBatch.from_arrays([langs, words, pa.array(n)], names=["lang", "phrase", "n"])
+            marks = _phrase_hashes([_word_hashes(langs.to_pylist(), words.to_pylist())]).view(np.int64)
+            none = pa.nulls(len(marks), pa.string())
+            yield pa.RecordBatch.from_arrays([none, pa.array(marks), pa.array(n)], names=["lang", "mark", "n"])
+            found = langs.dictionary_encode()
+            total = np.bincount(found.indices.to_numpy(), n, minlength=len(found.dictionary)).astype(np.int64)
+            none = pa.nulls(len(total), pa.int64())
+            yield pa.RecordBatch.from_arrays([found.dictionary, none, pa.array(total)], names=["lang", "mark", "n"])
 
 
 # Frequent phrases as a table of bits.
@@ -143,29 +150,13 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def mark_phrases(bits: int):
-    """The map from phrases to ``word, mask``: the bits of a table of 2^``bits`` that they set."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs = batch.column("lang").to_pylist()
-            parts = zip(*(p.split(" ") for p in batch.column("phrase").to_pylist()))
-            slots = np.unique(_slots(_phrase_hashes([_word_hashes(langs, list(p)) for p in parts]), bits))
-            words, at = np.unique(slots >> 6, return_inverse=True)
-            masks = np.zeros(len(words), np.uint64)
-            np.bitwise_or.at(masks, at, np.uint64(1) << (slots & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_pydict({"word": words, "mask": masks.view(np.int64)})
-
-    return mark
-
-
-def bit_table(phrases: DataFrame) -> np.ndarray:
-    """Bits at the hashes of ``phrases`` (``lang, phrase`` of equal length), packed into 64-bit words."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * phrases.count()).bit_length()))
-    marked = phrases.select("lang", "phrase").mapInArrow(mark_phrases(bits), "word bigint, mask bigint")
-    table = marked.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2^(MOST_BITS - 6) rows
+def bit_table(marks: DataFrame) -> np.ndarray:
+    """A table with the bits of ``mark`` set, packed into 64-bit words."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * marks.count()).bit_length()))
+    slot = F.shiftrightunsigned("mark", 64 - bits)
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = marks.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(mask).alias("mask"))
+    table = words.toArrow()  # at most 2^(MOST_BITS - 6) rows
     packed = np.zeros(1 << (bits - 6), np.uint64)
     packed[table["word"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
     return packed
@@ -293,22 +284,26 @@ class FmIndex:
 
 
 def count_phrases(tables, length: int):
-    """The map from indexes to ``lang, phrase, n``: phrases of ``length`` words whose shorter ones are frequent."""
+    """The map from indexes to their phrases whose shorter parts may be frequent.
 
-    def grown(index: FmIndex, hashes: np.ndarray, phrases: Phrases, width: int) -> Iterator[Phrases]:
-        """All phrases of ``length`` words from those of ``width - 1``, part by part."""
+    Below ``LONGEST`` it gives ``mark, n``, the hashes of the phrases of ``length`` words; else ``lang, phrase, words, n``, the
+    texts of phrases of all lengths, those shorter than ``LONGEST`` only if they may be frequent themselves.
+    """
 
-        def frequent(words: list[np.ndarray]) -> np.ndarray:
-            return _may_be_frequent(tables.value[len(words) - 1], _phrase_hashes([hashes[w] for w in words]))
+    def frequent(hashes: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        return _may_be_frequent(tables.value[len(words) - 1], _phrase_hashes([hashes[w] for w in words]))
 
+    def grown(index: FmIndex, hashes: np.ndarray, phrases: Phrases, width: int) -> Iterator[Phrases]:
+        """All phrases from ``width`` to ``length`` words from those of ``width - 1``, part by part."""
         for part in phrases.parts(PART_ROWS):
             longer = index.right(part) if width % 2 == 0 else index.left(part)
             if width > 2:  # the other phrase of one word less
-                longer = longer.where(frequent(longer.words[1:] if width % 2 == 0 else longer.words[:-1]))
-            if width == length:
-                yield longer
-            else:
-                yield from grown(index, hashes, longer.where(frequent(longer.words)), width + 1)
+                longer = longer.where(frequent(hashes, longer.words[1:] if width % 2 == 0 else longer.words[:-1]))
+            if width < length:
+                longer = longer.where(frequent(hashes, longer.words))
+            yield longer
+            if width < length:
+                yield from grown(index, hashes, longer, width + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,47 +311,52 @@ def count_phrases(tables, length: int):
                 langs, words = batch.column("langs")[k].values, batch.column("words")[k].values
                 hashes = np.concatenate(([np.uint64(0)], _word_hashes(langs.to_pylist(), words.to_pylist())))
                 index = FmIndex(_symbols(batch.column("before")[k]), _symbols(batch.column("after")[k]))
+                if length == LONGEST:
+                    yield texts(langs, words, index.single())
                 for phrases in grown(index, hashes, index.single(), 2):
-                    texts = [words.take(pa.array(w - 1)) for w in phrases.words]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            langs.take(pa.array(phrases.words[0] - 1)),
-                            pc.binary_join_element_wise(*texts, " "),
-                            pa.array(phrases.n),
-                        ],
-                        names=["lang", "phrase", "n"],
-                    )
+                    if length == LONGEST:
+                        yield texts(langs, words, phrases)
+                    elif len(phrases.words) == length:
+                        marks = _phrase_hashes([hashes[w] for w in phrases.words]).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(phrases.n)], names=["mark", "n"])
+
+    def texts(langs: pa.Array, words: pa.Array, phrases: Phrases) -> pa.RecordBatch:
+        parts = [words.take(pa.array(w - 1)) for w in phrases.words]
+        width = pa.array(np.full(len(phrases.n), len(parts), np.int32))
+        lang = langs.take(pa.array(phrases.words[0] - 1))
+        return pa.RecordBatch.from_arrays(
+            [lang, pc.binary_join_element_wise(*parts, " "), width, pa.array(phrases.n)],
+            names=["lang", "phrase", "words", "n"],
+        )
 
     return count
 
 
-def frequent_phrases(docs: DataFrame, text: str, lang: str) -> tuple[list[DataFrame], DataFrame]:
-    """By length, ``lang, phrase, f`` of the phrases that occur ``LEAST`` times; and ``lang, n``, all words."""
+def frequent_phrases(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
+    """``lang, phrase, words, f`` of the phrases of 1 to ``LONGEST`` words that occur ``LEAST`` times; ``lang, n`` of all words."""
     context = docs.sparkSession.sparkContext
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     shards = materialize(
         rows.mapInArrow(cut_shards, "langs array<string>, words array<string>, symbols binary"), "shards"
     )
-    counted = "lang string, phrase string, n bigint"
-
-    def summed(found: DataFrame) -> DataFrame:
-        return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-
-    words = materialize(summed(shards.mapInArrow(count_words, counted)), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = [materialize(words.where(F.col("f") >= LEAST), "frequent")]
-    tables = [bit_table(frequent[0])]
+    words = shards.mapInArrow(count_words, "lang string, mark bigint, n bigint").groupBy("lang", "mark").agg(F.sum("n").alias("n"))
+    words = materialize(words.where((F.col("n") >= LEAST) | F.col("lang").isNotNull()), "words")
+    totals = words.where(F.col("lang").isNotNull()).select("lang", "n")
+    tables = [bit_table(words.where(F.col("lang").isNull()))]
     indexes = shards.mapInArrow(
         index_shards(context.broadcast(tables[0])), "langs array<string>, words array<string>, before binary, after binary"
     )
     indexes = materialize(indexes, "indexes")
-    for length in range(2, LONGEST + 1):
-        found = summed(indexes.mapInArrow(count_phrases(context.broadcast(tables), length), counted))
-        frequent.append(materialize(found.where(F.col("f") >= LEAST), "frequent"))
-        if length < LONGEST:
-            tables.append(bit_table(frequent[-1]))
-    return frequent, totals
+    for length in range(2, LONGEST):
+        found = indexes.mapInArrow(count_phrases(context.broadcast(tables), length), "mark bigint, n bigint")
+        found = found.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        tables.append(bit_table(materialize(found.select("mark"), "marks")))
+    found = indexes.mapInArrow(
+        count_phrases(context.broadcast(tables), LONGEST), "lang string, phrase string, words int, n bigint"
+    )
+    found = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
+    return materialize(found, "frequent"), totals
 
 
 def _part(first: Column | int, words: Column | int) -> Column:
@@ -371,11 +371,8 @@ def _best(rows: DataFrame, *keys: Column | str) -> DataFrame:
 def mine_collocations(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's first ``TOP`` phrases."""
     frequent, totals = frequent_phrases(docs, text, lang)
-    counts, candidates = frequent[0], None
-    for length, found in enumerate(frequent[1:], 2):
-        split = found.withColumn("words", F.split("phrase", " ", -1)).withColumnRenamed("f", "a")
-        candidates = split if candidates is None else candidates.unionByName(split)
-        counts = counts.unionByName(found) if length < LONGEST else counts
+    candidates = frequent.where("words > 1").withColumnRenamed("f", "a").withColumn("words", F.split("phrase", " ", -1))
+    counts = frequent.where(F.col("words") < LONGEST).drop("words")
     size = F.size("words")
     extended = candidates.where(size > 2)
     extended = extended.select("lang", "a", F.explode(F.array(_part(1, size - 1), _part(F.lit(2), size - 1))).alias("phrase"))
