@@ -11,16 +11,16 @@ with probability in proportion to its weight, and two sets draw the same one as
 weighted Jaccard similarity says. Random numbers come from tables of 65,536 gamma draws, looked up by a hash of
 shingle and sample. Texts that agree on all samples of a band meet in a bucket.
 
-Equal texts (by 128-bit digest) are grouped first, and only one of each group goes on. A bucket never
-forms all pairs of its members at once: each is compared with the bucket's centre, and those that are
-not found similar meet again around another centre, ``ROUNDS`` times. Texts of buckets that may then
-still hold an uncompared pair of two components are joined exactly, by prefixes: with the shingles of
-a text in any fixed order, rare ones first here, two similar texts share one in the first part of each
-(``cut_prefixes``). Texts that share one are compared centre by centre, with more centres each turn,
-until no two of them are both uncompared and in different components. Pairs are verified on whole texts: a
-link is a weighted or a plain Jaccard similarity of ``SIMILAR`` or more. Classes are the connected
-components of the links, found by spreading the smallest id; every step is written to the shared
-folder.
+Equal texts (by 128-bit digest) are grouped first, and only one of each group goes on. Each member of a bucket is
+compared with the bucket's centre, and those that are not found similar meet again around another centre,
+``ROUNDS`` times. What is then left are buckets that still hold several components. Their members are
+compared in *blocks* of about ``BLOCK`` texts: a bucket of many blocks becomes one row set for each pair of blocks, in
+which all similarities are worked out at once as products of matrices (texts by shingles), exactly. So
+every two texts that share a bucket are compared, unless they are of one component already, while the rows that
+move grow with the members and blocks of a bucket, not with its pairs; and of the links found only as many as hold their
+components together are kept. Buckets with the same members are compared once. A link is a weighted or a plain Jaccard
+similarity of ``SIMILAR`` or more. Classes are the connected components of the links, found by spreading the
+smallest id; every step is written to the shared folder.
 
 A row's ``class_id`` is the smallest id in its class. Rows with the same id are one node. Texts that
 are null or without a word are in no class but their own, and rows without an id have the class null
@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from headersieve.llm.bytes import blocks, flat_texts, hashed_words, mixed, windows
-from headersieve.llm.texts import NOT_SPACE, bound_batches
+from headersieve.llm.texts import NOT_SPACE, bound_batches, whole_runs
 from headersieve.session import fresh_path, materialize
 
 WIDTH = 5
@@ -46,8 +47,12 @@ BANDS, ROWS = 12, 3
 ROUNDS = 3
 BUCKETS = 1 << 18
 DAMPED = 0.25
-COUNTERS = 1 << 20
-SLACK = 1e-4
+BLOCK = 1024
+#: Shingles that are put into one product of matrices; those that fewer than one pair in ``RARE`` has are not.
+WIDE = 2048
+RARE = 128
+#: Pairs that are counted one by one at a time.
+FLUSH_PAIRS = 1 << 22
 BLOCK_BYTES = 1 << 20
 FLUSH_BUCKETS = 1 << 21
 
@@ -94,9 +99,17 @@ def fit_weights(docs: DataFrame, text: str) -> np.ndarray:
 
 def shingles(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash and weight of each different shingle, in the order of text and hash."""
+    texts, hashes, weight, _ = counted_shingles(data, offsets, weights)
+    return texts, hashes, weight.astype(np.float32)
+
+
+def counted_shingles(
+    data: np.ndarray, offsets: np.ndarray, weights: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash, weight and number of each different shingle, in the order of text and hash."""
     words, owner, _ = hashed_words(data, offsets)
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
     hashes, at = windows(words, owner, WIDTH)
     sums = np.concatenate(([0.0], np.cumsum(weights[_buckets(words)].astype(np.float64))))
     mean = (sums[at + WIDTH] - sums[at]) / WIDTH
@@ -116,7 +129,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tupl
     new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])))
     begins = np.flatnonzero(new)
     times = np.diff(np.append(begins, len(hashes)))
-    return texts[begins], hashes[begins], (times * mean[begins]).astype(np.float32)
+    return texts[begins], hashes[begins], times * mean[begins], times
 
 
 def samples(texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,82 +199,150 @@ def similarity(weights):
     return similar
 
 
-def count_shingles(weights):
-    """The map from texts to ``counter, n``: in how many texts each counter of shingles occurs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            data, offsets = flat_texts(batch.column("text"))
-            for begin, end in blocks(offsets, BLOCK_BYTES):
-                piece = offsets[begin : end + 1] - offsets[begin]
-                _, hashes, _ = shingles(data[offsets[begin] : offsets[end]], piece, weights.value)
-                total += np.bincount(_counters(hashes), minlength=COUNTERS)
-        hit = np.flatnonzero(total)
-        if len(hit):
-            yield pa.RecordBatch.from_pydict({"counter": hit, "n": total[hit]})
-
-    return count
-
-
-def _counters(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
+def pack_shingles(weights):
+    """The map from texts to ``rep, n, shingles, weights, singles``: all shingles of a text as packed numbers.
 
-
-def cut_prefixes(weights, counts):
-    """The map from texts to the first of their shingles, by ``counts`` and hash: ``rep, shingle, mark, weight, n``.
-
-    Of two similar texts the smaller has at least 2 SIMILAR / (1 + SIMILAR) of its weight in common with the
-    other, the larger at least SIMILAR. What is left behind a prefix weighs less than that, so one common
-    shingle lies in both prefixes. ``mark`` tells the prefixes a shingle is in: 1 and 2 are those of the
-    smaller and of the larger text by weight, 4 and 8 by number. ``SLACK`` is for rounding.
+    A shingle that occurs t times is there t times, told apart by its number; ``singles`` counts the different ones.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_texts(batch.column("text"))
             for begin, end in blocks(offsets, BLOCK_BYTES):
-                piece = offsets[begin : end + 1] - offsets[begin]
-                texts, hashes, weight = shingles(data[offsets[begin] : offsets[end]], piece, weights.value)
+                texts, hashes, weight, times = counted_shingles(
+                    data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], weights.value
+                )
                 if not len(texts):
                     continue
-                order = np.lexsort((hashes, counts.value[_counters(hashes)], texts))
-                texts, hashes, weight = texts[order], hashes[order], weight[order].astype(np.float64)
+                of = np.repeat(np.arange(len(texts)), times)
+                number = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
                 first = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
-                length = np.diff(np.append(first, len(texts)))
-                mark, sizes = np.zeros(len(texts), np.int16), []
-                for k, size in enumerate((weight, np.ones(len(texts)))):
-                    sums = np.concatenate(([0.0], np.cumsum(size)))
-                    total = np.repeat(sums[first + length] - sums[first], length)
-                    behind = np.repeat(sums[first + length], length) - sums[:-1]
-                    for bit, share in ((1, 2 * SIMILAR / (1 + SIMILAR)), (2, SIMILAR)):
-                        mark += np.int16(bit << 2 * k) * (behind >= share * (1 - SLACK) * total)
-                    sizes.append(total)
-                held = np.flatnonzero(mark)
+                cuts = np.append(first, len(texts))
+                long = np.concatenate(([0], np.cumsum(times)))[cuts]
+                # The first of equal shingles keeps its hash, so that plain similarities see it.
+                marks = np.where(number > 0, mixed(hashes[of] + number.astype(np.uint64)), hashes[of])
+                shares = (weight / times)[of]
+                rows = [np.lexsort((number[a:b] > 0,)) + a for a, b in zip(long[:-1], long[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").take(pa.array(begin + texts[held])),
-                        pa.array(hashes[held].view(np.int64)),
-                        pa.array(mark[held]),
-                        pa.array(sizes[0][held]),
-                        pa.array(sizes[1][held].astype(np.int64)),
+                        batch.column("id").take(pa.array(begin + texts[first])),
+                        pa.array([marks[r].tobytes() for r in rows], pa.binary()),
+                        pa.array([shares[r].tobytes() for r in rows], pa.binary()),
+                        pa.array(np.diff(cuts)),
                     ],
-                    names=["rep", "shingle", "mark", "weight", "n"],
+                    names=["rep", "shingles", "weights", "singles"],
                 )
 
-    return cut
-
-
-def _may_be_similar(left: str, right: str) -> Column:
-    """Whether sizes and prefixes allow two texts that share a shingle to be similar."""
-
-    def fits(x: str, y: str, size: str, bit: int) -> Column:
-        small, large = F.col(f"{x}{size}"), F.col(f"{y}{size}")
-        prefixes = (F.col(f"{x}mark").bitwiseAND(bit) > 0) & (F.col(f"{y}mark").bitwiseAND(2 * bit) > 0)
-        return prefixes & (small * (1 - SLACK) <= large) & (small >= large * (SIMILAR * (1 - SLACK)))
-
-    sides = [(x, y, size, bit) for x, y in ((left, right), (right, left)) for size, bit in (("weight", 1), ("n", 4))]
-    return fits(*sides[0]) | fits(*sides[1]) | fits(*sides[2]) | fits(*sides[3])
+    return pack
+
+
+class Packed:
+    """Some texts' shingles, numbered over all of them; those that only one text has count for its size alone."""
+
+    def __init__(self, shingles: list[np.ndarray], weights: list[np.ndarray], singles: np.ndarray) -> None:
+        length = np.array([len(x) for x in shingles])
+        self.singles = singles
+        self.sizes = np.array([float(x.sum()) for x in weights])
+        text = np.repeat(np.arange(len(shingles)), length)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+        _, number, found = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+        common = found[number] > 1
+        _, self.column = np.unique(number[common], return_inverse=True)
+        self.text, self.weight = text[common], np.concatenate(weights)[common]
+        self.plain = (place < np.repeat(singles, length))[common]
+        order = np.argsort(self.column, kind="stable")
+        self.text, self.weight, self.plain, self.column = (x[order] for x in (self.text, self.weight, self.plain, self.column))
+
+    def similar(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the larger of weighted and plain similarity is ``SIMILAR``, for texts ``left`` by ``right``."""
+        shape = len(left), len(right)
+        sides = []
+        for side in (left, right):
+            row = np.full(len(self.sizes), -1)
+            row[side] = np.arange(len(side))
+            held = row[self.text] >= 0
+            sides.append((row[self.text[held]], self.column[held], self.weight[held], self.plain[held]))
+        columns = int(self.column[-1]) + 1 if len(self.column) else 0
+        counts = [np.bincount(side[1], minlength=columns) for side in sides]
+        pairs = counts[0] * counts[1]
+        # Columns that many texts hold go into matrices, of the others the few pairs are counted.
+        dense = pairs * RARE > shape[0] * shape[1]
+        least, both = self._products(sides, dense, shape)
+        pairs = np.where(dense, 0, pairs)
+        (row_a, _, weight, plain_a), (row_b, _, _, plain_b) = sides
+        first_a, first_b = (np.cumsum(c) - c for c in counts)
+        cuts = np.searchsorted(np.cumsum(pairs), np.arange(0, int(pairs.sum()) + FLUSH_PAIRS, FLUSH_PAIRS))
+        for begin, end in zip(cuts[:-1], [*(cuts[1:-1]), columns]):
+            n = pairs[begin:end]
+            of = np.repeat(np.arange(begin, end), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            a, b = first_a[of] + at // counts[1][of], first_b[of] + at % counts[1][of]
+            cell = row_a[a] * shape[1] + row_b[b]
+            least += np.bincount(cell, weight[a], minlength=least.size).reshape(shape)
+            both += np.bincount(cell, plain_a[a] & plain_b[b], minlength=both.size).reshape(shape)
+        weighted = least / np.maximum(self.sizes[left][:, None] + self.sizes[right] - least, 1e-9)
+        plain = both / np.maximum(self.singles[left][:, None] + self.singles[right] - both, 1)
+        return np.maximum(weighted, plain) >= SIMILAR
+
+    @staticmethod
+    def _products(sides, dense: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """What the texts have in common in the dense columns: by weight, and in number of different shingles."""
+        least, both = np.zeros(shape), np.zeros(shape)
+        number = np.cumsum(dense) - 1
+        for begin in range(0, int(dense.sum()), WIDE):
+            kept = dense & (number >= begin) & (number < begin + WIDE)
+            matrices = []
+            for (row, column, weight, plain), size in zip(sides, shape):
+                held = kept[column]
+                at = row[held], number[column[held]] - begin
+                for values in (weight[held], np.ones(int(held.sum())), plain[held]):
+                    matrix = np.zeros((size, WIDE))
+                    matrix[at] = values
+                    matrices.append(matrix)
+            # A shingle weighs the same wherever it is, but for rounding.
+            least += matrices[0] @ matrices[4].T
+            both += matrices[2] @ matrices[5].T
+        return least, both
+
+
+def link_blocks(kind: pa.DataType):
+    """The map from members of pairs of blocks, whole and in a row, to links ``a, b`` between their components."""
+
+    def links(run: pa.Table) -> tuple[list, list]:
+        singles = run["singles"].to_numpy()
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in run["shingles"].combine_chunks()]
+        shares = [np.frombuffer(x.as_buffer(), np.float64) for x in run["weights"].combine_chunks()]
+        labels = run["label"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block, reps = run["block"].to_numpy(), run["rep"].to_pylist()
+        left = np.flatnonzero(block == run["low"][0].as_py())
+        right = np.flatnonzero(block == run["high"][0].as_py())
+        near = Packed(shingles, shares, singles).similar(left, right) & (labels[left][:, None] != labels[right])
+        x, y = (side[k] for side, k in zip((left, right), np.nonzero(near)))
+        # One link is enough for each step that brings two components together.
+        parent = np.arange(labels.max() + 1 if len(labels) else 0)
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        a, b = [], []
+        for i, j in zip(x.tolist(), y.tolist()):
+            p, q = root(labels[i]), root(labels[j])
+            if p != q:
+                parent[p] = q
+                a.append(max(reps[i], reps[j]))
+                b.append(min(reps[i], reps[j]))
+        return a, b
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in whole_runs(batches, ["bucket", "low", "high"]):
+            if run.num_rows > 1:
+                a, b = links(run)
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    return link
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -342,10 +423,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     if labels is not None:
         # The first centre of a bucket has met all members. Two others may not have met.
         others = met.join(firsts.withColumnRenamed("centre", "rep"), ["bucket", "rep"], "left_anti")
-        others = materialize(_labelled(others, labels), "others")
-        apart = others.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        left = materialize(others.join(apart, "bucket").select(F.col("rep").alias("id")).distinct(), "left")
-        labels = _joined(rows, left, labels, links, tried, weights)
+        labels = _with_blocks(rows, others, labels, links, weights)
     reps = groups.select("digest", "rep")
     if labels is not None:
         reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -370,50 +448,34 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def _joined(rows: DataFrame, left: DataFrame, labels: DataFrame, links: DataFrame, tried: DataFrame, weights) -> DataFrame:
-    """``labels`` with every link among the texts ``left``."""
-    if left.isEmpty():
+def _with_blocks(rows: DataFrame, met: DataFrame, labels: DataFrame, links: DataFrame, weights) -> DataFrame:
+    """``labels`` with every link between members ``rep`` of one ``bucket``."""
+    met = materialize(_labelled(met, labels), "others")
+    each = met.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"), F.min("label").alias("x"), F.max("label").alias("y"),
+        F.bit_xor(F.xxhash64("rep")).alias("same"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 32)).alias("sum"),
+    )
+    apart = each.where("x <> y").groupBy("members", "same", "sum").agg(F.min("bucket").alias("bucket"))
+    blocks_ = F.ceil(F.col("members") / BLOCK).cast("bigint")
+    apart = materialize(apart.select("bucket", blocks_.alias("blocks")), "apart")
+    if apart.isEmpty():
         return labels
-    spark = rows.sparkSession
-    rows = _texts(rows, left)
-    counted = rows.select("text").mapInArrow(count_shingles(weights), "counter bigint, n bigint")
-    table = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[table["counter"].to_numpy()] = table["n"].to_numpy()
+    placed = met.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), "blocks"))
+    # A member goes to the pairs that its block makes with each block of the bucket.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("bucket", "block", "rep", "label", other).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label"
+    )
+    ids = materialize(placed.select(F.col("rep").alias("id")).distinct(), "ids")
     kind = dict(rows.dtypes)["id"]
-    prefixes = rows.mapInArrow(
-        cut_prefixes(weights, spark.sparkContext.broadcast(counts)),
-        f"rep {kind}, shingle bigint, mark smallint, weight double, n bigint",
+    packed = _texts(rows, ids).mapInArrow(
+        pack_shingles(weights), f"rep {kind}, shingles binary, weights binary, singles bigint"
     )
-    place = F.row_number().over(Window.partitionBy("shingle").orderBy(F.xxhash64("rep", "shingle"), "rep"))
-    met = materialize(prefixes.withColumn("place", place), "prefixes")
-    begin, end = 0, 1
-    while True:
-        # Those up to ``begin`` have met all others of their shingle.
-        met = _labelled(met.where(F.col("place") > begin), labels)
-        apart = met.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        met = materialize(met.join(apart.select("shingle"), "shingle"), "met")
-        if met.isEmpty():
-            return labels
-        centres = met.where(F.col("place") <= end)
-        centres = centres.select("shingle", *[F.col(c).alias(f"centre_{c}") for c in met.columns if c != "shingle"])
-        pairs = (
-            met.join(centres, "shingle")
-            .where((F.col("place") > F.col("centre_place")) & (F.col("label") != F.col("centre_label")))
-            .where(_may_be_similar("", "centre_"))
-            .select(F.greatest("rep", "centre_rep").alias("a"), F.least("rep", "centre_rep").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            linked = materialize(_verified(rows, pairs, weights), "links")
-            if not linked.isEmpty():
-                links = links.unionByName(linked)
-                labels = components(links)
-        met = met.drop("label")
-        begin, end = end, 4 * end + 1
+    packed = materialize(packed, "packed")
+    pair = ["bucket", "low", "high"]
+    runs = placed.join(packed, "rep").repartition(*pair).sortWithinPartitions(*pair)
+    found = materialize(runs.mapInArrow(link_blocks(to_arrow_type(rows.schema["id"].dataType)), f"a {kind}, b {kind}"), "links")
+    return labels if found.isEmpty() else components(links.select("a", "b").unionByName(found))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, weights) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,32 @@ def join_unevenly(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFra
     hot = F.broadcast(materialize(counted.where(F.col("_n") * HOT_SHARE > rows.count()).select(*keys), "hot"))
     here = rows.join(F.broadcast(table.join(hot, keys)), keys)
     return here.unionByName(rows.join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal ``keys`` in a sorted stream of batches, each run whole."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changes = [0]
+        if batch.num_rows > 1:
+            differs = None
+            for key in keys:
+                column = batch.column(key)
+                new = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+                differs = new if differs is None else pc.or_(differs, new)
+            changes += [int(k) + 1 for k in pc.indices_nonzero(differs).to_numpy()]
+        own = [tuple(batch.column(k)[i].as_py() for k in keys) for i in (0, batch.num_rows - 1)]
+        if held and own[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for begin, end in zip(changes, [*changes[1:], batch.num_rows]):
+            if begin and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+        last = own[1]
+    if held:
+        yield pa.Table.from_batches(held)

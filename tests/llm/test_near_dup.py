@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from headersieve.llm import near_dup
 from headersieve.llm.bytes import flat_texts
@@ -95,7 +96,43 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
-def test_one_bucket_is_compared_whole(spark, monkeypatch):
+def test_blocks_give_exact_similarities(spark, monkeypatch):
+    """All pairs at once, in small and large matrices, against sets and counts written out."""
+    draw = random.Random(11)
+    base = [f"t{draw.randrange(60)}" for _ in range(90)]
+    texts = []
+    for k in range(70):
+        own = list(base[: draw.choice([draw.randrange(4, 91), draw.randrange(75, 91)])])
+        for _ in range(draw.randrange(5)):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(40)}"
+        texts.append(" ".join(own * draw.choice([1, 1, 2])))  # repeated shingles
+    texts += ["a b", "a b", "c", texts[0], " ".join(f"z{k}" for k in range(300))]
+    table = np.array([1 + (k % 7) / 30 for k in range(BUCKETS)], np.float32)
+
+    class Value:
+        value = table
+
+    pack = near_dup.pack_shingles(Value)
+    rows = pa.Table.from_batches(pack([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})]))
+    assert rows["rep"].to_pylist() == list(range(len(texts)))
+    shingle_lists = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+    shares = [np.frombuffer(x, np.float64) for x in rows["weights"].to_pylist()]
+    want = next(near_dup.similarity(Value)([(pa.array([x for x in texts for _ in texts]), pa.array(texts * len(texts)))]))
+    want = want.to_numpy().reshape(len(texts), len(texts)) >= near_dup.SIMILAR
+    everyone, other = np.arange(len(texts)), ~np.eye(len(texts), dtype=bool)  # a text is not compared with itself
+    for wide, rare, flush in ((2048, 128, 1 << 22), (7, 10**9, 5), (64, 0, 1), (3, 4, 50)):
+        monkeypatch.setattr(near_dup, "WIDE", wide)
+        monkeypatch.setattr(near_dup, "RARE", rare)
+        monkeypatch.setattr(near_dup, "FLUSH_PAIRS", flush)
+        packed = near_dup.Packed(shingle_lists, shares, rows["singles"].to_numpy())
+        assert (packed.similar(everyone, everyone) == want)[other].all() and want.sum() > 120
+        assert (packed.similar(everyone[5:20], everyone[30:]) == want[5:20, 30:]).all()
+
+
+@pytest.mark.parametrize("block", [1024, 13])
+def test_one_bucket_is_compared_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+
     def all_meet(weights):
         def sign(batches):
             for batch in batches:
@@ -125,3 +162,33 @@ def test_one_bucket_is_compared_whole(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in classify(docs).collect()}
     assert got == brute(rows) and len(set(got.values())) == 1 + 25 + 20
+
+
+def test_a_hot_template_makes_rows_by_members_not_by_pairs(spark, monkeypatch):
+    """Hundreds of texts of one template, all about 0.7 to each other, in common buckets: few rows, no link lost."""
+    draw, made = random.Random(9), []
+    monkeypatch.setattr(near_dup, "BLOCK", 100)
+    template = [f"t{k}" for k in range(60)]
+    texts = [[*template, *(f"o{g}_{k}" for k in range(10))] for g in range(400)]
+    texts += [[*texts[g], "tail"] for g in range(0, 400, 40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    draw.shuffle(rows)
+    real = near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, label="table": (made.append((label, t := real(df, label))), t)[1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in classify(docs).collect()}
+    assert got == brute(rows)
+    most = max(table.count() for label, table in made)
+    assert most <= 12 * len(rows)
+
+
+def test_runs_are_whole():
+    from headersieve.llm.texts import whole_runs
+
+    draw = random.Random(4)
+    keys = sorted((draw.randrange(6), draw.randrange(3)) for _ in range(100))
+    table = pa.Table.from_pydict({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "n": list(range(100))})
+    for size in (1, 7, 100):
+        runs = list(whole_runs(iter([*table.to_batches(max_chunksize=size), pa.RecordBatch.from_pydict({"a": [], "b": [], "n": []})]), ["a", "b"]))
+        assert [len(set(zip(r["a"].to_pylist(), r["b"].to_pylist()))) for r in runs] == [1] * len(set(keys))
+        assert sum((r["n"].to_pylist() for r in runs), []) == list(range(100))
