@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from headersieve.functions import headers as H
@@ -29,6 +29,22 @@ UA_COLUMNS = (
     "os_code",
 )
 
+#: Why a line is rejected, in the order in which the reasons are looked for.
+REASONS = (
+    "malformed_line",
+    "empty_ip",
+    "bad_timestamp",
+    "outside_time_range",
+    "too_few_parts",
+    "empty_headers",
+    "unquoted_headers",
+    "malformed_json",
+    "no_user_agent_key",
+    "empty_user_agent",
+    "crawler",
+    "empty_ua_family",
+)
+
 
 def split_log_line(df: DataFrame) -> DataFrame:
     """Add ``epoch_text`` (10 characters), ``ip`` and ``headers`` (all the rest).
@@ -197,18 +213,29 @@ def parse_log_lines(
     legacy_ua_pick: bool = False,
     words_only: bool = False,
     agents: AgentDictionary | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Accepted lines as ``log_id, epoch, ip, user_agent, [agent columns], maps``.
 
-    With a dictionary in ``agents`` only agents that it does not know yet are tried on the patterns.
+    With a dictionary in ``agents`` only agents that it does not know yet are tried on the patterns. An
+    ``observation`` gets the number of lines ``read``, ``accepted`` and rejected for each reason, from the job that
+    uses the lines; tasks that run twice may be counted twice.
     """
-    shredded = _shredded_lines(df, start, finish, "legacy" if legacy_ua_pick else "online", False)
+    mode, counted = "legacy" if legacy_ua_pick else "online", observation is not None
+    shredded = _shredded_lines(df, start, finish, mode, keep_rejected=counted)
     shredded = shredded.select(
         "log_id", "epoch", "ip", "user_agent", "value_data", "order_data", "reason"
     )
-    accepted = _add_late_reasons(
-        shredded, signatures, filter_crawlers, need_ua, words_only, agents
-    ).filter(F.col("reason").isNull())
+    judged = _add_late_reasons(shredded, signatures, filter_crawlers, need_ua, words_only, agents)
+    if observation is not None:
+        reason = F.col("reason")
+        judged = judged.observe(
+            observation,
+            F.count(F.lit(1)).alias("read"),
+            F.count_if(reason.isNull()).alias("accepted"),
+            *(F.coalesce(F.count_if(reason == name), F.lit(0)).alias(name) for name in REASONS),
+        )
+    accepted = judged.filter(F.col("reason").isNull())
     agent = []
     if need_ua:
         family = F.col("ua.ua_family_code")

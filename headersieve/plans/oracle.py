@@ -327,7 +327,8 @@ _CTES: list[tuple[str, str]] = [
 
 def _sql(select: str) -> str:
     chain = ",\n".join(f"{name} AS ({body.strip()})" for name, body in _CTES)
-    return f"WITH {chain}\n{select.strip()}"
+    own = ",\n" + select.strip().removeprefix("WITH ") if select.strip().startswith("WITH ") else "\n" + select.strip()
+    return f"WITH {chain}{own}"
 
 
 def _codes(label: str, source: str) -> str:
@@ -341,7 +342,25 @@ _LOG_COLUMNS = f"""log_id, ip, ua_string AS user_agent, ua_family_code, {_FULL_V
   ua_class_code, device_class_code, os_family_code, os_code"""
 _GROWN_PATTERN = f"'(?i)' || {_PATTERN} AS pattern"
 
+_REJECTED = f"""SELECT p.log_id, CASE
+            WHEN p.headers IS NULL THEN 'malformed_line'
+            WHEN p.ip = '' THEN 'empty_ip'
+            WHEN a.epoch IS NULL THEN 'bad_timestamp'
+            WHEN a.epoch < {PERIOD[0]} THEN 'outside_time_range'
+            WHEN len(string_split(line, ',')) < 3 THEN 'too_few_parts'
+            WHEN headers = '' THEN 'empty_headers'
+            WHEN headers NOT LIKE chr(39) || '%' THEN 'unquoted_headers'
+            WHEN NOT json_valid(header_json) THEN 'malformed_json'
+            WHEN agent_keys = 0 THEN 'no_user_agent_key'
+            WHEN user_agent = '' THEN 'empty_user_agent'
+            WHEN f.is_crawler THEN 'crawler'
+            WHEN f.ua_family_code = '' THEN 'empty_ua_family' END AS reason
+        FROM cleaned_messy p JOIN agents_messy a USING (log_id) LEFT JOIN flagged f USING (log_id)"""
+
 _SELECTS: dict[str, str] = {
+    "count_lines": f"""WITH rejected AS ({_REJECTED})
+        SELECT coalesce(reason, 'accepted') AS reason, count(*) AS lines FROM rejected GROUP BY 1
+        UNION ALL SELECT 'read', count(*) FROM rejected""",
     "read_header_logs": "SELECT line FROM header_log_lines",
     "latest_log_file": """SELECT count(*) AS lines, min(epoch) AS first, max(epoch) AS last
         FROM header_log_lines WHERE epoch // 3600 = (SELECT max(epoch // 3600) FROM header_log_lines)""",
@@ -373,20 +392,7 @@ _SELECTS: dict[str, str] = {
     "write_test_logs": """SELECT log_id AS original_id, ua_family_code AS original_ua_family_code,
           false_family AS ua_family_code, epoch FROM logs JOIN false_families ON original = ua_family_code""",
     "split_log_line": "SELECT log_id, epoch_text, ip, headers FROM parts",
-    "reject_reason": f"""SELECT p.log_id, CASE
-            WHEN p.headers IS NULL THEN 'malformed_line'
-            WHEN p.ip = '' THEN 'empty_ip'
-            WHEN a.epoch IS NULL THEN 'bad_timestamp'
-            WHEN a.epoch < {PERIOD[0]} THEN 'outside_time_range'
-            WHEN len(string_split(line, ',')) < 3 THEN 'too_few_parts'
-            WHEN headers = '' THEN 'empty_headers'
-            WHEN headers NOT LIKE chr(39) || '%' THEN 'unquoted_headers'
-            WHEN NOT json_valid(header_json) THEN 'malformed_json'
-            WHEN agent_keys = 0 THEN 'no_user_agent_key'
-            WHEN user_agent = '' THEN 'empty_user_agent'
-            WHEN f.is_crawler THEN 'crawler'
-            WHEN f.ua_family_code = '' THEN 'empty_ua_family' END AS reason
-        FROM cleaned_messy p JOIN agents_messy a USING (log_id) LEFT JOIN flagged f USING (log_id)""",
+    "reject_reason": _REJECTED,
     "filter_time_range": f"SELECT log_id, epoch FROM agents WHERE epoch BETWEEN {PERIOD[0]} AND {PERIOD[1]}",
     "clean_header_json": "SELECT log_id, header_json FROM cleaned",
     "shred_headers_json": "SELECT log_id, k, v, pos FROM entries",

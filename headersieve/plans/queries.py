@@ -25,7 +25,7 @@ from headersieve.operators import sampling as A
 from headersieve.operators import shred as S
 from headersieve.operators import verdict as V
 from headersieve.operators.scorer import TableScorer
-from headersieve.plans.ingest import ingest_pending
+from headersieve.plans.ingest import ingest_files, ingest_pending
 from headersieve.plans.train import retrain, training_tables
 from headersieve.session import fresh_path, materialize
 from headersieve.sources import fixtures
@@ -156,6 +156,16 @@ def ingest_pending_files(spark, sf_dir):
     )
 
 
+def count_lines(spark, sf_dir):
+    """A dry run over files of spoiled lines: lines by the reason to reject them."""
+    source, store = fresh_path(spark, "messy"), fresh_path(spark, "store")
+    fixtures.messy_log_lines(spark, sf_dir).select("line").write.option("compression", "gzip").text(source)
+    report = ingest_files(
+        spark, source, store, _signatures(spark), start=period(spark, sf_dir)[0], dry_run=True
+    )
+    return spark.createDataFrame(sorted(report.lines.items()), "reason string, lines bigint").filter("lines > 0")
+
+
 def write_logs(spark, sf_dir):
     return (
         _stored(spark, sf_dir)
@@ -766,6 +776,7 @@ QUERIES = {
     "latest_log_file": latest_log_file,
     "pending_files": pending_files,
     "ingest_pending": ingest_pending_files,
+    "count_lines": count_lines,
     "write_logs": write_logs,
     "preview_raw_headers": preview_raw_headers,
     "load_signatures": load_signatures,

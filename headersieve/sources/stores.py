@@ -135,9 +135,12 @@ def save_model(spark: SparkSession, model: FamilyModel, vocabulary: DataFrame, s
 
     Model, vocabulary and width lie in one version directory; a reader finds a
     version only once the published table names it, so parts of two versions
-    never mix and a broken-off save is never seen.
+    never mix and a broken-off save is never seen. The number is claimed first, so
+    trainers that save at the same time get different ones; unused numbers stay free.
     """
-    version = latest_version(spark, store) + 1
+    from headersieve.sources.claims import Claims  # which reads its table with the functions above
+
+    version, _ = Claims(spark, f"{store}/claims").draw("version", latest_version(spark, store) + 1)
     home = f"{store}/version={version}"
     overwrite(model.export_coefficients(spark), f"{home}/coefficients")
     save_vocabulary(vocabulary, f"{home}/vocabulary")

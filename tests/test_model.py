@@ -89,7 +89,7 @@ def test_table_of_weights_scores_like_the_expression(spark, bounds):
 
 def test_a_vocabulary_of_a_million(spark):
     """Weights stay a table; only those of the order slots come to the driver."""
-    width = 1_000_049
+    width = 1_000_100
     table = TableScorer.from_table(fixed_coefficients(spark, width))
     assert not table.tail.small and table.head.width == 49
     rows = feature_positions(40, width)
@@ -141,7 +141,7 @@ def test_residual_is_the_gradient(spark, families):
             error = (1 / (1 + math.exp(-margin)) - (family == name)) / len(rows)
             for p in [*positions, -1]:
                 gradient[p] += error
-        assert got[name] == pytest.approx(max(map(abs, gradient)), rel=1e-9) and got[name] > 0.01
+        assert got[name] == pytest.approx(max(map(abs, gradient)), rel=1e-9) and got[name] > best[name]
 
 
 def test_threshold_is_strict_and_unknown_family_is_no_human(spark):

@@ -2,19 +2,23 @@
 
 import gzip
 import os
+import time
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import Row
 
 from headersieve.operators import sampling as A
 from headersieve.operators.model import FamilyModel
 from headersieve.operators.scorer import TableScorer
+from headersieve.plans import ingest as I
 from headersieve.plans import queries as Q
 from headersieve.plans.ingest import ingest_pending
 from headersieve.plans.train import retrain
 from headersieve.functions.scoring import LinearScorer
 from headersieve.sources import logs as L
 from headersieve.sources import stores as T
+from headersieve.sources.claims import Claims
 from headersieve.streaming.ingest import stream_ingest
 from headersieve.streaming.verdicts import verdict_stream
 
@@ -109,6 +113,116 @@ def test_equal_names_in_other_folders_are_other_files(spark, source, signatures,
     assert T.read_logs(spark, f"{store}/logs").count() == 11
 
 
+def test_backlog_is_cut_by_bytes(spark, source, signatures, tmp_path):
+    rows = [Row(file_path=str(k), file_name=str(k), file_size=n) for k, n in enumerate([5, 5, 30, 1, 9, 2])]
+    assert [[r.file_size for r in g] for g in I.cut_by_bytes(rows, 10)] == [[5, 5], [30], [1, 9], [2]]
+    assert I.cut_by_bytes([], 10) == []
+    store = str(tmp_path / "store")
+    report = I.ingest_files(spark, source, store, signatures, batch_bytes=1)
+    assert (report.files, len(report.batches)) == (2, 2)
+    assert L.read_ledger(spark, f"{store}/ledger").select("batch").distinct().count() == 2
+    logs = T.read_logs(spark, f"{store}/logs")
+    assert logs.count() == 8 == logs.select("log_id").distinct().count()
+
+
+@pytest.mark.parametrize("dry_run", [True, False])
+def test_lines_are_counted_by_the_job_that_loads_them(spark, signatures, tmp_path, dry_run):
+    source, store = str(tmp_path / "logs"), str(tmp_path / "store")
+    bad = ["junk", "x503090000" + log_line(1)[10:], log_line(2, ""), log_line(3, "Java\\/1.8"), log_line(4, "Nobody"), log_line(5)[:30]]
+    write_gz(f"{source}/x.gz", [*bad, *(log_line(n) for n in range(6, 9))])
+    report = I.ingest_files(spark, source, store, signatures, dry_run=dry_run)
+    lines = L.read_header_logs(spark, source)
+    want = {r[0] or "accepted": r[1] for r in Q.S.reject_reason(lines, signatures).groupBy("reason").count().collect()}
+    assert {k: n for k, n in report.lines.items() if n} == want | {"read": 9}
+    assert set(want) - {"accepted"} <= set(Q.S.REASONS) and len(want) >= 4
+    assert T.read_or_empty(spark, f"{store}/logs", T.LOGS).count() == (0 if dry_run else want["accepted"])
+
+
+def test_two_ingests_at_once_load_each_line_once(spark, source, signatures, tmp_path, monkeypatch):
+    """The second run starts while the first one writes; a new file has come in between."""
+    store, real, others = str(tmp_path / "store"), I.write_logs, []
+
+    def meanwhile(*args, **options):
+        if not others:
+            others.append(None)
+            write_gz(f"{source}/c/2017-02-03.log.gz", [log_line(n) for n in range(8, 12)])
+            others[0] = I.ingest_files(spark, source, store, signatures)
+            with pytest.raises(FileExistsError):
+                ingest_pending(spark, f"{source}/a/2017-02-01.log.gz", store, signatures, mode="one")
+        real(*args, **options)
+
+    monkeypatch.setattr(I, "write_logs", meanwhile)
+    first = I.ingest_files(spark, source, store, signatures)
+    assert (first.files, others[0].files) == (2, 1) and set(first.batches).isdisjoint(others[0].batches)
+    logs = T.read_logs(spark, f"{store}/logs")
+    assert logs.count() == 12 == logs.select("log_id").distinct().count()
+    assert ingest_pending(spark, source, store, signatures) == 0
+    assert Claims(spark, f"{store}/claims").held("file").isEmpty()
+
+
+def test_files_of_a_killed_run_are_loaded_when_its_claim_has_run_out(spark, source, signatures, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+
+    def killed(*args, **options):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(I, "note_batch", killed)
+        patch.setattr(I.Claims, "release", lambda *args: None)  # killed before it could give anything back
+        with pytest.raises(KeyboardInterrupt):
+            ingest_pending(spark, source, store, signatures, lease=6)
+    assert T.read_logs(spark, f"{store}/logs").count() == 8
+    while not Claims(spark, f"{store}/claims").held("file").filter("not abandoned").isEmpty():
+        time.sleep(1)
+    assert ingest_pending(spark, source, store, signatures) == 2
+    logs = T.read_logs(spark, f"{store}/logs")
+    assert logs.count() == 8 == logs.select("log_id").distinct().count()
+
+
+def test_a_failed_run_gives_its_files_back(spark, source, signatures, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    with monkeypatch.context() as patch:
+        patch.setattr(I, "write_logs", lambda *args, **options: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest_pending(spark, source, store, signatures)
+    assert ingest_pending(spark, source, store, signatures) == 2
+
+
+def test_numbers_drawn_at_once_are_lost_to_both(spark, tmp_path):
+    path = str(tmp_path / "claims")
+    one, two = Claims(spark, path, pause=lambda _: None), Claims(spark, path)
+    real = one._add
+
+    def raced(kind, entries, live=True):
+        if not raced.done:
+            raced.done = True
+            two._add(kind, entries)  # the same number, between the look and the claim
+        real(kind, entries, live)
+
+    raced.done = False
+    one._add = raced
+    assert one.draw("batch", 1, 100, 50) == (2, 150)
+    assert two.draw("batch", 1, 100, 50) == (3, 200)
+    assert two.draw("version", 7) == (7, 0)
+
+
+def test_two_trainers_at_once_get_different_versions(spark, tmp_path, monkeypatch):
+    store, real, versions = str(tmp_path / "models"), T.overwrite, []
+    vocabulary = spark.createDataFrame([("Accept=a", 0)], "feature_name string, idx int")
+
+    def meanwhile(df, path):
+        if not versions:
+            versions.append(None)
+            versions[0] = T.save_model(spark, fixed_model(50, 2.0), vocabulary, store)
+        real(df, path)
+
+    monkeypatch.setattr(T, "overwrite", meanwhile)
+    versions.append(T.save_model(spark, fixed_model(50, 1.0), vocabulary, store))
+    assert sorted(versions) == [1, 2]
+    for version, up in zip(versions, (2.0, 1.0)):
+        assert T.load_model(spark, store, version).scorer.head.intercepts == [up, -up]
+
+
 def test_streams_and_batches_share_a_store(spark, source, signatures, tmp_path):
     """Each owner counts its batches for itself, so none replaces another's."""
     logs = str(tmp_path / "store" / "logs")
