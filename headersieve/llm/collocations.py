@@ -52,7 +52,9 @@ COVERED = 80
 SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
+#: Bytes of a batch that goes to Python; an index is a few megabytes.
+BATCH_BYTES = 4 * 1024 * 1024
 #: Places of an index that are extended at a time.
 PART_ROWS = 1 << 17
 LEAST_BITS, MOST_BITS = 16, 27
@@ -69,36 +71,59 @@ _BIG = "decimal(38,0)"
 class _Numbers(dict):
     """Ids of the words of a language, given out as they come; the dictionary is shared by all languages."""
 
-    def __init__(self, lang: str, words: list[bytes], langs: list[str]) -> None:
-        self.lang, self.words, self.langs = lang, words, langs
+    def __init__(self, lang: int, words: list[bytes], of: array) -> None:
+        self.lang, self.words, self.of = lang, words, of
 
     def __missing__(self, word: bytes) -> int:
         self.words.append(word)
-        self.langs.append(self.lang)
+        self.of.append(self.lang)
         self[word] = number = len(self.words)
         return number
 
 
-def _dictionary(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
+@dataclass
+class Dictionary:
+    """Words with their languages. Stored, they are a few long values, which cost the engine less than many short ones."""
+
+    langs: list[str]
+    of: np.ndarray
+    words: list[bytes]
+
+    COLUMNS = "langs array<string>, of binary, words binary"
+
+    def stored(self) -> dict[str, pa.Array]:
+        return {
+            "langs": pa.array([self.langs], pa.list_(pa.string())),
+            "of": pa.array([self.of.astype(np.int32).tobytes()], pa.binary()),
+            "words": pa.array([b"\n".join(self.words)], pa.binary()),
+        }
+
+    @staticmethod
+    def read(batch: pa.RecordBatch, k: int) -> Dictionary:
+        langs = batch.column("langs")[k].as_py()
+        return Dictionary(langs, _numbers(batch.column("of")[k]), batch.column("words")[k].as_py().split(b"\n"))
+
+    def where(self, kept: np.ndarray) -> Dictionary:
+        return Dictionary(self.langs, self.of[kept], [self.words[k] for k in np.flatnonzero(kept).tolist()])
+
+    def hashes(self) -> np.ndarray:
+        digest, begins = xxhash.xxh64_intdigest, [f"{lang}\n".encode() for lang in self.langs]
+        return np.fromiter((digest(begins[x] + w) for x, w in zip(self.of.tolist(), self.words)), np.uint64, len(self.words))
 
 
 def cut_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``langs, words, symbols``: dictionary and word ids (32-bit numbers) of each shard."""
+    """Dictionary and ``symbols``, the word ids as 32-bit numbers, of each shard."""
 
     def shard() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({
-            "langs": pa.array([langs], pa.list_(pa.string())),
-            "words": pa.ListArray.from_arrays([0, len(words)], _dictionary(words)),
-            "symbols": pa.array([symbols.tobytes()], pa.binary()),
-        })
+        stored = Dictionary(list(numbers), np.frombuffer(of, np.int32), words).stored()
+        return pa.RecordBatch.from_pydict(stored | {"symbols": pa.array([symbols.tobytes()], pa.binary())})
 
-    words, langs, numbers, symbols = [], [], {}, array("i", [0])
+    words, of, numbers, symbols = [], array("i"), {}, array("i", [0])
     for batch in batches:
         texts = batch.column("text").fill_null("").cast(pa.large_binary())
         for lang, text in zip(batch.column("lang").to_pylist(), texts):
             if lang not in numbers:
-                numbers[lang] = _Numbers(lang, words, langs)
+                numbers[lang] = _Numbers(len(numbers), words, of)
             number = numbers[lang].__getitem__
             for piece in text.as_py().translate(_CUT).split(b"\n"):
                 found = piece.split()  # white space of other kinds is a line end above
@@ -107,12 +132,12 @@ def cut_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     symbols.append(0)
             if len(symbols) > SHARD_WORDS:
                 yield shard()
-                words, langs, numbers, symbols = [], [], {}, array("i", [0])
+                words, of, numbers, symbols = [], array("i"), {}, array("i", [0])
     if words:
         yield shard()
 
 
-def _symbols(value) -> np.ndarray:
+def _numbers(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.int32)
 
 
@@ -120,25 +145,20 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``lang, mark, n``: the words of each shard under their hashes, without language, and all words by language."""
     for batch in batches:
         for k in range(batch.num_rows):
-            langs, words = batch.column("langs")[k].values, batch.column("words")[k].values
-            n = np.bincount(_symbols(batch.column("symbols")[k]), minlength=len(words) + 1)[1:]
-            marks = _phrase_hashes([_word_hashes(langs.to_pylist(), words.to_pylist())]).view(np.int64)
+            found = Dictionary.read(batch, k)
+            n = np.bincount(_numbers(batch.column("symbols")[k]), minlength=len(found.words) + 1)[1:]
+            marks = _phrase_hashes([found.hashes()]).view(np.int64)
             none = pa.nulls(len(marks), pa.string())
             yield pa.RecordBatch.from_arrays([none, pa.array(marks), pa.array(n)], names=["lang", "mark", "n"])
-            found = langs.dictionary_encode()
-            total = np.bincount(found.indices.to_numpy(), n, minlength=len(found.dictionary)).astype(np.int64)
+            total = np.bincount(found.of, n, minlength=len(found.langs)).astype(np.int64)
             none = pa.nulls(len(total), pa.int64())
-            yield pa.RecordBatch.from_arrays([found.dictionary, none, pa.array(total)], names=["lang", "mark", "n"])
+            langs = pa.array(found.langs, pa.string())
+            yield pa.RecordBatch.from_arrays([langs, none, pa.array(total)], names=["lang", "mark", "n"])
 
 
 # Frequent phrases as a table of bits.
 
 
-def _word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(f"{x}\n{w}") for x, w in zip(langs, words)), np.uint64, len(words))
-
-
 def _phrase_hashes(hashes: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(hashes[0]), np.uint64)
     for h in hashes:
@@ -195,22 +215,19 @@ def transform(symbols: np.ndarray) -> np.ndarray:
 
 
 def index_shards(table):
-    """The map from shards to ``langs, words, before, after``: dictionary and transforms, frequent words only."""
+    """The map from shards to dictionary, ``before`` and ``after``, the transforms, of frequent words only."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                langs, words = batch.column("langs")[k].values, batch.column("words")[k].values
-                kept = _may_be_frequent(table.value, _phrase_hashes([_word_hashes(langs.to_pylist(), words.to_pylist())]))
+                found = Dictionary.read(batch, k)
+                kept = _may_be_frequent(table.value, _phrase_hashes([found.hashes()]))
+                if not kept.any():
+                    continue
                 renumbered = np.concatenate(([0], np.cumsum(kept) * kept)).astype(np.int32)
-                symbols = renumbered[_symbols(batch.column("symbols")[k])]
+                symbols = renumbered[_numbers(batch.column("symbols")[k])]
                 symbols = symbols[np.concatenate(([True], (symbols[1:] > 0) | (symbols[:-1] > 0)))]
-                some = pa.array(np.flatnonzero(kept))
-                if not len(some):
-                    continue
-                yield pa.RecordBatch.from_pydict({
-                    "langs": pa.ListArray.from_arrays([0, len(some)], langs.take(some)),
-                    "words": pa.ListArray.from_arrays([0, len(some)], words.take(some)),
+                yield pa.RecordBatch.from_pydict(found.where(kept).stored() | {
                     "before": pa.array([transform(symbols).tobytes()], pa.binary()),
                     "after": pa.array([transform(symbols[::-1]).tobytes()], pa.binary()),
                 })
@@ -308,22 +325,23 @@ def count_phrases(tables, length: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                langs, words = batch.column("langs")[k].values, batch.column("words")[k].values
-                hashes = np.concatenate(([np.uint64(0)], _word_hashes(langs.to_pylist(), words.to_pylist())))
-                index = FmIndex(_symbols(batch.column("before")[k]), _symbols(batch.column("after")[k]))
+                found = Dictionary.read(batch, k)
+                hashes = np.concatenate(([np.uint64(0)], found.hashes()))
+                index = FmIndex(_numbers(batch.column("before")[k]), _numbers(batch.column("after")[k]))
+                words, langs = pa.array(found.words, pa.binary()).cast(pa.string()), pa.array(found.langs, pa.string())
                 if length == LONGEST:
-                    yield texts(langs, words, index.single())
+                    yield texts(langs, found.of, words, index.single())
                 for phrases in grown(index, hashes, index.single(), 2):
                     if length == LONGEST:
-                        yield texts(langs, words, phrases)
+                        yield texts(langs, found.of, words, phrases)
                     elif len(phrases.words) == length:
                         marks = _phrase_hashes([hashes[w] for w in phrases.words]).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(phrases.n)], names=["mark", "n"])
 
-    def texts(langs: pa.Array, words: pa.Array, phrases: Phrases) -> pa.RecordBatch:
+    def texts(langs: pa.Array, of: np.ndarray, words: pa.Array, phrases: Phrases) -> pa.RecordBatch:
         parts = [words.take(pa.array(w - 1)) for w in phrases.words]
         width = pa.array(np.full(len(phrases.n), len(parts), np.int32))
-        lang = langs.take(pa.array(phrases.words[0] - 1))
+        lang = langs.take(pa.array(of[phrases.words[0] - 1]))
         return pa.RecordBatch.from_arrays(
             [lang, pc.binary_join_element_wise(*parts, " "), width, pa.array(phrases.n)],
             names=["lang", "phrase", "words", "n"],
@@ -335,17 +353,17 @@ def count_phrases(tables, length: int):
 def frequent_phrases(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of the phrases of 1 to ``LONGEST`` words that occur ``LEAST`` times; ``lang, n`` of all words."""
     context = docs.sparkSession.sparkContext
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, BATCH_BYTES)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     shards = materialize(
-        rows.mapInArrow(cut_shards, "langs array<string>, words array<string>, symbols binary"), "shards"
+        rows.mapInArrow(cut_shards, f"{Dictionary.COLUMNS}, symbols binary"), "shards"
     )
     words = shards.mapInArrow(count_words, "lang string, mark bigint, n bigint").groupBy("lang", "mark").agg(F.sum("n").alias("n"))
     words = materialize(words.where((F.col("n") >= LEAST) | F.col("lang").isNotNull()), "words")
     totals = words.where(F.col("lang").isNotNull()).select("lang", "n")
     tables = [bit_table(words.where(F.col("lang").isNull()))]
     indexes = shards.mapInArrow(
-        index_shards(context.broadcast(tables[0])), "langs array<string>, words array<string>, before binary, after binary"
+        index_shards(context.broadcast(tables[0])), f"{Dictionary.COLUMNS}, before binary, after binary"
     )
     indexes = materialize(indexes, "indexes")
     for length in range(2, LONGEST):

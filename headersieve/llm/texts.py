@@ -37,12 +37,12 @@ def remainder_is(key: Column, modulus: int, value: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == value, F.lit(False))
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Keep the batches that go to Python small, so that long texts don't pile up in a worker."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def join_unevenly(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
