@@ -61,11 +61,10 @@ UNRECOGNIZED_CLASS = ("Unrecognized", "unrecognized")
 CRAWLER_CLASS = ("Crawler", "crawler")
 
 # Where the signature data's publisher describes an entry.
-INFO_URL_BASE = "https://udger.com/resources/ua-list/"
-BOT_INFO_URL = INFO_URL_BASE + "bot-detail?bot="
-BROWSER_INFO_URL = INFO_URL_BASE + "browser-detail?browser="
-OS_INFO_URL = INFO_URL_BASE + "client-detail?client="
-DEVICE_INFO_URL = INFO_URL_BASE + "device-detail?device="
+BOT_INFO_URL = "https://udger.com/resources/ua-list/bot-detail?bot="
+BROWSER_INFO_URL = "https://udger.com/resources/ua-list/browser-detail?browser="
+OS_INFO_URL = "https://udger.com/resources/ua-list/client-detail?client="
+DEVICE_INFO_URL = "https://udger.com/resources/ua-list/device-detail?device="
 
 # Agent families that are bots.
 BOT_FAMILIES = (
