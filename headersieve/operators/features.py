@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from headersieve.functions.headers import VALUE_SPELLINGS, once, trim_values
 from headersieve.functions.pairs import ORDER_WIDTH, order_slots
-from headersieve.operators.labels import fit_label_codes, one_hot_labels
+from headersieve.operators.labels import number_labels, one_hot_labels
 from headersieve.operators.lookup import Lookup, dense_index, lookup_join
 from headersieve.operators.sampling import logs_in_period, newest_logs
 from headersieve.session import materialize
 
+# Bits of the table that tells values outside a large vocabulary: 2 MB for every task.
+TABLE_BITS = 24
+
 
 def value_keys(value_data: Column) -> Column:
     """``"<header>=<value>"`` for each trimmed header value of a row."""
@@ -28,6 +31,10 @@ def fit_value_vocabulary(df: DataFrame) -> DataFrame:
     numbers whatever the partitioning.
     """
     names = df.select(F.explode(value_keys(F.col("value_data"))).alias("feature_name")).distinct()
+    return _number_names(names)
+
+
+def _number_names(names: DataFrame) -> DataFrame:
     numbered = dense_index(names, [F.col("feature_name")], "idx")
     return numbered.select("feature_name", F.col("idx").cast("int").alias("idx"))
 
@@ -49,18 +56,44 @@ def _slots_in_place(df: DataFrame, vocabulary: DataFrame, unknown: str) -> DataF
     return df.select(*kept, F.sort_array(distinct).alias("value_slots"))
 
 
+def vocabulary_bits(vocabulary: DataFrame) -> DataFrame:
+    """``(word, mask)``: a table of 2^``TABLE_BITS`` bits, those at the hashes of the vocabulary set.
+
+    It has 2^(``TABLE_BITS`` - 6) rows at most, whatever the size of the vocabulary.
+    """
+    slot = _bit_slot(F.col("feature_name"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return vocabulary.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(mask).alias("mask"))
+
+
+def _bit_slot(name: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(name), 64 - TABLE_BITS)
+
+
 def _slots_by_shuffle(df: DataFrame, lookup: Lookup, unknown: str) -> DataFrame:
-    """One row per header value, one join, and back to one row per log."""
+    """One row per known header value, one join, and back to one row per log.
+
+    A table of bits, which every task has, tells most values that are in no vocabulary; they become slot 0 in place.
+    Only the others move, and the join drops those that the bits let through by mistake.
+    """
+    kept = df.columns
+    bits = F.broadcast(materialize(vocabulary_bits(lookup.table), "bits"))
     values = df.select("log_id", F.explode(value_keys(F.col("value_data"))).alias("__name"))
-    found = lookup_join(values, lookup, F.col("__name"))
-    slot = F.coalesce("idx", F.lit(0)) if unknown == "slot0" else F.col("idx")
+    values = values.withColumn("__slot", _bit_slot(F.col("__name")))
+    marked = values.join(bits, F.shiftright("__slot", 6) == F.col("word"), "left")
+    bit = F.call_function("getbit", F.coalesce("mask", F.lit(0).cast("bigint")), F.col("__slot").bitwiseAND(F.lit(63)).cast("int"))
+    known = marked.filter(bit == 1).select("log_id", "__name")
+    found = lookup_join(known, lookup, F.col("__name")).filter(F.col("idx").isNotNull())
     slots = found.groupBy(F.col("log_id").alias("__log_id")).agg(
-        F.sort_array(F.collect_set(slot)).alias("value_slots")
-    )
-    joined = df.join(slots, df["log_id"] == slots["__log_id"], "left").drop("__log_id")
-    return joined.withColumn(
-        "value_slots", F.coalesce("value_slots", F.array().cast("array<int>"))
+        F.sort_array(F.collect_set("idx")).alias("__slots"), F.count(F.lit(1)).alias("__known")
     )
+    joined = df.join(slots, df["log_id"] == slots["__log_id"], "left")
+    slots_ = F.coalesce("__slots", F.array().cast("array<int>"))
+    if unknown == "slot0":
+        # A row with more values than were found has one that is unknown.
+        unseen = F.size(value_keys(F.col("value_data"))) > F.coalesce("__known", F.lit(0))
+        slots_ = F.when(unseen, F.array_sort(F.array_union(slots_, F.array(F.lit(0))))).otherwise(slots_)
+    return joined.select(*kept, slots_.alias("value_slots"))
 
 
 def value_features(
@@ -125,11 +158,19 @@ def prepare_period(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Logs of a period as ``(log_id, positions, label)`` with vocabulary and label codes.
 
-    The label is the user agent's code, the 1 of its one-hot row.
+    The label is the user agent's code, the 1 of its one-hot row. The logs are read once, for the columns that are needed,
+    and the period is written; one explode and one shuffle of it give the distinct header values and, with their first
+    appearance, the distinct agents, told apart by a tag.
     """
-    period = logs_in_period(logs, start, finish)
-    vocabulary = fit_value_vocabulary(period)
-    codes = fit_label_codes(period, "user_agent")
+    needed = ("log_id", "timestamp", "user_agent", "value_data", "order_data")
+    period = materialize(logs_in_period(logs, start, finish).select(*needed), "period")
+    values = F.transform(value_keys(F.col("value_data")), lambda key: F.struct(F.lit("value").alias("tag"), key.alias("text")))
+    agent = F.array(F.struct(F.lit("agent").alias("tag"), F.col("user_agent").alias("text")))
+    keys = period.select("timestamp", "log_id", F.inline(F.concat(values, agent)))
+    first = keys.groupBy("tag", "text").agg(F.min(F.struct("timestamp", "log_id")).alias("first"))
+    first = materialize(first, "keys")
+    vocabulary = _number_names(first.filter("tag = 'value'").select(F.col("text").alias("feature_name")))
+    codes = number_labels(first.filter("tag = 'agent'").select("text", "first"))
     features = full_features(period, vocabulary, unknown)
     labelled = one_hot_labels(features, codes, "user_agent")
     return labelled.select("log_id", "positions", "label"), vocabulary, codes

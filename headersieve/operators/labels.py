@@ -13,6 +13,11 @@ def fit_label_codes(
 ) -> DataFrame:
     """Distinct labels as ``(text, int_code, float_code)``, dense in first-seen order."""
     first = df.groupBy(F.col(column).alias("text")).agg(F.min(F.struct(*order)).alias("first"))
+    return number_labels(first)
+
+
+def number_labels(first: DataFrame) -> DataFrame:
+    """Labels ``text`` as ``(text, int_code, float_code)``, dense in the order of ``first``."""
     numbered = dense_index(first, [F.col("first"), F.col("text")], "code")
     return numbered.select(
         "text",

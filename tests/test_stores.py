@@ -19,6 +19,7 @@ from headersieve.functions.scoring import LinearScorer
 from headersieve.sources import logs as L
 from headersieve.sources import stores as T
 from headersieve.sources.claims import Claims
+from headersieve.streaming import ingest as SI
 from headersieve.streaming.ingest import stream_ingest
 from headersieve.streaming.verdicts import verdict_stream
 
@@ -276,6 +277,26 @@ def test_stream_ingest_equals_batch(spark, source, signatures, tmp_path):
     assert shown[0] == shown[1]
 
 
+def test_streamed_ids_never_overlap(spark, monkeypatch):
+    monkeypatch.setattr(SI, "_BATCH_SHIFT", 33)  # room for four partitions
+    lines = spark.range(1000).repartition(9)
+    ids = [r["log_id"] for b in (0, 1, 2) for r in SI.number_lines(lines, b).collect()]
+    assert len(set(ids)) == 3000 and max(i >> 33 for i in ids) == 2
+    monkeypatch.setattr(SI, "_PART_SHIFT", 5)
+    with pytest.raises(Exception, match="more lines than a log id has room for"):
+        SI.number_lines(lines, 0).collect()
+    with pytest.raises(OverflowError):
+        SI.number_lines(lines, 1 << 30)
+
+
+def test_stream_admits_by_bytes(spark, source, signatures, tmp_path):
+    out = str(tmp_path / "out")
+    stream_ingest(spark, source, out, f"{out}-checkpoint", signatures, batch_bytes=1).awaitTermination()
+    logs = T.read_logs(spark, out)
+    assert logs.count() == 8 == logs.select("log_id").distinct().count()
+    assert spark.read.parquet(out).select("batch").distinct().count() == 2
+
+
 def fixed_model(width, up):
     return FamilyModel(LinearScorer(["chrome", "x"], [up, -up], [[0.0, 0.0]] * width), None)
 
