@@ -20,7 +20,7 @@ Counting:
    the counts, their ranks the new interval there, and the numbers of smaller words the new interval in the other
    order. *Extension to the left* is the mirror image. Phrases grow to the right and to the left in turn.
 4. A phrase is only extended if it may be frequent over all shards, and only to phrases whose other part of one word
-   less may be, too. For that, the phrases of each length below ``LONGEST`` are first counted under hashes of 64 bits, and those
+   less may be, too. For that, the phrases of each length are first counted under hashes of 64 bits, and those
    that reach ``LEAST`` set bits in a table, of a size fixed by their number and at most 2^``MOST_BITS``.
    A last round counts the phrases of all lengths that this lets through under their own texts, so
    neither a hash nor a bit that two phrases share changes any number.
@@ -303,9 +303,10 @@ class FmIndex:
 def count_phrases(tables, length: int):
     """The map from indexes to their phrases whose shorter parts may be frequent.
 
-    Below ``LONGEST`` it gives ``mark, n``, the hashes of the phrases of ``length`` words; else ``lang, phrase, words, n``, the
-    texts of phrases of all lengths, those shorter than ``LONGEST`` only if they may be frequent themselves.
+    With tables for lengths below ``length`` it gives ``mark, n``, the hashes of the phrases of ``length`` words; with one for
+    ``length``, too, ``lang, phrase, words, n``, the texts of the phrases of up to so many words that may be frequent.
     """
+    told = len(tables.value) == length
 
     def frequent(hashes: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         return _may_be_frequent(tables.value[len(words) - 1], _phrase_hashes([hashes[w] for w in words]))
@@ -316,7 +317,7 @@ def count_phrases(tables, length: int):
             longer = index.right(part) if width % 2 == 0 else index.left(part)
             if width > 2:  # the other phrase of one word less
                 longer = longer.where(frequent(hashes, longer.words[1:] if width % 2 == 0 else longer.words[:-1]))
-            if width < length:
+            if told or width < length:
                 longer = longer.where(frequent(hashes, longer.words))
             yield longer
             if width < length:
@@ -329,10 +330,10 @@ def count_phrases(tables, length: int):
                 hashes = np.concatenate(([np.uint64(0)], found.hashes()))
                 index = FmIndex(_numbers(batch.column("before")[k]), _numbers(batch.column("after")[k]))
                 words, langs = pa.array(found.words, pa.binary()).cast(pa.string()), pa.array(found.langs, pa.string())
-                if length == LONGEST:
+                if told:
                     yield texts(langs, found.of, words, index.single())
                 for phrases in grown(index, hashes, index.single(), 2):
-                    if length == LONGEST:
+                    if told:
                         yield texts(langs, found.of, words, phrases)
                     elif len(phrases.words) == length:
                         marks = _phrase_hashes([hashes[w] for w in phrases.words]).view(np.int64)
@@ -366,7 +367,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame,
         index_shards(context.broadcast(tables[0])), f"{Dictionary.COLUMNS}, before binary, after binary"
     )
     indexes = materialize(indexes, "indexes")
-    for length in range(2, LONGEST):
+    for length in range(2, LONGEST + 1):
         found = indexes.mapInArrow(count_phrases(context.broadcast(tables), length), "mark bigint, n bigint")
         found = found.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
         tables.append(bit_table(materialize(found.select("mark"), "marks")))
