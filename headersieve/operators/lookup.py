@@ -72,6 +72,26 @@ def attach(df: DataFrame, lookup: Lookup, on: Column, name: str) -> DataFrame:
     return lookup_join(df, Lookup(packed, lookup.key, lookup.small), on)
 
 
+def hash_slot(value: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
+
+
+def hash_bits(df: DataFrame, value: Column, bits: int) -> DataFrame:
+    """``(word, mask)``: a table of 2^``bits`` bits, those at the hashes of the values set; 2^(``bits`` - 6) rows at most."""
+    slot = hash_slot(value, bits)
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return df.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(mask).alias("mask"))
+
+
+def in_hash_bits(df: DataFrame, value: Column, others: DataFrame, other: Column, bits: int) -> DataFrame:
+    """The rows of ``df`` whose ``value`` may be among those of ``other``: all that are, and few that are not."""
+    kept = df.columns
+    table = F.broadcast(materialize(hash_bits(others, other, bits), "bits"))
+    marked = df.withColumn("__slot", hash_slot(value, bits)).join(table, F.shiftright("__slot", 6) == F.col("word"))
+    bit = F.call_function("getbit", F.col("mask"), F.col("__slot").bitwiseAND(F.lit(63)).cast("int"))
+    return marked.filter(bit == 1).select(*kept)
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number the rows 0..n-1 in the given total order without a one-task sort.
 

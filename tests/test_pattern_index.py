@@ -196,3 +196,45 @@ def test_strategies_agree_on_many_patterns(spark, sf_dir):
     assert distinct.count() == 200
     assert distinct.exceptAll(joined).isEmpty() and joined.exceptAll(distinct).isEmpty()
     assert distinct.filter("ua.ua_family_code <> ''").count() > 100
+
+
+def test_runs_in_groups(spark):
+    cases = [
+        ("(?i)(?:none|large-ring12)/([0-9.]+)", ["none", "large-ring12"]),
+        ("(crios|chrome)+x[0-9]", ["crios", "chrome"]),
+        ("(crios|chrome)+?/abcdefgh", ["/abcdefgh"]),
+        ("(opr|opera)/x|(?:edge|trident)[0-9]", ["opr", "opera", "edge", "trident"]),
+        ("(x(opr|opera))+/[0-9]", ["opr", "opera"]),
+        ("(crios|chrome)?/x", None),
+        ("(crios|chrome){0,2}/x", None),
+        ("(?!crios|chrome)/x", None),
+        ("(crios|)/x", None),
+        ("(|crios)/x", None),
+        ("(crios|cd?)/x", None),
+        ("(?:abc|(?:def|ghi)j)x", None),
+        ("abc\x01def\x01ghi", None),
+    ]
+    rows = spark.createDataFrame([(pattern,) for pattern, _ in cases], "p string")
+    found = {r[0]: r[1] for r in rows.select("p", pattern_index.runs_in_groups(F.col("p"))).collect()}
+    assert found == dict(cases)
+
+
+def test_rules_whose_runs_stand_in_a_group_are_indexed(spark):
+    """Alternatives in a group, none of them with a run beside it, are not tried on every text."""
+    rules = [(k, k, f"(?i)(?:none|large-ring{k})/([0-9.]+)") for k in range(50)]
+    index, want = _equal_to_first_match(spark, rules, [f"Large-Ring{k}/{k}.0" for k in range(60)] + ["none/7", "x"])
+    assert index.rest.count() == 0 and sum(h is not None for h in want.values()) == 51
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_texts_meet_few_patterns_however_many_share_their_letters(spark, monkeypatch, small):
+    """Runs that differ in digits alone are told apart, and repeats of a pattern are kept once."""
+    monkeypatch.setattr(pattern_index, "fits_broadcast", lambda df: small)
+    rules = [(k, k, f"(?i)large-ring{k:05}/([0-9.]+)") for k in range(3000)]
+    rules += [(9000 - k, k, "(?i)large-ring[0-9]*4/([0-9.]+)") for k in range(3000)]
+    texts = [f"Large-Ring{k:05}/{k}.1" for k in range(2900, 3100)]
+    index, _ = _equal_to_first_match(spark, rules, texts)
+    assert index.ruled.count() == 3001 and index.ruled.filter("id = 2999").count() == 2
+    table = spark.createDataFrame([(t.lower(),) for t in texts], "text string")
+    windows = F.explode(F.concat(*(pattern_index.grams_of(F.col("text"), size) for size in index.sizes)))
+    assert table.select("text", windows.alias("gram")).join(index.keyed, "gram").count() < 5 * len(texts)
