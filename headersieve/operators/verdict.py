@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from headersieve.functions import fixed_values as V
 from headersieve.functions.crawlers import is_crawler
 from headersieve.functions.headers import once, pick_user_agent, sorted_order
-from headersieve.functions.scoring import LinearScorer, human_verdict
+from headersieve.functions.scoring import LinearScorer, human_verdict, sigmoid
 from headersieve.operators.features import full_features
 from headersieve.operators.lookup import Lookup, lookup_join
 from headersieve.operators.match import parse_user_agents
@@ -45,28 +45,38 @@ def score_by_join(df: DataFrame, coefficients: DataFrame, id_column: str = "log_
     by_column = coefficients.groupBy("column").agg(
         F.collect_list(F.struct("class", "weight")).alias("weights")
     )
-    cells = df.filter(F.size("positions") > 0).select(
-        id_column, F.explode(F.concat(F.array(F.lit(-1)), "positions")).alias("__cell")
-    )
-    weighted = lookup_join(cells, Lookup.measure(by_column, "column"), F.col("__cell"))
-
-    def total(numbers: Column) -> Column:
-        return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+    lookup = Lookup.measure(by_column, "column")
+    rows = df.filter(F.size("positions") > 0).select(id_column, F.concat(F.array(F.lit(-1)), "positions").alias("__cells"))
+    if lookup.small:
+        # Rows move once, before they become cells; the weights come to them, and an id's cells meet where they are.
+        rows = rows.repartition(id_column)
+    cells = rows.select(id_column, F.explode("__cells").alias("__cell"))
+    weighted = lookup_join(cells, lookup, F.col("__cell")).filter(F.col("weights").isNotNull())
 
     # Doubles are added in the order of columns and then of classes, as in one expression,
     # so that both ways of scoring give the same last digit.
-    margins = (
-        weighted.select(id_column, "__cell", F.inline("weights"))
-        .groupBy(id_column, "class")
-        .agg(F.sort_array(F.collect_list(F.struct("__cell", F.col("weight").cast("double").alias("weight")))).alias("terms"))
-        .select(id_column, "class", total(F.col("terms.weight")).alias("margin"))
-    )
-    sigmoid = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+    def terms_of(cell: Column) -> Column:
+        return F.transform(
+            cell["weights"],
+            lambda w: F.struct(w["class"].alias("class"), cell["__cell"].alias("cell"), w["weight"].cast("double").alias("weight")),
+        )
+
+    collected = F.collect_list(F.struct("__cell", "weights"))
+    terms = weighted.groupBy(id_column).agg(F.sort_array(F.flatten(F.transform(collected, terms_of))).alias("terms"))
+
+    def begins(k: Column) -> Column:
+        return (k == 1) | ~F.get("terms", k - 1)["class"].eqNullSafe(F.get("terms", k - 2)["class"])
+
+    starts = terms.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("terms")), begins))
+
+    def scored(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("terms") + 1)
+        margin = F.aggregate(F.slice("terms", start, end - start), F.lit(0.0), lambda acc, t: acc + t["weight"])
+        return F.struct(F.get("terms", start - 1)["class"].alias("class"), sigmoid(margin).alias("score"))
+
     scores = (
-        margins.select(id_column, F.struct("class", sigmoid.alias("score")).alias("scored"))
-        .groupBy(id_column)
-        .agg(F.sort_array(F.collect_list("scored")).alias("scores"))
-        .withColumn("total", total(F.col("scores.score")))
+        starts.select(id_column, F.transform("starts", scored).alias("scores"))
+        .withColumn("total", F.aggregate(F.col("scores.score"), F.lit(0.0), lambda acc, x: acc + x))
         .select(id_column, "total", F.inline("scores"))
     )
     return scores.select(

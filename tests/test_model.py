@@ -67,6 +67,27 @@ def test_scores_by_join_agree(spark):
     assert joined == {log_id: probs for log_id, probs in in_place.items() if probs}
 
 
+def test_scores_by_join_move_rows_once_and_before_they_become_cells(spark):
+    """With weights that fit a broadcast neither cells nor classes are shuffled; repeated and null ids meet."""
+    scorer = random_scorer()
+    coefficients = M.FamilyModel(scorer, None).export_coefficients(spark)
+    schema = "log_id bigint, positions array<int>"
+    df = spark.createDataFrame([(1, [0, 3]), (2, [1]), (1, [4]), (None, [2]), (None, [2])], schema)
+    scores = V.score_by_join(df, coefficients)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(log_id") == 1
+    assert plan.index("Generate explode(__cells") < plan.index("hashpartitioning(log_id")
+    got = {(r["log_id"], r["class"]): r["prob"] for r in scores.collect()}
+    assert len(got) == 3 * len(scorer.classes)
+    raw = {}
+    for log_id, cells in ((1, [-1, -1, 0, 3, 4]), (2, [-1, 1]), (None, [-1, -1, 2, 2])):
+        sums = [sum((scorer.intercepts if c < 0 else scorer.weights[c])[k] for c in cells) for k in range(len(scorer.classes))]
+        raw[log_id] = [1 / (1 + math.exp(-m)) for m in sums]
+    for (log_id, name), prob in got.items():
+        share = raw[log_id][scorer.classes.index(name)] / sum(raw[log_id])
+        assert prob == pytest.approx(share, abs=1.1e-5)
+
+
 def feature_positions(n, width, seed=5):
     """Rows as features make them: some order slots, then up to six value slots, some beyond the width."""
     rng = random.Random(seed)
