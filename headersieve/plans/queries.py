@@ -238,9 +238,9 @@ def _fixed_model(spark, width, scale=1):
     return M.FamilyModel(LinearScorer.from_table(fixtures.fixed_coefficients(spark, width, scale)), None)
 
 
-def _vocabulary(spark, sf_dir):
+def _vocabulary(spark, sf_dir, shredded=None):
     """The vocabulary over all lines, and the width of the features on it."""
-    vocabulary = X.fit_value_vocabulary(_shredded(spark, sf_dir))
+    vocabulary = X.fit_value_vocabulary(_shredded(spark, sf_dir) if shredded is None else shredded)
     return vocabulary, ORDER_WIDTH + vocabulary.count()
 
 
@@ -739,8 +739,8 @@ def stream_ingest_files(spark, sf_dir):
     )
 
 
-def _published_fixed(spark, sf_dir, store, scale):
-    vocabulary, width = _vocabulary(spark, sf_dir)
+def _published_fixed(spark, sf_dir, store, scale, shredded=None):
+    vocabulary, width = _vocabulary(spark, sf_dir, shredded)
     T.save_model(spark, _fixed_model(spark, width, scale), vocabulary, store)
 
 
@@ -761,10 +761,12 @@ def stream_verdicts_of_requests(spark, sf_dir):
 def stream_model_refresh(spark, sf_dir):
     """One network's requests come first; then a new model is published, then the others'."""
     store, source, out = (fresh_path(spark, n) for n in ("model", "requests", "verdicts"))
-    requests = materialize(_requests(spark, sf_dir), "requests")
+    # The lines are taken apart once; the requests and both vocabularies are made from what was written.
+    shredded = materialize(_shredded(spark, sf_dir), "shredded")
+    requests = materialize(fixtures.request_bodies(S.header_entries(shredded)), "requests")
     first = F.col("client_ip").startswith("10.1")
     for arriving, scale in ((first, SHARP), (~first, -SHARP)):
-        _published_fixed(spark, sf_dir, store, scale)
+        _published_fixed(spark, sf_dir, store, scale, shredded)
         requests.filter(arriving).write.mode("append").parquet(source)
         stream_verdicts(
             _stream_of(spark, source), _signatures(spark), store, out, f"{out}-checkpoint"
