@@ -14,14 +14,16 @@ Counting:
    word ids of all pieces, with 0 between pieces. Words are counted.
 2. Words below ``LEAST`` can be in no candidate; they turn into 0. Each shard gets an *FM-index* over word ids: the
    Burrows-Wheeler transform of the sequence and of its reverse. Both orders look at ``LONGEST`` words only, since no
-   longer phrase is searched.
+   longer phrase is searched. Sorting a shard costs less than to write and read its index, which is larger than the
+   texts; so each round builds the index of a shard in its task.
 3. A phrase is a pair of intervals of equal width, one in each order. *Extension to the right* by every word
    at once reads the transform of the reverse: the words found in an interval are the extensions, their numbers
    the counts, their ranks the new interval there, and the numbers of smaller words the new interval in the other
    order. *Extension to the left* is the mirror image. Phrases grow to the right and to the left in turn.
 4. A phrase is only extended if it may be frequent over all shards, and only to phrases whose other part of one word
-   less may be, too. For that, the phrases of each length below ``LONGEST`` are first counted under hashes of 64 bits, and those
-   that reach ``LEAST`` set bits in a table, of a size fixed by their number and at most 2^``MOST_BITS``.
+   less may be, too. For that, the phrases of each length below ``LONGEST`` are first counted under hashes of ``HASH_BITS`` bits,
+   and those that reach ``LEAST`` set bits in a table, of a size fixed by their number and at most 2^``MOST_BITS``. The counts
+   move as *packets*: those of a range of hashes, in order, as the distances between them, some three bytes each.
    A last round counts the phrases of all lengths that this lets through under their own texts, so
    neither a hash nor a bit that two phrases share changes any number.
 
@@ -57,6 +59,14 @@ SHARD_WORDS = 1 << 19
 BATCH_BYTES = 4 * 1024 * 1024
 #: Places of an index that are extended at a time.
 PART_ROWS = 1 << 17
+#: First bits of a hash that are counted; the others of 64 hold a count up to ``LEAST``, below 256, while hashes are sorted.
+HASH_BITS = 40
+#: Counts that are packed at a time, and words of the corpus for each range of hashes, of which one task sums all packets.
+PACKET_ROWS = 1 << 20
+RANGE_WORDS = 1 << 20
+LEAST_RANGES = 16
+#: A row of a shard is megabytes: it gets a page of its own, for the default is a hundred rows.
+SHARD_FILES = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 LEAST_BITS, MOST_BITS = 16, 27
 BITS_EACH = 16
 #: A language's candidates are ranked in so many parts before the best of all parts are.
@@ -101,7 +111,8 @@ class Dictionary:
     @staticmethod
     def read(batch: pa.RecordBatch, k: int) -> Dictionary:
         langs = batch.column("langs")[k].as_py()
-        return Dictionary(langs, _numbers(batch.column("of")[k]), batch.column("words")[k].as_py().split(b"\n"))
+        of = np.frombuffer(batch.column("of")[k].as_buffer(), np.int32)
+        return Dictionary(langs, of, batch.column("words")[k].as_py().split(b"\n"))
 
     def where(self, kept: np.ndarray) -> Dictionary:
         return Dictionary(self.langs, self.of[kept], [self.words[k] for k in np.flatnonzero(kept).tolist()])
@@ -112,11 +123,16 @@ class Dictionary:
 
 
 def cut_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary and ``symbols``, the word ids as 32-bit numbers, of each shard."""
+    """Dictionary, ``sizes``, the words of each of its languages, and ``symbols``, the word ids byte by byte, of each shard."""
 
     def shard() -> pa.RecordBatch:
-        stored = Dictionary(list(numbers), np.frombuffer(of, np.int32), words).stored()
-        return pa.RecordBatch.from_pydict(stored | {"symbols": pa.array([symbols.tobytes()], pa.binary())})
+        found, ids = Dictionary(list(numbers), np.frombuffer(of, np.int32), words), np.frombuffer(symbols, np.int32)
+        n = np.bincount(ids, minlength=len(words) + 1)[1:]
+        sizes = np.bincount(found.of, n, minlength=len(found.langs)).astype(np.int64)
+        return pa.RecordBatch.from_pydict(found.stored() | {
+            "sizes": pa.array([sizes], pa.list_(pa.int64())),
+            "symbols": pa.array([_planes(ids, 4)], pa.binary()),
+        })
 
     words, of, numbers, symbols = [], array("i"), {}, array("i", [0])
     for batch in batches:
@@ -141,19 +157,93 @@ def _numbers(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.int32)
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, mark, n``: the words of each shard under their hashes, without language, and all words by language."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            found = Dictionary.read(batch, k)
-            n = np.bincount(_numbers(batch.column("symbols")[k]), minlength=len(found.words) + 1)[1:]
-            marks = _phrase_hashes([found.hashes()]).view(np.int64)
-            none = pa.nulls(len(marks), pa.string())
-            yield pa.RecordBatch.from_arrays([none, pa.array(marks), pa.array(n)], names=["lang", "mark", "n"])
-            total = np.bincount(found.of, n, minlength=len(found.langs)).astype(np.int64)
-            none = pa.nulls(len(total), pa.int64())
-            langs = pa.array(found.langs, pa.string())
-            yield pa.RecordBatch.from_arrays([langs, none, pa.array(total)], names=["lang", "mark", "n"])
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of whole numbers, the first bytes of all before the second of all: that packs well."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, :width] = planes.T
+    return numbers.view("<u8").ravel()
+
+
+def read_symbols(value) -> np.ndarray:
+    return _from_planes(value.as_buffer(), 4).astype(np.int32)
+
+
+# Counts under hashes, in packets.
+
+_LOW = np.uint64(64 - HASH_BITS)
+_HASH_BYTES = -(-HASH_BITS // 8)
+
+
+def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order and their counts, up to ``LEAST``, of ``keys`` that hold both."""
+    keys.sort()
+    n = (keys & np.uint64((1 << int(_LOW)) - 1)).astype(np.int64)
+    hashes = keys >> _LOW
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    return hashes[starts], np.minimum(np.add.reduceat(n, starts), LEAST)
+
+
+def packets(counted: Iterator[tuple[np.ndarray, np.ndarray]], ranges: int) -> Iterator[pa.RecordBatch]:
+    """``range, packet`` of 64-bit hashes with their counts; ``ranges`` is a power of two."""
+
+    def packed(keys: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, n = _summed(np.concatenate(keys))
+        width = HASH_BITS + 1 - ranges.bit_length()
+        owner = hashes >> np.uint64(width)
+        begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        ends = np.append(begins[1:], len(hashes))
+        distances = np.diff(hashes, prepend=np.uint64(0))
+        distances[begins] = hashes[begins] & np.uint64((1 << width) - 1)
+        found = [_planes(distances[x:y], _HASH_BYTES) + _planes(n[x:y], 1) for x, y in zip(begins.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(owner[begins].astype(np.int64)), pa.array(found, pa.binary())], names=["range", "packet"]
+        )
+
+    keys, held = [], 0
+    for hashes, n in counted:
+        if len(hashes):
+            keys.append((hashes >> _LOW << _LOW) | np.minimum(n, LEAST).astype(np.uint64))
+            held += len(hashes)
+        if held >= PACKET_ROWS:
+            yield packed(keys)
+            keys, held = [], 0
+    if keys:
+        yield packed(keys)
+
+
+def frequent_marks(counts: DataFrame, ranges: int) -> DataFrame:
+    """``mark``, the hashes of all packets that are counted ``LEAST`` times or more."""
+    width = HASH_BITS + 1 - ranges.bit_length()
+
+    def total(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        keys = []
+        for packet in table.column("packet"):
+            data = np.frombuffer(packet.as_buffer(), np.uint8)
+            cut = len(data) // (_HASH_BYTES + 1) * _HASH_BYTES
+            keys.append((np.cumsum(_from_planes(data[:cut], _HASH_BYTES)) << _LOW) | _from_planes(data[cut:], 1))
+        hashes, n = _summed(np.concatenate(keys))
+        marks = (hashes[n >= LEAST] + np.uint64(key[0].as_py() << width)) << _LOW
+        return pa.table({"mark": pa.array(marks.view(np.int64))})
+
+    return counts.groupBy("range").applyInArrow(total, "mark bigint")
+
+
+def count_words(ranges: int):
+    """The map from shards to packets of their words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = Dictionary.read(batch, k)
+                n = np.bincount(read_symbols(batch.column("symbols")[k]), minlength=len(found.words) + 1)[1:]
+                yield _phrase_hashes([found.hashes()]), n
+
+    return lambda batches: packets(counted(batches), ranges)
 
 
 # Frequent phrases as a table of bits.
@@ -214,27 +304,6 @@ def transform(symbols: np.ndarray) -> np.ndarray:
     return symbols[order - 1]
 
 
-def index_shards(table):
-    """The map from shards to dictionary, ``before`` and ``after``, the transforms, of frequent words only."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                found = Dictionary.read(batch, k)
-                kept = _may_be_frequent(table.value, _phrase_hashes([found.hashes()]))
-                if not kept.any():
-                    continue
-                renumbered = np.concatenate(([0], np.cumsum(kept) * kept)).astype(np.int32)
-                symbols = renumbered[_numbers(batch.column("symbols")[k])]
-                symbols = symbols[np.concatenate(([True], (symbols[1:] > 0) | (symbols[:-1] > 0)))]
-                yield pa.RecordBatch.from_pydict(found.where(kept).stored() | {
-                    "before": pa.array([transform(symbols).tobytes()], pa.binary()),
-                    "after": pa.array([transform(symbols[::-1]).tobytes()], pa.binary()),
-                })
-
-    return index
-
-
 @dataclass
 class Phrases:
     """Phrases of one length: their words and their intervals in the order of the sequence and of its reverse."""
@@ -300,10 +369,22 @@ class FmIndex:
         return Phrases([*(w[owner] for w in phrases.words), word], phrases.begin[owner] + smaller, mirror, n)
 
 
-def count_phrases(tables, length: int):
-    """The map from indexes to their phrases whose shorter parts may be frequent.
+def read_index(batch: pa.RecordBatch, k: int, table: np.ndarray) -> tuple[Dictionary, FmIndex] | None:
+    """The frequent words of a shard and the index of its texts, in which all other words are 0; None without any."""
+    found = Dictionary.read(batch, k)
+    kept = _may_be_frequent(table, _phrase_hashes([found.hashes()]))
+    if not kept.any():
+        return None
+    renumbered = np.concatenate(([0], np.cumsum(kept) * kept)).astype(np.int32)
+    symbols = renumbered[read_symbols(batch.column("symbols")[k])]
+    symbols = symbols[np.concatenate(([True], (symbols[1:] > 0) | (symbols[:-1] > 0)))]
+    return found.where(kept), FmIndex(transform(symbols), transform(symbols[::-1]))
+
 
-    Below ``LONGEST`` it gives ``mark, n``, the hashes of the phrases of ``length`` words; else ``lang, phrase, words, n``, the
+def count_phrases(tables, length: int, ranges: int):
+    """The map from shards to their phrases whose shorter parts may be frequent.
+
+    Below ``LONGEST`` it gives packets of the phrases of ``length`` words; else ``lang, phrase, words, n``, the
     texts of phrases of all lengths, those shorter than ``LONGEST`` only if they may be frequent themselves.
     """
 
@@ -322,21 +403,24 @@ def count_phrases(tables, length: int):
             if width < length:
                 yield from grown(index, hashes, longer, width + 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Dictionary, np.ndarray, FmIndex]]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = Dictionary.read(batch, k)
-                hashes = np.concatenate(([np.uint64(0)], found.hashes()))
-                index = FmIndex(_numbers(batch.column("before")[k]), _numbers(batch.column("after")[k]))
-                words, langs = pa.array(found.words, pa.binary()).cast(pa.string()), pa.array(found.langs, pa.string())
-                if length == LONGEST:
-                    yield texts(langs, found.of, words, index.single())
-                for phrases in grown(index, hashes, index.single(), 2):
-                    if length == LONGEST:
-                        yield texts(langs, found.of, words, phrases)
-                    elif len(phrases.words) == length:
-                        marks = _phrase_hashes([hashes[w] for w in phrases.words]).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(phrases.n)], names=["mark", "n"])
+                if read := read_index(batch, k, tables.value[0]):
+                    yield read[0], np.concatenate(([np.uint64(0)], read[0].hashes())), read[1]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, hashes, index in indexes(batches):
+            for phrases in grown(index, hashes, index.single(), 2):
+                if len(phrases.words) == length:
+                    yield _phrase_hashes([hashes[w] for w in phrases.words]), phrases.n
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, hashes, index in indexes(batches):
+            words, langs = pa.array(found.words, pa.binary()).cast(pa.string()), pa.array(found.langs, pa.string())
+            yield texts(langs, found.of, words, index.single())
+            for phrases in grown(index, hashes, index.single(), 2):
+                yield texts(langs, found.of, words, phrases)
 
     def texts(langs: pa.Array, of: np.ndarray, words: pa.Array, phrases: Phrases) -> pa.RecordBatch:
         parts = [words.take(pa.array(w - 1)) for w in phrases.words]
@@ -347,7 +431,7 @@ def count_phrases(tables, length: int):
             names=["lang", "phrase", "words", "n"],
         )
 
-    return count
+    return written if length == LONGEST else lambda batches: packets(hashed(batches), ranges)
 
 
 def frequent_phrases(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
@@ -355,23 +439,20 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame,
     context = docs.sparkSession.sparkContext
     bound_batches(docs.sparkSession, BATCH_BYTES)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
-    shards = materialize(
-        rows.mapInArrow(cut_shards, f"{Dictionary.COLUMNS}, symbols binary"), "shards"
-    )
-    words = shards.mapInArrow(count_words, "lang string, mark bigint, n bigint").groupBy("lang", "mark").agg(F.sum("n").alias("n"))
-    words = materialize(words.where((F.col("n") >= LEAST) | F.col("lang").isNotNull()), "words")
-    totals = words.where(F.col("lang").isNotNull()).select("lang", "n")
-    tables = [bit_table(words.where(F.col("lang").isNull()))]
-    indexes = shards.mapInArrow(
-        index_shards(context.broadcast(tables[0])), f"{Dictionary.COLUMNS}, before binary, after binary"
-    )
-    indexes = materialize(indexes, "indexes")
-    for length in range(2, LONGEST):
-        found = indexes.mapInArrow(count_phrases(context.broadcast(tables), length), "mark bigint, n bigint")
-        found = found.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-        tables.append(bit_table(materialize(found.select("mark"), "marks")))
-    found = indexes.mapInArrow(
-        count_phrases(context.broadcast(tables), LONGEST), "lang string, phrase string, words int, n bigint"
+    shards = rows.mapInArrow(cut_shards, f"{Dictionary.COLUMNS}, sizes array<bigint>, symbols binary")
+    shards = materialize(shards, "shards", **SHARD_FILES)
+    sizes = shards.select(F.explode(F.arrays_zip("langs", "sizes")).alias("of"))
+    totals = sizes.groupBy(F.col("of.langs").alias("lang")).agg(F.sum("of.sizes").alias("n"))
+    shards = shards.drop("sizes")
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    ranges = max(LEAST_RANGES, 1 << (n // RANGE_WORDS).bit_length())
+    tables = []
+    for length in range(1, LONGEST):
+        counted = count_phrases(context.broadcast(tables), length, ranges) if tables else count_words(ranges)
+        found = frequent_marks(shards.mapInArrow(counted, "range bigint, packet binary"), ranges)
+        tables.append(bit_table(materialize(found, "marks")))
+    found = shards.mapInArrow(
+        count_phrases(context.broadcast(tables), LONGEST, ranges), "lang string, phrase string, words int, n bigint"
     )
     found = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
     return materialize(found, "frequent"), totals

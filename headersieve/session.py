@@ -56,13 +56,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written table.
+def materialize(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with ``options`` of the writer, and continue from the written table.
 
     This cuts the lineage so that a lost executor costs a re-read instead of a
     recomputation, freezes anything whose order is only settled at run time,
     and gives later joins the table's real size.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,14 +3,18 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 
 from headersieve.llm import collocations
 from headersieve.llm.collocations import FmIndex, mine_collocations, transform
 from headersieve.llm.queries import ORACLE_SQL, QUERIES
+from headersieve.session import shared_dir
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,3 +93,34 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
     assert mine_collocations(docs.limit(0)).count() == 0
     assert mine_collocations(docs.where("text = ''")).count() == 0
+
+
+def test_work_folder_holds_the_words_once(spark):
+    draw = random.Random(5)
+    texts = [" ".join(f"word{draw.randrange(2000)}" for _ in range(400)) for _ in range(600)]
+    folder = Path(urlparse(shared_dir(spark)).path)
+    before = set(folder.rglob("*"))
+    mine_collocations(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string").repartition(2)).count()
+    written = sum(f.stat().st_size for f in set(folder.rglob("*")) - before if f.is_file())
+    assert written < 0.4 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("ranges", [1, 16, 4096])
+def test_packets_keep_every_count(spark, monkeypatch, ranges):
+    monkeypatch.setattr(collocations, "PACKET_ROWS", 300)
+    draw, want, batches = random.Random(ranges), Counter(), []
+    known = [0, 1, 2**64 - 1, 1 << 24, 255 << 56, *(draw.getrandbits(64) for _ in range(200))]
+    for _ in range(4):  # tasks
+        shards = []
+        for _ in range(5):
+            own = sorted(set(draw.sample(known, 150)))
+            n = [draw.choice([1, 1, 1, 2, 3, 29, 30, 31, 256, 70_000]) if draw.random() < 0.2 else 1 for _ in own]
+            shards += [(np.array(own, np.uint64), np.array(n)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for h, x in zip(own, n):
+                want[h >> (64 - collocations.HASH_BITS)] += x
+        batches += collocations.packets(iter(shards), ranges)
+    table = pa.Table.from_batches(batches)
+    assert max(table["range"].to_pylist()) < ranges and len(batches) > 4
+    got = collocations.frequent_marks(spark.createDataFrame(table), ranges).toArrow()["mark"].to_numpy().view(np.uint64)
+    assert sorted((got >> np.uint64(64 - collocations.HASH_BITS)).tolist()) == sorted(h for h, x in want.items() if x >= 30)
+    assert 0 < len(got) < len(want)
