@@ -23,7 +23,7 @@ Counting:
 4. A phrase is only extended if it may be frequent over all shards, and only to phrases whose other part of one word
    less may be, too. For that, the phrases of each length below ``LONGEST`` are first counted under hashes of ``HASH_BITS`` bits,
    and those that reach ``LEAST`` set bits in a table, of a size fixed by their number and at most 2^``MOST_BITS``. The counts
-   move as *packets*: those of a range of hashes, in order, as the distances between them, some three bytes each.
+   move as *packets*: those of a range of hashes, in order, as the distances between them.
    A last round counts the phrases of all lengths that this lets through under their own texts, so
    neither a hash nor a bit that two phrases share changes any number.
 
