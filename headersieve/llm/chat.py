@@ -14,14 +14,16 @@ Null roles and texts count as empty. Turns go by number, null first; rows with t
 role and text and all stay. A conversation is one row of the result, so it is also one group of the
 shuffle; nothing else is gathered. Rows with a null id form one conversation. Empty tables give empty
 results; further columns of a table are ignored.
+
+Only the fingerprints of JSON records are taken in Python. Chats are formatted and read back by DataFrame
+functions, since batches of chats in Python workers outgrow an executor.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,11 +36,14 @@ TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 LEARNT_ROLE = "assistant"
 
-_SIGNS = {"\\": "\\\\", "[": "\\(", "]": "\\)", "<": "\\{", ">": "\\}"}
-_BACK = {escaped: sign for sign, escaped in _SIGNS.items()}
-_TO_ESCAPE = re.compile(r"[\\\[\]<>]")
-_ESCAPED = re.compile(r"\\[\\(){}]")
-_TURN = re.compile(r"\[TURN ([^\[\]]*)\]([^\[\]]*)\[END\]")
+#: Signs that would be read as marks, in the order in which they are replaced.
+_ESCAPES = (("\\", "\\\\"), ("[", "\\("), ("]", "\\)"), ("<", "\\{"), (">", "\\}"))
+#: The way back. Escaped text has no square bracket, so one with a digit can stand for a sign that a later step would misread.
+_BACK = (
+    ("\\\\", "[0"), ("\\(", "[1"), ("\\)", "[2"), ("\\{", "<"), ("\\}", ">"), ("[2", "]"), ("[0", "\\"), ("[1", "["),
+)
+_TURN = r"\[TURN ([^\[\]]*)\]([^\[\]]*)\[END\]"
+_END = "[END]"
 
 
 @dataclass(frozen=True)
@@ -154,65 +159,100 @@ def turns_of_table(table: DataFrame) -> DataFrame:
     )
 
 
-def escape(text: str) -> str:
-    return _TO_ESCAPE.sub(lambda m: _SIGNS[m[0]], text)
+def _replaced(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def escaped(text: Column) -> Column:
+    return _replaced(text, _ESCAPES)
+
 
+def unescaped(text: Column) -> Column:
+    """What ``escaped`` was given; ``text`` is a column or a variable, since it is used more than once."""
+    return F.when(F.contains(text, F.lit("\\")), _replaced(text, _BACK)).otherwise(text)
 
-def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: _BACK[m[0]], text)
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where it is used inside a function of an array."""
+    return F.transform(F.array(value), use)[0]
 
-def formatted_chats(turns: pd.Series) -> pd.DataFrame:
-    """The formatted chat of canonical turns, and the stretches that loss is taken on."""
-    chats, masks = [], []
-    for chat in turns:
-        parts, mask, at = [], [], 0
-        for turn in chat if chat is not None else ():
-            mark, text = f"[TURN {escape(turn['role'] or '')}]", escape(turn["text"] or "")
-            if turn["role"] == LEARNT_ROLE:
-                mask.append({"start": at + len(mark), "end": at + len(mark) + len(text)})
-            parts += [mark, text, "[END]"]
-            at += len(mark) + len(text) + len("[END]")
-        chats.append("".join(parts))
-        masks.append(mask)
-    return pd.DataFrame({"formatted": chats, "loss": masks})
 
+def running_sums(sizes: Column) -> Column:
+    """The sums of the numbers up to each place, in log2(n) steps: each adds the sums that end 1, 2, 4 ... places before."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda step: step < F.size(sizes))
 
-def turns_read_back(formatted: pd.Series) -> pd.Series:
-    """The turns of formatted chats."""
-    return formatted.map(
-        lambda chat: [{"role": unescape(m[1]), "text": unescape(m[2])} for m in _TURN.finditer(chat or "")]
+    def added(sums: Column, step: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(0), step), F.slice(sums, 1, F.size(sums) - step))
+        return F.zip_with(sums, before, lambda a, b: a + b)
+
+    return F.aggregate(steps, sizes, added)
+
+
+def _learnt(formatted: Column, loss: Column) -> Column:
+    """The text under the loss mask, unescaped."""
+    # Places are found at once in bytes of one width: those of ASCII, or else four a sign. The sign put first
+    # keeps a byte order mark in a text from being taken for one of the encoding.
+    plain = F.octet_length(formatted) == F.length(formatted)
+    chat = F.struct(
+        plain.alias("plain"), F.when(plain, formatted.cast("binary")).otherwise(F.encode(formatted, "UTF-32")).alias("signs")
     )
 
+    def stretch(chat: Column, begin: Column, length: Column) -> Column:
+        first = F.lit(b"\0\0\0\n")
+        wide = F.decode(F.concat(first, F.substring(chat["signs"], 4 * begin + 1, 4 * length)), "UTF-32")
+        narrow = F.substring(chat["signs"], begin + 1, length).cast("string")
+        return F.when(chat["plain"], narrow).otherwise(F.substring(wide, F.lit(2), length))
 
-def loss_read_back(formatted: pd.Series, loss: pd.Series) -> pd.DataFrame:
-    """Length and digest of the text under the loss mask, unescaped."""
-    rows = []
-    for chat, mask in zip(formatted, loss, strict=True):
-        learnt = "".join(unescape(chat[m["start"] : m["end"]]) for m in (mask if mask is not None else ()))
-        rows.append((len(learnt), hashlib.sha256(learnt.encode()).hexdigest()))
-    return pd.DataFrame(rows, columns=["loss_chars", "loss_sha256"])
+    mask = F.coalesce(loss, F.array().cast("array<struct<start:int,end:int>>"))
+    stretches = _bound(chat, lambda c: F.transform(mask, lambda m: stretch(c, m["start"], m["end"] - m["start"])))
+    return F.array_join(F.transform(stretches, unescaped), "")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """``turns`` with ``formatted`` and ``loss`` (array of start and end)."""
-    chat = F.pandas_udf(formatted_chats, "formatted string, loss array<struct<start:int,end:int>>")("turns")
-    return turns.withColumn("_chat", chat).select("*", "_chat.formatted", "_chat.loss").drop("_chat")
+    parts = F.transform(
+        F.coalesce("turns", F.array().cast(TURNS)),
+        lambda t: F.struct(
+            F.concat(F.lit("[TURN "), escaped(F.coalesce(t["role"], F.lit(""))), F.lit("]")).alias("mark"),
+            escaped(F.coalesce(t["text"], F.lit(""))).alias("text"),
+            (F.coalesce(t["role"], F.lit("")) == LEARNT_ROLE).alias("learnt"),
+        ),
+    )
+    sizes = F.transform("_parts", lambda p: F.length(p["mark"]) + F.length(p["text"]) + len(_END))
+
+    def stretch(part: Column, after: Column) -> Column:
+        end = after - len(_END)
+        return F.struct(part["learnt"].alias("learnt"), (end - F.length(part["text"])).alias("start"), end.alias("end"))
+
+    stretches = F.filter(F.zip_with("_parts", "_ends", stretch), lambda s: s["learnt"])
+    return (
+        turns.withColumn("_parts", parts)
+        .withColumn("_ends", _bound(sizes, running_sums))
+        .select(
+            *turns.columns,
+            F.array_join(F.transform("_parts", lambda p: F.concat(p["mark"], p["text"], F.lit(_END))), "").alias("formatted"),
+            F.transform(stretches, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"),
+        )
+    )
 
 
 def digest_chats(chats: DataFrame) -> DataFrame:
     """What formatted chats say when read back: counts and digests of their turns and loss."""
-    back = F.pandas_udf(turns_read_back, "array<struct<role:string,text:string>>")("formatted")
-    learnt = F.pandas_udf(loss_read_back, "loss_chars bigint, loss_sha256 string")("formatted", "loss")
-    lines = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    roles, texts = (F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(group)) for group in (1, 2))
+    back = F.zip_with(roles, texts, lambda role, text: F.struct(role.alias("role"), text.alias("text")))
+    lines = F.transform(
+        "_turns", lambda t: F.concat(unescaped(t["role"]), F.lit("\n"), unescaped(t["text"]), F.lit("\n"))
+    )
     return (
-        chats.withColumns({"_turns": back, "_learnt": learnt})
+        chats.withColumns({"_turns": back, "_learnt": _learnt(F.col("formatted"), F.col("loss"))})
         .select(
             "conv_id",
             F.size("_turns").cast("bigint").alias("n_turns"),
             F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
-            F.col("_learnt.loss_chars"),
-            F.col("_learnt.loss_sha256"),
+            F.length("_learnt").cast("bigint").alias("loss_chars"),
+            F.sha2("_learnt", 256).alias("loss_sha256"),
             F.length("formatted").cast("bigint").alias("formatted_chars"),
         )
     )
